@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.vectext import mix64
 from annalist.operators.components import connected_components
 from annalist.plans.staging import stage
 
@@ -18,139 +20,182 @@ from annalist.plans.staging import stage
 WIDE_POSTINGS = 30_000_000
 #: Posting lists up to this length are compared pair by pair in bulk; longer ones by growing components.
 SMALL_LIST = 24
+#: Posting sets for limits under which no shared byte is certain. Of 256-bit fingerprints at a similarity of 0.8, 0.85, 0.9 and
+#: 0.95 about 71, 91, 99 and 100 % of pairs meet in one of 64 triples.
+LOOSE_SETS = 64
 
 
-def fingerprint(data: bytes, shingle: int, seed: int = 42) -> int:
-    """SimHash of a text in UTF-8, ASCII upper case folded: bit i is set if over half of the shingles' XXH64 have it."""
-    words = data.lower().split()  # for bytes both know ASCII only
-    if not words:
-        return 0
-    flat, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return h(flat, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    a, b = starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(a), 1 << 15):
-        hs = np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + (1 << 15)], b[i : i + (1 << 15)], strict=True)], "<u8")
-        ones += np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view("<u8")[0])
+def fingerprint(data: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
+    """SimHash of a UTF-8 text as ``words`` 64-bit numbers, ASCII upper case folded.
 
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Columns ``doc_id``, ``fp`` (the fingerprint as a signed long) for every row; null text has fingerprint zero."""
+    A bit is set if over half of the shingles' hashes have it. The first number's hashes are the shingles' XXH64; further
+    numbers scramble these.
+    """
+    tokens = data.lower().split()  # for bytes both know ASCII only
+    out = np.zeros(words, np.uint64)
+    if not tokens:
+        return out
+    flat, h = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= shingle:
+        a, b = [0], [len(flat)]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+        a = [0, *ends[: len(tokens) - shingle].tolist()]
+        b = (ends[shingle - 1 :] - 1).tolist()
+    ones = np.zeros((words, 64), np.int64)
+    for i in range(0, len(a), 1 << 14):
+        hs = np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + (1 << 14)], b[i : i + (1 << 14)], strict=True)], "<u8")
+        for j in range(words):
+            hj = mix64(hs + np.uint64(j)) if j else hs
+            ones[j] += np.unpackbits(hj.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(a), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """Columns ``doc_id`` and ``f0`` to ``f<words - 1>`` (as signed longs) for every row; null text has zeros."""
+    names = [f"f{j}" for j in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.zeros((batch.num_rows, words), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                fps[i] = fingerprint((t.as_py() or "").encode(), shingle, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, j]).view(np.int64)) for j in range(words)]], ["doc_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def posting_sets(width: int, differ: int = 4) -> list[tuple[int, ...]]:
-    """Sets of ``width`` byte positions of which any two fingerprints with ``differ`` differing bits agree on one.
+def posting_sets(n_bytes: int, width: int, differ: int, seed: int = 3) -> list[tuple[int, ...]]:
+    """Sets of ``width`` byte positions under which fingerprints are posted.
 
-    Such fingerprints share at least ``8 - differ`` positional bytes. Every set of four positions holds one of the 20
-    triples below (two of a third of the positions with one of the next, or three of one third); for other numbers all
-    sets of the guaranteed size are used.
+    Fingerprints with at most ``differ`` differing bits share at least ``n_bytes - differ`` positional bytes. Where that is
+    ``width`` or more, the sets are such that two of them surely meet in one: for four of eight bytes the 20 triples with two
+    positions of one third and one of the next, or three of one third, which every four positions contain; else all sets.
+    Where no number of shared bytes is sure (long fingerprints, wide limits) the sets are ``LOOSE_SETS`` seeded ones, spread
+    evenly over the positions, and meeting is likely instead of certain.
     """
-    least = 8 - differ
-    if width == 3 and least == 4:
+    least = n_bytes - differ
+    if (n_bytes, width, least) == (8, 3, 4):
         third = [0, 0, 0, 1, 1, 1, 2, 2]
         keep = lambda s: len({third[i] for i in s}) == 1 or any(sorted(third[i] for i in s) == sorted([g, g, (g + 1) % 3]) for g in range(3))
         return [s for s in combinations(range(8), 3) if keep(s)]
-    return list(combinations(range(8), min(width, least)))
+    if least >= 1:
+        return list(combinations(range(n_bytes), min(width, least)))
+    rng, out = np.random.default_rng(seed), set()
+    while len(out) < LOOSE_SETS:
+        order = rng.permutation(n_bytes)
+        out |= {tuple(sorted(order[i : i + width].tolist())) for i in range(0, n_bytes - width + 1, width)}
+    return sorted(out)[:LOOSE_SETS]
 
 
 def _close(x: np.ndarray, y: np.ndarray, differ: int) -> np.ndarray:
-    """Count filter, then verification: pairs that share enough positional bytes and differ in few enough bits."""
-    d = np.bitwise_xor(x, y)
-    tally = (d.view(np.uint8).reshape(*d.shape, 8) == 0).sum(-1)
-    return (tally >= 8 - differ) & (np.bitwise_count(d) <= differ)
+    """Count filter, then verification: pairs that share enough positional bytes and differ in few enough bits.
+
+    The last axis of both runs over the numbers of a fingerprint.
+    """
+    d = np.ascontiguousarray(np.bitwise_xor(x, y))
+    n_bytes = 8 * d.shape[-1]
+    tally = (d.view(np.uint8) == 0).sum(-1)
+    return (tally >= max(1, n_bytes - differ)) & (np.bitwise_count(d).sum(-1) <= differ)
 
 
-def _grow(fps: np.ndarray, differ: int) -> list[np.ndarray]:
+def _grow(ids: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
     """Links that join a posting list's close fingerprints into its components: each is compared with the unreached only."""
-    out, left = [], fps
+    out, left = [], np.arange(len(fps))
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = _close(left, np.full(len(left), x), differ)
+            near = _close(fps[left], fps[x][None], differ)
             if near.any():
                 got = left[near]
-                out.append(np.stack([np.full(len(got), x), got]))
-                front.extend(got)
+                out.append(np.stack([np.full(len(got), ids[x]), ids[got]]))
+                front.extend(got.tolist())
                 left = left[~near]
     return out
 
 
-def links(fps: DataFrame, differ: int = 4) -> DataFrame:
-    """Links (``a``, ``b``) between distinct fingerprints (column ``fp``) that join all within ``differ`` bits.
+def links(fps: DataFrame, differ: int, words: int = 1) -> DataFrame:
+    """Links (``a``, ``b``, values of ``key``) between distinct fingerprints (``key``, ``f0``…) that join all within ``differ`` bits.
 
     The index maps a set of byte positions with their values to the fingerprints that have them; single bytes would give
-    lists of a 256th of the corpus, so a posting holds as many positions as any two close fingerprints surely share one
-    of. Inside a list the shared positional bytes of a pair are tallied, pairs under the guaranteed minimum dropped, the
-    rest verified. In long lists a pair inside an already joined component is skipped, so a crowd of near copies costs
-    about its length; no link between components is lost.
+    lists of a 256th of the corpus, so a posting holds several positions, see :func:`posting_sets`. Inside a list the shared
+    positional bytes of a pair are tallied, pairs under the minimum dropped, the rest verified. In long lists a pair inside
+    an already joined component is skipped, so a crowd of near copies costs about its length; no link between components is
+    lost.
     """
-    n = fps.count()
-    sets = posting_sets(3 if n < WIDE_POSTINGS else 4, differ)
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+    width = 3 if fps.count() < WIDE_POSTINGS else 4
+    names = [f"f{j}" for j in range(words)]
+    sets = posting_sets(8 * words, width, differ)
+    byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
 
-    def key(i: int, s: tuple[int, ...]):
+    def post(i: int, s: tuple[int, ...]):
         k = F.lit(i).cast("long")
         for p in s:
             k = F.shiftleft(k, 8).bitwiseOR(byte(p))
         return k
 
-    keyed = fps.select("fp", F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("k"))
-    lists = keyed.groupBy("k").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    row = F.struct("key", *names)
+    keyed = fps.select(row.alias("r"), F.explode(F.array(*[post(i, s) for i, s in enumerate(sets)])).alias("k"))
+    lists = keyed.groupBy("k").agg(F.collect_list("r").alias("rows")).filter(F.size("rows") > 1).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(0)
             off = np.asarray(col.offsets).astype(np.int64)
-            flat = np.asarray(col.values).view(np.uint64)
+            ids = np.asarray(col.values.field(0))
+            flat = np.stack([np.asarray(col.values.field(1 + j)) for j in range(words)], axis=1).view(np.uint64)
             size, found = np.diff(off), []
             for s in np.unique(size):
                 at = off[:-1][size == s]
                 if s <= SMALL_LIST:
-                    for cut in range(0, len(at), 1 << 14):
-                        m = flat[at[cut : cut + (1 << 14), None] + np.arange(s)]
+                    step = max(1, (1 << 16) // int(s * words))
+                    for cut in range(0, len(at), step):
+                        idx = at[cut : cut + step, None] + np.arange(s)
+                        m, k = flat[idx], ids[idx]
                         for i in range(s - 1):
-                            x = np.broadcast_to(m[:, i : i + 1], (len(m), s - 1 - i))
-                            r, q = np.nonzero(_close(np.ascontiguousarray(x), np.ascontiguousarray(m[:, i + 1 :]), differ))
-                            found.append(np.stack([m[r, i], m[r, i + 1 + q]]))
+                            r, q = np.nonzero(_close(m[:, i : i + 1], m[:, i + 1 :], differ))
+                            found.append(np.stack([k[r, i], k[r, i + 1 + q]]))
                 else:
                     for a in at:
-                        found += _grow(flat[a : a + s], differ)
-            e = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(e[0].view(np.int64)), pa.array(e[1].view(np.int64))], ["a", "b"])
+                        found += _grow(ids[a : a + s], flat[a : a + s], differ)
+            e = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    return lists.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4) -> DataFrame:
-    """Near-duplicate components: one row per input row with the id, ``fingerprint`` (16 hex digits), ``component_id``.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, words: int = 1) -> DataFrame:
+    """Near-duplicate components: one row per input row with the id, ``fingerprint`` (hex), ``component_id``.
 
-    Shingles are ``shingle`` words, repeats included. Documents are linked when their fingerprints differ in at most
-    ``differ`` bits; ``component_id`` is the smallest id that can be reached. Null and empty texts have fingerprint zero
-    and are linked like others. A null id takes its component's id (null if no member has one); repeated rows stay rows;
-    an empty table gives an empty result; other columns are ignored.
+    Shingles are ``shingle`` words, repeats included; a fingerprint has 64 times ``words`` bits. Documents are linked when
+    their fingerprints differ in at most ``differ`` bits; ``component_id`` is the smallest id that can be reached. Null and
+    empty texts have fingerprint zero and are linked like others. A null id takes its component's id (null if no member has
+    one); repeated rows stay rows; an empty table gives an empty result; other columns are ignored.
 
-    Equal fingerprints meet in one class first, so copies never become pairs. Components are found over classes by
-    joins and minimum aggregates.
+    With one word and ``differ`` of 4 every link is found. With longer fingerprints and wider limits a link is found with
+    high probability, see :func:`near_limit`. Equal fingerprints meet in one class first, so copies never become pairs.
+    Components are found over classes by joins and minimum aggregates.
     """
-    c = F.col
-    rows = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comps = connected_components(links(rows.select("fp").distinct(), differ))
-    labelled = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    c, names = F.col, [f"f{j}" for j in range(words)]
+    rows = fingerprints(docs, id_col, text_col, shingle, words)
+    rows = stage(rows.withColumn("key", c("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
+    comps = connected_components(links(rows.select("key", *names).distinct(), differ, words))
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
+    labelled = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "low", F.coalesce("component", "key").alias("root"))
     labelled = stage(labelled, "classes")
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(c("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.join(lowest, "root").select("key", "component_id")
+    text = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
+    return rows.join(named, "key").select(c("doc_id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def near_limit(similarity: float, bits: int, slack: float = 1.0) -> int:
+    """Differing bits to expect between fingerprints of texts with this Jaccard similarity, plus ``slack`` deviations.
+
+    Sets with Jaccard similarity J have the cosine 2J / (1 + J) if about equally large, and a bit of their SimHashes differs
+    with the share of the angle in half a turn.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
