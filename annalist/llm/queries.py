@@ -14,6 +14,8 @@ from annalist.llm.html_text import extract_main_text
 from annalist.llm.langid import held_out, identify, train
 from annalist.llm.mixing import mix_sources
 from annalist.llm.simhash import simhash_components
+from annalist.llm.substring_dedup import substring_dedup
+from annalist.llm.suffix_dedup import suffix_dedup
 from annalist.llm.warc import read_archives, write_archives
 from annalist.plans.staging import new_path
 from annalist.plans.tables import table
@@ -40,6 +42,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that occur earlier, in all documents."""
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,13 +68,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier, in all documents."""
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_chat_perspectives, op4_simhash, op6_decontamination, op7_warc, op8_language_id, op10_html_extraction)
+    f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_chat_perspectives, op4_simhash, op5_substring_dedup, op6_decontamination, op7_warc, op8_language_id, op9_suffix_dedup, op10_html_extraction)
 }
 
 ORACLES: dict[str, str] = {
