@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("text", "dating", "facts", "graph", "vectors")
+SECTIONS = ("text", "dating", "facts", "graph", "vectors", "sources")
 
 
 def _all():

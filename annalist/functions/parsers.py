@@ -108,10 +108,14 @@ def _first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def first_json(texts: pd.Series) -> pd.Series:
+def first_json(text: Column) -> Column:
     """The first valid JSON object or array in a text, written anew; null if there is none."""
-    return texts.map(_first_json)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_json)
+
+    return run(text)
 
 
 def group_blocks(rows: DataFrame, col: str, n: int) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 
-_IN_ORDER = Window.partitionBy("doc_id").orderBy("pos")
-_SO_FAR = _IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def _so_far():
+    """A document's rows up to the current one."""
+    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def heading_year(text: Column) -> Column:
@@ -33,7 +35,7 @@ def date_press(segments: DataFrame) -> DataFrame:
 
     Other headings change nothing, years in the body are ignored. Adds ``time_from``, ``time_to``, ``precision``.
     """
-    head = F.last(F.when(F.col("type") == "heading", heading_year(F.col("text"))), ignorenulls=True).over(_SO_FAR)
+    head = F.last(F.when(F.col("type") == "heading", heading_year(F.col("text"))), ignorenulls=True).over(_so_far())
     own = T.date_field_year(F.col("date"))
     year = F.coalesce("_head", own)
     dated = segments.withColumn("_head", head).withColumn("time_from", year).withColumn("time_to", year)
@@ -47,7 +49,7 @@ def date_notes(segments: DataFrame) -> DataFrame:
     A heading without a year ends the reach of the one before; headings are dropped. Adds ``anchors``, ``time_from``,
     ``time_to``, ``precision`` (``exact`` for an inherited heading).
     """
-    head = F.last(F.when(F.col("type") == "heading", F.struct(heading_year(F.col("text")).alias("y"))), ignorenulls=True).over(_SO_FAR)
+    head = F.last(F.when(F.col("type") == "heading", F.struct(heading_year(F.col("text")).alias("y"))), ignorenulls=True).over(_so_far())
     rows = segments.withColumn("_head", head["y"]).filter("type <> 'heading'").withColumn("anchors", detect_anchors(F.col("text")))
     of = lambda kind: F.transform(F.filter("anchors", lambda a: a["type"] == kind), lambda a: a["value"])
     exact, event, decade = of("exact"), of("event"), F.exists("anchors", lambda a: a["type"] == "decade")

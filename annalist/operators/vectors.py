@@ -83,7 +83,7 @@ def close_pairs(rows: DataFrame, key: str, low: float, high: float = 2.0) -> Dat
 
     reach = math.acos(max(-1.0, min(1.0, low)))
     width = max(reach, 0.05)
-    pivot = lambda j: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.element_at("v", j + 1) / F.greatest(norm("v"), F.lit(FLOOR)))))
+    pivot = lambda j: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at("v", F.lit(j + 1)), F.lit(0.0)) / F.greatest(norm("v"), F.lit(FLOOR)))))
     cells = rows.select(key, "v", *[F.floor(pivot(j) / width).cast("int").alias(f"_c{j}") for j in range(3)])
     near = cells
     for j in range(3):
