@@ -156,6 +156,19 @@ def _span_batch(doc: np.ndarray, text_hash: np.ndarray, a: np.ndarray, b: np.nda
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null), pa.array(text_hash, pa.int64()), lists], ["doc_id", "th", "ab"])
 
 
+def first_and_later(key: np.ndarray, content: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal segments, the first one's index, and the indices of those that begin elsewhere.
+
+    A repeated row brings the same segment of the same text again; that is neither.
+    """
+    order = np.lexsort((first, text_hash, doc, content, key))
+    same = np.zeros(len(order), bool)
+    same[1:] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    elsewhere = (doc[order] != doc[head]) | (text_hash[order] != text_hash[head]) | (first[order] != first[head])
+    return order[~same], order[same & elsewhere]
+
+
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -182,12 +195,8 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
         base = np.cumsum([0, *[len(b[5]) for b in blocks]])
         flat = np.concatenate([b[5] for b in blocks])
         ca, cm, cb = (np.concatenate([b[j] + base[i] for i, b in enumerate(blocks)]) for j in (6, 7, 8))
-        order = np.lexsort((first, th[of], doc[of], content, key))
-        same = np.zeros(len(order), bool)
-        same[1:] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-        twice = order[same]
+        keep, twice = first_and_later(key, content, doc[of], th[of], first)
         yield -1, (doc[of[twice]], th[of[twice]], first[twice], first[twice] + windows[twice] - 1 + size)
-        keep = order[~same]
         shard = (key[keep] >> np.uint64(20)) % np.uint64(n)
         by = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[by], np.arange(n + 1))
@@ -248,15 +257,13 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
             np.repeat(np.arange(len(runs)), lens), np.concatenate([np.arange(x) for x in lens]),
         )
         del runs
-        order = np.lexsort((occ.first, occ.text_hash, occ.doc, occ.content, occ.key))
-        same = np.zeros(len(order), bool)
-        same[1:] = (occ.key[order[1:]] == occ.key[order[:-1]]) & (occ.content[order[1:]] == occ.content[order[:-1]])
-        twice, once = occ.take(order[same]), order[~same]
+        once, later = first_and_later(occ.key, occ.content, occ.doc, occ.text_hash, occ.first)
+        twice = occ.take(later)
         spans = [(twice.doc, twice.text_hash, twice.first, twice.first + twice.windows - 1 + size)]
         k = occ.key[once]
         shared = np.zeros(len(k), bool)
         shared[1:] = k[1:] == k[:-1]
-        shared[:-1] |= shared[1:]
+        shared[:-1] |= k[1:] == k[:-1]
         mixed = once[shared]
         mixed = mixed[np.lexsort((occ.first[mixed], occ.text_hash[mixed], occ.doc[mixed], occ.key[mixed]))]
         rest = occ.take(mixed)
