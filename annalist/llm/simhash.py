@@ -101,16 +101,19 @@ def _close(x: np.ndarray, y: np.ndarray, differ: int) -> np.ndarray:
 
 
 def _grow(ids: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
-    """Links that join a posting list's close fingerprints into its components: each is compared with the unreached only."""
-    out, left = [], np.arange(len(fps))
+    """Links that join a posting list's close fingerprints into its components: each is compared with the unreached only.
+
+    All members are linked to the one with the smallest key, so that the lists that a crowd is in give mostly the same links.
+    """
+    out, left = [], np.argsort(ids, kind="stable")
     while len(left):
-        front, left = [left[0]], left[1:]
+        low, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
             near = _close(fps[left], fps[x][None], differ)
             if near.any():
                 got = left[near]
-                out.append(np.stack([np.full(len(got), ids[x]), ids[got]]))
+                out.append(np.stack([np.full(len(got), ids[low]), ids[got]]))
                 front.extend(got.tolist())
                 left = left[~near]
     return out
