@@ -10,8 +10,19 @@ from annalist.functions import text as T
 
 #: An alias dictionary up to this many bytes is sent to all executors as patterns; a larger one is matched by joining words.
 BROADCAST_BYTES = 8 << 20
-# Source priorities of the merge, the first being the strongest.
-SOURCE_PRIORITY = ("seed", "llm", "gliner", "spacy")
+# Priorities of sources in the merge, the smallest being the strongest; others come last.
+SOURCE_PRIORITY = {
+    "seed": 0,
+    "llm_iter1": 1,
+    "llm_task1": 1,
+    "llm_task2": 1,
+    "llm_task3": 1,
+    "llm_uncovered": 1,
+    "llm_full": 1,
+    "llm_dedup": 1,
+    "classifier": 2,
+    "embedding": 2,
+}
 
 
 def alias_rows(entities: DataFrame) -> DataFrame:
@@ -73,11 +84,11 @@ def dedup_names(entities: DataFrame) -> DataFrame:
 def merge_entities(entities: DataFrame, project: str = "project") -> DataFrame:
     """Fold entity lists into one per project, in order: an entity joins the first one it shares a name with.
 
-    A stronger source takes over the normal form and type; the better score stays; new aliases are appended. The outcome
-    depends on the order and is not connected components, so a project's list, a dictionary that people edit, is folded in
+    A stronger source takes over the normal form, the old one becoming an alias; the first type and the better score stay; new
+    aliases are appended. The outcome depends on the order and is not connected components, so a project's list, a dictionary that people edit, is folded in
     one task; what arrives there has been deduplicated by name.
     """
-    rank = {s: i for i, s in enumerate(SOURCE_PRIORITY)}
+    rank = SOURCE_PRIORITY
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
@@ -92,7 +103,9 @@ def merge_entities(entities: DataFrame, project: str = "project") -> DataFrame:
                 out.append({project: r[project], "ord": at, "normalform": r["normalform"], "typ": r["typ"], "score": r["score"], "source": r["source"], "aliases": []})
             e = out[at]
             if rank.get(r["source"], 99) < rank.get(e["source"], 99):
-                e.update(normalform=r["normalform"], typ=r["typ"], source=r["source"])
+                if e["normalform"].lower() != r["normalform"].lower():
+                    e["aliases"].append(e["normalform"])
+                e.update(normalform=r["normalform"], source=r["source"])
             if r["score"] is not None and (e["score"] is None or r["score"] > e["score"]):
                 e["score"] = r["score"]
             known = {a.lower() for a in e["aliases"]} | {e["normalform"].lower()}
@@ -109,12 +122,36 @@ def merge_entities(entities: DataFrame, project: str = "project") -> DataFrame:
 
 
 def merge_proposal(proposals: DataFrame, seed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Status of each proposed entity: ``skipped`` (shares a name with a rejected one), ``confirmed`` (with a seed), ``new``."""
-    bad = overlapping(proposals, rejected).select("p_ord").distinct().withColumn("_bad", F.lit(True))
-    good = overlapping(proposals, seed).groupBy("p_ord").agg(F.min("k_ord").alias("seed_ord"))
-    rows = proposals.join(bad, proposals["ord"] == bad["p_ord"], "left").drop("p_ord").join(good, proposals["ord"] == good["p_ord"], "left").drop("p_ord")
-    status = F.when(F.col("_bad"), "skipped").when(F.col("seed_ord").isNotNull(), "confirmed").otherwise("new")
-    return rows.withColumn("status", status).drop("_bad")
+    """Status of each proposed entity, in order: ``skipped`` if it shares a name with a rejected one, ``confirmed`` if with a
+    seed or an earlier proposal (``into`` names its normal form; its aliases then count as names of that one), else ``new``.
+
+    A proposal's fate hangs on the ones before it, so the three lists, dictionaries that people edit, are read in one task.
+    Columns ``ord``, ``normalform``, ``typ``, ``aliases``.
+    """
+    cols = ["ord", "normalform", "typ", "aliases"]
+    every = rejected.select(F.lit(0).alias("kind"), *cols).unionByName(seed.select(F.lit(1).alias("kind"), *cols)).unionByName(proposals.select(F.lit(2).alias("kind"), *cols))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, refused, owner, names_at = [], set(), {}, []
+        for r in pdf.sort_values(["kind", "ord"]).to_dict("records"):
+            names = {n.strip().lower() for n in [r["normalform"] or "", *(r["aliases"] if r["aliases"] is not None else [])] if n and n.strip()}
+            at = min((owner[n] for n in names if n in owner), default=None)
+            if r["kind"] == 0:
+                refused |= names
+                continue
+            status = "skipped" if r["kind"] == 2 and names & refused else "confirmed" if r["kind"] == 2 and at is not None else "new"
+            if status == "new":
+                at = len(names_at)
+                names_at.append(r["normalform"])
+            if status != "skipped":
+                extra = names if status == "new" else names - {(r["normalform"] or "").strip().lower()}
+                for n in extra:
+                    owner.setdefault(n, at)
+            if r["kind"] == 2:
+                out.append({"ord": r["ord"], "normalform": r["normalform"], "typ": r["typ"], "status": status, "into": names_at[at] if status == "confirmed" else None})
+        return pd.DataFrame(out, columns=["ord", "normalform", "typ", "status", "into"])
+
+    return every.groupBy(F.lit(0)).applyInPandas(fold, "ord long, normalform string, typ string, status string, into string")
 
 
 def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:

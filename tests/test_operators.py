@@ -237,9 +237,12 @@ def test_vectors(spark):
 
 
 def test_merge_fold_and_greedy(spark):
-    rows = [Row(project="p", ord=0, normalform="A", typ="Ort", score=0.1, source="spacy", aliases=["a1"]), Row(project="p", ord=1, normalform="A1", typ="Org", score=0.9, source="llm", aliases=["x"]), Row(project="p", ord=2, normalform="B", typ="Org", score=0.2, source="llm", aliases=[])]
+    rows = [Row(project="p", ord=0, normalform="A", typ="Ort", score=0.1, source="spacy", aliases=["a1"]), Row(project="p", ord=1, normalform="A1", typ="Org", score=0.9, source="llm_full", aliases=["x"]), Row(project="p", ord=2, normalform="B", typ="Org", score=0.2, source="llm_full", aliases=[])]
     got = sorted((r["normalform"], r["typ"], r["score"], sorted(r["aliases"])) for r in entities.merge_entities(spark.createDataFrame(rows)).collect())
-    assert got == [("A1", "Org", 0.9, ["a1", "x"]), ("B", "Org", 0.2, [])]
+    assert got == [("A1", "Ort", 0.9, ["A", "a1", "x"]), ("B", "Org", 0.2, [])]
+    ents = lambda *r: spark.createDataFrame([(i, n, "Ort", a) for i, (n, a) in enumerate(r)], "ord long, normalform string, typ string, aliases array<string>")
+    fate = entities.merge_proposal(ents(("Neu", ["n1"]), ("n1", ["n2"]), ("n2", []), ("Alt", []), ("Weg", []), ("x", ["r"])), ents(("alt", ["Weg2"])), ents(("WEG", ["R"])))
+    assert [(r["status"], r["into"]) for r in fate.orderBy("ord").collect()] == [("new", None), ("confirmed", "Neu"), ("confirmed", "Neu"), ("confirmed", "alt"), ("skipped", None), ("skipped", None)]
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (3, 4, 0.8), (1, 4, 0.7)], "a long, b long, sim double")
     assert {(r["a"], r["b"]) for r in entities.greedy_pairs(pairs).collect()} == {(2, 3), (1, 4)}
 
