@@ -151,7 +151,7 @@ def merge_proposal(proposals: DataFrame, seed: DataFrame, rejected: DataFrame) -
                 out.append({"ord": r["ord"], "normalform": r["normalform"], "typ": r["typ"], "status": status, "into": names_at[at] if status == "confirmed" else None})
         return pd.DataFrame(out, columns=["ord", "normalform", "typ", "status", "into"])
 
-    return every.groupBy(F.lit(0)).applyInPandas(fold, "ord long, normalform string, typ string, status string, into string")
+    return every.withColumn("project", F.lit("")).groupBy("project").applyInPandas(fold, "ord long, normalform string, typ string, status string, into string")
 
 
 def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
