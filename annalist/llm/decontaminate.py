@@ -127,7 +127,7 @@ def benchmark_overlap(
 
     ASCII upper case is folded; words are runs of ASCII letters, digits and non-ASCII characters. A window is ``window``
     consecutive words of an item, or all of a shorter one. Returns one row per input row: the id, ``n_words``, ``n_hit``,
-    ``items`` (sorted strings), ``spans`` (first and past-the-end word of each hit run) and the columns in ``keep``. Null
+    ``items`` (sorted strings), ``spans`` (first and past-the-end word of each hit run) and the columns in ``keep`` (but for such of these names). Null
     and empty texts have no words; items with a null id or no words are left out; repeated rows stay rows; empty tables
     work.
 
@@ -135,6 +135,7 @@ def benchmark_overlap(
     each, so its size is checked and not assumed. Usually that is one scan without any shuffle.
     """
     c = F.col
+    keep = tuple(k for k in keep if k not in (id_col, "n_words", "n_hit", "items", "spans"))
     blocks = _item_blocks(bench, item_col, item_text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)

@@ -199,10 +199,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
     """``pages`` without the html column and with its main text as ``out_col``, whole, in page order.
 
     Character references are decoded once, white space inside a block becomes one blank. Null and empty html give an empty
-    text; repeated rows stay rows; other columns are kept (none may be called ``out_col``). One scan, no shuffle: a page is
+    text; repeated rows stay rows; other columns are kept, but for an older ``out_col``. One scan, no shuffle: a page is
     the unit of work, and nothing is kept between pages.
     """
-    rest = [c for c in pages.columns if c != html_col]
+    rest = [c for c in pages.columns if c not in (html_col, out_col)]
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest), f"`{out_col}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,8 +169,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``. Only the text is looked at, whole.
 
     A null text, one without a letter, or a model without languages gives ``und`` with score 0, not ambiguous. Repeated rows
-    stay rows; other columns are kept (their names must not be the three). One scan, no shuffle.
+    stay rows; other columns are kept, but for older ones of these three names. One scan, no shuffle.
     """
+    docs = docs.drop("lang_pred", "score", "ambiguous", "_letter")
     names = [*docs.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _letter boolean, lang_pred string, score double, ambiguous boolean"
     at = names.index(text_col)

@@ -118,7 +118,7 @@ def mix_sources(
     c = F.col
     sized = stage(
         docs.select(
-            c(id_col).alias("doc_id"), c(source_col).alias("source"), F.coalesce(F.regexp_count(c(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            c(id_col).alias("doc_id"), c(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(c(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), c(id_col)).alias("_h"),
         ),
         "sized",

@@ -271,7 +271,7 @@ def test_language_id(spark):
     got = langid.identify(d, model).collect()
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert len(held) > 20 and np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.95 and all(0 <= r["score"] <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, "12 34 …", None), (4, "a", None), (None, "the of and", "en")], "doc_id int, text string, score_x string")
+    odd = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, "12 34 …", None), (4, "a", None), (None, "the of and", "en")], "doc_id int, text string, score string")
     pred = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()}
     assert pred[1] == pred[2] == pred[3] == "und" and pred[4] in model.langs and pred[None] == "en"
     nothing = langid.train(d.filter("lang IS NULL"))
@@ -300,7 +300,7 @@ def test_html(spark):
     assert main_text("<p>" + "x" * 100_000 + "</p>").startswith("x") is False
     assert main_text("plain the of and words that go on for long enough to be text of the page itself, and so on") != ""
     assert main_text("<div " + '"' * 5001 + "a" * 20000) is not None
-    got = extract_main_text(spark.createDataFrame([(1, PAGE), (None, None), (2, "")], "page_id int, html string").withColumn("n", F.lit(1))).collect()
+    got = extract_main_text(spark.createDataFrame([(1, PAGE), (None, None), (2, "")], "page_id int, html string").withColumns({"n": F.lit(1), "text": F.lit("old")})).collect()
     assert {r["page_id"]: r["text"] for r in got} == {1: want, None: "", 2: ""}
 
 
