@@ -104,7 +104,7 @@ def range_hashes(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
 
 def pack(parts: tuple) -> bytes:
     """A compressed row of arrays."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:
@@ -112,6 +112,21 @@ def unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def by_digit(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^32 as four rows of bytes, which compress better than whole numbers."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def from_digits(rows: np.ndarray) -> np.ndarray:
+    """What :func:`by_digit` was given."""
+    return np.ascontiguousarray(rows.T).view("<u4")[:, 0].astype(np.int64)
+
+
+def offsets_of(lengths: np.ndarray) -> np.ndarray:
+    """Starts of consecutive pieces, and the end of the last."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
 @dataclass
 class Occurrences:
     """Segments of a shard, from all runs, with their texts' identities."""
@@ -205,7 +220,8 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
             if len(i):
                 i, body = encode(flat, ca, cm, cb, i)
                 d, back = np.unique(of[i], return_inverse=True)
-                yield s, pack((key[i], content[i], doc[d], th[d], back.astype(np.uint32), first[i].astype(np.uint32), windows[i].astype(np.uint16), body))
+                # half of the anchor's hash will do, as segments that meet are compared by content
+                yield s, pack(((key[i] >> np.uint64(32)).astype(np.uint32), content[i], doc[d], th[d], by_digit(back), by_digit(first[i]), windows[i].astype(np.uint16), body))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, ids, hashes, held, texts = [], [], [], 0, 0
@@ -251,9 +267,10 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
             return settled
         bodies = [r[7] for r in runs]
         lens = [len(r[0]) for r in runs]
+        back = [from_digits(r[4]) for r in runs]
         occ = Occurrences(
-            np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), np.concatenate([r[2][r[4]] for r in runs]), np.concatenate([r[3][r[4]] for r in runs]),
-            np.concatenate([r[5] for r in runs]).astype(np.int64), np.concatenate([r[6] for r in runs]).astype(np.int64),
+            np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), np.concatenate([r[2][k] for r, k in zip(runs, back, strict=True)]), np.concatenate([r[3][k] for r, k in zip(runs, back, strict=True)]),
+            np.concatenate([from_digits(r[5]) for r in runs]), np.concatenate([r[6] for r in runs]).astype(np.int64),
             np.repeat(np.arange(len(runs)), lens), np.concatenate([np.arange(x) for x in lens]),
         )
         del runs

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from annalist.llm.anchors import Occurrences, groups_of, identified, repeated_spans, with_spans
+from annalist.llm.anchors import Occurrences, groups_of, identified, offsets_of, repeated_spans, with_spans
 from annalist.llm.vectext import NOT_SPACE, Words, covered
 
 #: Words of an anchor.
@@ -92,9 +92,9 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray):
 def encode_words(flat: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, i: np.ndarray):
     """Segments' words, one after the other."""
     lens = (b - a)[i]
-    off = np.concatenate([[0], np.cumsum(lens)])
+    off = offsets_of(lens)
     pick = np.arange(off[-1]) - np.repeat(off[:-1], lens) + np.repeat(a[i], lens)
-    return i, (off.astype(np.uint32), flat[pick].tobytes())
+    return i, (lens.astype(np.uint32), flat[pick].tobytes())
 
 
 def match_words(size: int):
@@ -103,6 +103,7 @@ def match_words(size: int):
     def detail(occ: Occurrences, bodies: list):
         seg, first, stop = [], [], []
         bounds = groups_of(occ.key)
+        bodies = [(offsets_of(lens), text) for lens, text in bodies]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             automaton = SuffixAutomaton()
             for k in range(lo, hi):

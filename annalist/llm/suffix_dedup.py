@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from annalist.llm.anchors import Occurrences, groups_of, identified, repeated_spans, with_spans
+from annalist.llm.anchors import Occurrences, groups_of, identified, offsets_of, repeated_spans, with_spans
 from annalist.llm.vectext import BYTE_CODE, covered, runs
 
 #: Bytes of an anchor.
@@ -37,14 +37,15 @@ def encode_suffixes(flat: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarra
     lcp[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), width), np.minimum(lens[1:], lens[:-1]))
     rest = grid[inside & (np.arange(width) >= lcp[:, None])].tobytes()
     left = (m - a)[i]
-    off = np.concatenate([[0], np.cumsum(left)])
+    off = offsets_of(left)
     pick = np.arange(off[-1]) - np.repeat(off[:-1], left) + np.repeat(a[i], left)
-    return i, (lcp.astype(np.uint16), lens.astype(np.uint16), rest, off.astype(np.uint32), flat[pick].tobytes())
+    return i, (lcp.astype(np.uint16), lens.astype(np.uint16), rest, left.astype(np.uint16), flat[pick].tobytes())
 
 
 def decode_run(body: tuple, keep: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """Suffixes and left parts of the entries ``keep`` (ascending) and each one's common prefix with the one before."""
-    lcp, lens, rest, off, left = body
+    lcp, lens, rest, fronts, left = body
+    off = offsets_of(fronts)
     suffixes, cur, at = [], b"", 0
     wanted = np.zeros(len(lcp), bool)
     wanted[keep] = True
