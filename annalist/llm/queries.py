@@ -128,4 +128,10 @@ ORACLES: dict[str, str] = {
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    # on these pages the main text is the article element; SQL takes just that
+    "op10_html_extraction": r"""
+        WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?p>|</?h1>') AS parts FROM pages),
+        u AS (SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g'),
+            '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') AS parts FROM b)
+        SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10))) AS n_chars FROM u""",
 }
