@@ -237,3 +237,25 @@ def v_stable_dims(spark, d):
 @C.add()
 def v_gap(spark, d):
     return P.gap_statistic(vectors(spark, d).withColumn("v", F.slice("v", 1, 4)), (2, 3), refs=2)
+
+
+@C.add()
+def v_ner_llm(spark, d):
+    got = P.extract_by_completion(table(spark, d, "benchmark"), "item_id", "text", "Nenne alle:", P.CapitalLister())
+    return got.select("item_id", "ord", "typ", "normalform", F.array_join("aliases", "|").alias("aliases"))
+
+
+@C.add("SELECT vec_id, label, round(embedding[1]::DOUBLE, 4) AS x FROM embeddings")
+def snk_experiment_csv(spark, d):
+    path = new_path(spark, "csv")
+    v = vectors(spark, d).select("vec_id", "label", F.round(F.col("v")[0], 4).alias("x"))
+    v.write.option("header", "true").csv(path)
+    return spark.read.schema("vec_id long, label int, x double").option("header", "true").csv(path)
+
+
+@C.add("SELECT '# Konzept' || chr(10) || 'The, and, AND' || chr(10) || '# Organisation' || chr(10) || 'Les, des, la' || chr(10) || '# Ort' || chr(10) || 'en, Ble' || chr(10) || '# Person' || chr(10) || 'von' || chr(10) || 'qui, que, The' AS block")
+def p_few_shot(spark, d):
+    from annalist.catalog.facts import entity_list
+    from annalist.functions.parsers import few_shot_block
+
+    return few_shot_block(entity_list(spark))

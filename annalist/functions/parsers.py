@@ -171,3 +171,19 @@ def highlight(aliases: Mapping[str, tuple[str, str]], keywords: Sequence[str], f
         return texts.map(one)
 
     return lambda col: run(col)
+
+
+def candidate_line(normalform: Column, aliases: Column, most: int = 3) -> Column:
+    """An entity as a prompt line: its name and the first few aliases."""
+    kept = F.slice(F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: a.isNotNull() & (a != "")), 1, most)
+    return F.array_join(F.concat(F.array(normalform), kept), ", ")
+
+
+def few_shot_block(entities: DataFrame, per_type: int = 3) -> DataFrame:
+    """One row ``block``: up to ``per_type`` entities of each type under a header, in list order. A dictionary is small."""
+    w = Window.partitionBy("typ").orderBy("ord")
+    line = candidate_line(F.col("normalform"), F.col("aliases"))
+    kept = entities.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_type).select("typ", "ord", line.alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "l"))), lambda x: x["l"]), "\n")
+    groups = kept.groupBy("typ").agg(F.concat(F.lit("# "), F.col("typ"), F.lit("\n"), text).alias("b"))
+    return groups.agg(F.array_join(F.array_sort(F.collect_list("b")), "\n").alias("block"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
+from annalist.plans.numbering import numbered
 
 REQUIRED = ("id", "doc_anchor", "year", "date_raw", "date_js", "date_precision", "text", "event_type", "confidence", "source_name", "source_date", "url", "is_quote", "actors", "causal_theme")
 # Parts of catch-all category names.
@@ -22,18 +23,14 @@ def no_strings() -> Column:
 def build_entries(segments: DataFrame, classified: DataFrame) -> DataFrame:
     """Dated segments with their classification as fact rows of the 15 required fields, ids in document order.
 
-    A missing classification leaves category and confidence null and actors empty; undated segments stay. Ids are dense over
-    the whole corpus: counts per document give each document's offset, so no window spans documents.
+    A missing classification leaves category and confidence null and actors empty; undated segments stay.
     """
     c = F.col
     cls = classified.select("segment_id", "category", "confidence", "actors")
-    rows = segments.drop("category", "confidence", "actors").join(cls, "segment_id", "left")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = segments.groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = numbered(segments.drop("category", "confidence", "actors").join(cls, "segment_id", "left"), ["doc_id", "pos"])
     raw = T.date_raw(c("date_raw") if "date_raw" in segments.columns else F.lit(None).cast("string"), c("date"), c("time_from"))
-    return rows.withColumn("_place", place).join(offsets, "doc_id").select(
-        (c("_before") + c("_place")).alias("id"), c("segment_id").alias("doc_anchor"), c("time_from").alias("year"), raw.alias("date_raw"), T.date_js(raw, c("time_from")).alias("date_js"),
+    return rows.select(
+        "id", c("segment_id").alias("doc_anchor"), c("time_from").alias("year"), raw.alias("date_raw"), T.date_js(raw, c("time_from")).alias("date_js"),
         T.date_precision(c("precision")).alias("date_precision"), "text", c("category").alias("event_type"), T.confidence_abbrev(c("confidence")).alias("confidence"), c("source").alias("source_name"),
         T.empty_as_null(c("date")).alias("source_date"), F.coalesce(c("url"), F.lit("")).alias("url"), T.is_quote(c("text")).alias("is_quote"), F.coalesce("actors", no_strings()).alias("actors"), no_strings().alias("causal_theme"),
     )
@@ -54,7 +51,7 @@ def group_by_article(entries: DataFrame) -> DataFrame:
     counts = rows.filter("event_type <> ''").groupBy(*key, "event_type").agg(F.count("*").alias("_n"), (-F.min("id")).alias("_f"))
     mode = counts.groupBy(*key).agg(F.max_by("event_type", F.struct("_n", "_f")).alias("event_type"))
     joined = base.join(mode, key, "left").drop(*key)
-    return joined.withColumn("id", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    return numbered(joined, ["_first"]).drop("_first")
 
 
 def category_counts(rows: DataFrame, category: str = "category") -> DataFrame:

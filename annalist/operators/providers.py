@@ -71,6 +71,14 @@ class KeywordClassifier:
         return out
 
 
+class CapitalLister:
+    """Answers an extraction prompt with the capitalised words of the text below it, as a list of concepts."""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        """Entity lines."""
+        return ["# Konzepte\n" + "\n".join(dict.fromkeys(re.findall(r"\b[A-ZÄÖÜ][a-zäöüß]{3,}", p.split("\n", 1)[-1]))) for p in prompts]
+
+
 class DictionarySpans:
     """Finds capitalised names of a dictionary."""
 
@@ -148,6 +156,26 @@ def extract_mentions(rows: DataFrame, key: str, text: str, provider: SpanProvide
     return m.filter((F.col("score") >= least) & ~is_noise_mention(F.col("mention")))
 
 
+def extract_by_completion(rows: DataFrame, key: str, text: str, prompt: str, provider: CompletionProvider, most: int = 8000) -> DataFrame:
+    """Entities that a completion model lists for chunks of texts: ``key``, ``ord``, ``typ``, ``normalform``, ``aliases``.
+
+    Answers are read as ``# Type`` headers with ``name, alias, …`` lines; equal names (whatever their case) of a key are one
+    entity with all aliases.
+    """
+    from annalist.functions.parsers import chunk_sentences, entity_lines
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for chunks in batches:
+            yield pd.Series(provider.complete([f"{prompt}\n{c}" for c in chunks]), index=chunks.index, dtype=object)
+
+    chunks = rows.select(F.col(key).alias("_k"), F.posexplode(chunk_sentences(text, most)).alias("_i", "_c"))
+    found = entity_lines(chunks.select("_k", "_i", ask("_c").alias("_a")), ["_k", "_i"], "_a").withColumn("ord", F.col("_i") * 10_000 + F.col("ord"))
+    low = F.lower(F.trim("normalform"))
+    alias = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "aliases"))), lambda x: x["aliases"])))
+    return found.groupBy("_k", low.alias("_n")).agg(F.min("ord").alias("ord"), F.min_by("typ", "ord").alias("typ"), F.min_by("normalform", "ord").alias("normalform"), alias.alias("aliases")).drop("_n").withColumnRenamed("_k", key)
+
+
 def diverse_sample(rows: DataFrame, by: str, key: str, m: int, seed: int = 42) -> DataFrame:
     """``m`` members per cluster: the nearest to the centroid, then ones far from those taken, by D² sampling.
 
