@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.catalog.corpus import CATEGORIES, Catalog, segments, vectors, with_segments
+from annalist.catalog.vectors import CEN
 from annalist.functions import text as T
 from annalist.operators import providers as P
 from annalist.operators import vectors as V
@@ -163,7 +164,7 @@ def v_classify_llm(spark, d):
     return P.classify_texts(table(spark, d, "documents").select("doc_id", "text"), "text", "Ordne zu:", CATEGORIES, p).select("doc_id", "category", "confidence")
 
 
-@C.add()
+@C.add(r"""SELECT doc_id, w AS mention, CASE w WHEN 'Les' THEN 'Ort' ELSE 'Konzept' END AS label, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[^\p{L}\p{N}_]+')) AS w FROM documents) WHERE w IN ('The', 'Der', 'Les') GROUP BY ALL""")
 def v_ner(spark, d):
     p = P.DictionarySpans({"The": "Konzept", "Der": "Konzept", "Les": "Ort"})
     m = P.extract_mentions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", p)
@@ -175,7 +176,7 @@ def v_kmeanspp_sample(spark, d):
     return P.diverse_sample(vectors(spark, d), "label", "vec_id", 4)
 
 
-@C.add()
+@C.add("SELECT p_partkey, p_name || '. ' || p_type || '. ' || replace(p_type, ' ', ', ') AS baseline, p_brand AS medoid, replace(p_type, ' ', ', ') AS tfidf, p_name || '. ' || replace(p_type, ' ', ', ') || '. ' || p_brand AS hybrid, 'Represent the topic for retrieval: ' || p_name || '. ' || replace(p_type, ' ', ', ') AS instruction FROM part")
 def v_label_strategies(spark, d):
     t = table(spark, d, "part").select("p_partkey", *[P.label_text(s, F.col("p_name"), F.col("p_type"), F.split("p_type", " "), F.col("p_brand")).alias(s) for s in ("baseline", "medoid", "tfidf", "hybrid", "instruction")])
     return t
@@ -185,7 +186,9 @@ def _unit_labels(spark, d):
     return V.centroids(vectors(spark, d), "label").withColumnRenamed("label", "ord")
 
 
-@C.add()
+@C.add(f"""{CEN}, s AS (SELECT vec_id, cen.label, list_inner_product(v, c) AS s FROM vec CROSS JOIN cen), a AS (SELECT vec_id, label FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1),
+    b AS (SELECT vec_id, label FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN label = 0 THEN -s ELSE s END DESC, label) = 1)
+    SELECT vec_id, CASE WHEN a.label = 0 AND b.label = 0 THEN 'stayed' WHEN a.label = 0 THEN 'left' ELSE 'arrived' END AS side FROM a JOIN b USING (vec_id) WHERE a.label = 0 OR b.label = 0""")
 def v_label_edit(spark, d):
     """Who changes sides when label 0 becomes the opposite of itself."""
     v, old = vectors(spark, d), stage(_unit_labels(spark, d), "labels")
@@ -195,7 +198,7 @@ def v_label_edit(spark, d):
     return a.join(b, "vec_id").select("vec_id", side.alias("side")).filter("side IS NOT NULL")
 
 
-@C.add()
+@C.add(f"{CEN}, s AS (SELECT vec_id, cen.label, round(0.7 * list_inner_product(v, c) + CASE WHEN vec_id % 10 = cen.label THEN 0.15 ELSE 0 END, 9) AS s FROM vec CROSS JOIN cen) SELECT vec_id, label FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1")
 def v_assign_dual(spark, d):
     v = vectors(spark, d)
     sem = v.drop("label").crossJoin(V.centroids(v, "label")).select("vec_id", "label", V.dot("v", "c").alias("s"))

@@ -279,7 +279,7 @@ def p_prompt_blocks(spark, d):
     return category_block(t)
 
 
-@C.add()
+@C.add("SELECT p_partkey, p_type AS name, 'Beschreibung der Gruppe' AS description, 'a|b|' || p_brand AS keywords FROM part UNION ALL SELECT p_partkey, 'Rest', '', '' FROM part")
 def p_taxonomy_text(spark, d):
     from annalist.functions.parsers import taxonomy_text
 
@@ -287,7 +287,7 @@ def p_taxonomy_text(spark, d):
     return taxonomy_text(table(spark, d, "part").select("p_partkey", answer.alias("answer")), "answer").select("p_partkey", "name", "description", F.array_join("keywords", "|").alias("keywords"))
 
 
-@C.add()
+@C.add("""SELECT doc_id, '{"category": "' || lang || '", "n": {"x": [' || doc_id || ']}}' AS json FROM documents""")
 def p_json_extract(spark, d):
     from annalist.functions.parsers import first_json
 
@@ -295,7 +295,7 @@ def p_json_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", first_json(answer).alias("json"))
 
 
-@C.add()
+@C.add("SELECT p_partkey, 1 AS n, NULL AS title, 'Erster' || chr(10) || 'Teil' AS body FROM part UNION ALL SELECT p_partkey, 2, 'Zweite', 'Text ' || p_brand FROM part UNION ALL SELECT p_partkey, 3, NULL, NULL FROM part")
 def p_group_blocks(spark, d):
     from annalist.functions.parsers import group_blocks
 

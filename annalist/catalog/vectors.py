@@ -152,12 +152,14 @@ def v_k_vote(spark, d):
     return V.k_vote(spark.createDataFrame([(5,), (3,), (3,)], "k int"))
 
 
-@C.add()
+@C.add(f"""{W}, p AS (SELECT a.vec_id, a.label AS own, b.label, avg(list_distance(a.v, b.v) ** 2) FILTER (WHERE a.vec_id <> b.vec_id) AS d FROM vec a CROSS JOIN vec b GROUP BY ALL),
+    s AS (SELECT vec_id, max(d) FILTER (WHERE own = label) AS a, min(d) FILTER (WHERE own <> label) AS b FROM p GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""")
 def v_silhouette(spark, d):
-    return V.silhouette(vectors(spark, d), "label", "vec_id")
+    return V.silhouette(vectors(spark, d), "label", "vec_id").select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@C.add()
+@C.add(f"""WITH RECURSIVE vec AS ({VECTORS_SQL}), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND {DOT}(a.v, b.v) >= {THETA}), r(a, b) AS (SELECT vec_id, vec_id FROM vec UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+    SELECT a AS vec_id, CASE WHEN count(*) > 1 THEN min(b) END AS cluster FROM r GROUP BY a""")
 def v_dbscan(spark, d):
     return V.dbscan(vectors(spark, d), "vec_id", THETA)
 
