@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -21,8 +21,10 @@ WIDE_POSTINGS = 30_000_000
 #: Posting lists up to this length are compared pair by pair in bulk; longer ones by growing components.
 SMALL_LIST = 24
 #: Posting sets for limits under which no shared byte is certain. Of 256-bit fingerprints at a similarity of 0.8, 0.85, 0.9 and
-#: 0.95 about 84, 97, 99.9 and 100 % of pairs meet in one of 96 triples.
-LOOSE_SETS = 96
+#: 0.95 about 71, 91, 99 and 100 % of pairs meet in one of 64 triples.
+LOOSE_SETS = 64
+#: Posting sets of the first round where there are more; what it joins need not be linked again in the second.
+FIRST_SETS = 8
 
 
 def fingerprint(data: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
@@ -100,27 +102,32 @@ def _close(x: np.ndarray, y: np.ndarray, differ: int) -> np.ndarray:
     return (tally >= max(1, n_bytes - differ)) & (np.bitwise_count(d).sum(-1) <= differ)
 
 
-def _grow(ids: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
-    """Links that join a posting list's close fingerprints into its components: each is compared with the unreached only.
+def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
+    """Links of labels that join a posting list's close fingerprints: each is compared with the unreached only.
 
-    All members are linked to the one with the smallest key, so that the lists that a crowd is in give mostly the same links.
+    Fingerprints with one label count as joined. All labels are linked to the smallest one of their component.
     """
-    out, left = [], np.argsort(ids, kind="stable")
+    out, left = [], np.argsort(labels, kind="stable")
     while len(left):
-        low, front, left = left[0], [left[0]], left[1:]
+        low = labels[left[0]]
+        own = labels[left] == low
+        front, left = left[own].tolist(), left[~own]
         while front and len(left):
             x = front.pop()
             near = _close(fps[left], fps[x][None], differ)
             if near.any():
-                got = left[near]
-                out.append(np.stack([np.full(len(got), ids[low]), ids[got]]))
-                front.extend(got.tolist())
+                new = np.unique(labels[left[near]])
+                out.append(np.stack([np.full(len(new), low), new]))
+                near = np.isin(labels[left], new)
+                front.extend(left[near].tolist())
                 left = left[~near]
     return out
 
 
-def links(fps: DataFrame, differ: int, words: int = 1) -> DataFrame:
-    """Links (``a``, ``b``, values of ``key``) between distinct fingerprints (``key``, ``f0``…) that join all within ``differ`` bits.
+def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int, ...]] | None = None) -> DataFrame:
+    """Links (``a``, ``b``, values of ``key``) that join all fingerprints (``key``, ``f0``…) within ``differ`` bits of each other.
+
+    Fingerprints with one key count as joined already; at first each has its own.
 
     The index maps a set of byte positions with their values to the fingerprints that have them; single bytes would give
     lists of a 256th of the corpus, so a posting holds several positions, see :func:`posting_sets`. Inside a list the shared
@@ -128,9 +135,8 @@ def links(fps: DataFrame, differ: int, words: int = 1) -> DataFrame:
     an already joined component is skipped, so a crowd of near copies costs about its length; no link between components is
     lost.
     """
-    width = 3 if fps.count() < WIDE_POSTINGS else 4
     names = [f"f{j}" for j in range(words)]
-    sets = posting_sets(8 * words, width, differ)
+    sets = posting_sets(8 * words, 3 if fps.count() < WIDE_POSTINGS else 4, differ) if sets is None else sets
     byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
 
     def post(i: int, s: tuple[int, ...]):
@@ -141,7 +147,7 @@ def links(fps: DataFrame, differ: int, words: int = 1) -> DataFrame:
 
     row = F.struct("key", *names)
     keyed = fps.select(row.alias("r"), F.explode(F.array(*[post(i, s) for i, s in enumerate(sets)])).alias("k"))
-    lists = keyed.groupBy("k").agg(F.collect_list("r").alias("rows")).filter(F.size("rows") > 1).select("rows")
+    lists = keyed.groupBy("k").agg(F.collect_list("r").alias("rows"), F.min("r.key").alias("lo"), F.max("r.key").alias("hi")).filter("lo < hi").select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,10 +190,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     c, names = F.col, [f"f{j}" for j in range(words)]
     rows = fingerprints(docs, id_col, text_col, shingle, words)
     rows = stage(rows.withColumn("key", c("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
-    comps = connected_components(links(rows.select("key", *names).distinct(), differ, words))
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
-    labelled = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "low", F.coalesce("component", "key").alias("root"))
-    labelled = stage(labelled, "classes")
+    labelled = stage(rows.groupBy("key", *names).agg(F.min("doc_id").alias("low")).withColumn("root", c("key")), "classes")
+    sets = posting_sets(8 * words, 3 if labelled.count() < WIDE_POSTINGS else 4, differ)
+    for part in [sets] if len(sets) < 4 * FIRST_SETS else [sets[::len(sets) // FIRST_SETS], [x for i, x in enumerate(sets) if i % (len(sets) // FIRST_SETS)]]:
+        comps = connected_components(links(labelled.select(c("root").alias("key"), *names), differ, words, part))
+        joined = labelled.join(comps, labelled["root"] == comps["node"], "left")
+        labelled = stage(joined.select("key", *names, "low", F.coalesce("component", "root").alias("root")), "classes")
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     named = labelled.join(lowest, "root").select("key", "component_id")
     text = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
