@@ -196,6 +196,15 @@ def test_long_fingerprints_find_near_copies(spark):
     assert all(comps[i]["component_id"] == comps[i + 40]["component_id"] == i for i in range(40))
 
 
+def test_loose_sets_find_most_pairs():
+    r = np.random.default_rng(5)
+    for similarity, least in ((0.8, 0.8), (0.85, 0.92)):
+        p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        same = ~(r.random((4000, 32, 8)) < p).any(2)
+        sets = simhash.posting_sets(32, 3, simhash.near_limit(0.8, 256))
+        assert np.mean(np.any([same[:, list(s)].all(1) for s in sets], axis=0)) >= least
+
+
 def test_substring_dedup(spark, docs, odd):
     by = rows_of(substring_dedup(docs))
     seq = [(i, [w.encode() for w in brute.WORD.findall(t or "")]) for i, t in enumerate(TEXTS)]
