@@ -25,6 +25,8 @@ SMALL_LIST = 24
 LOOSE_SETS = 192
 #: Posting sets of the first round where there are more; what it joins need not be linked again in the second.
 FIRST_SETS = 8
+#: Posting sets that are exchanged at a time where every candidate pair is wanted.
+SETS_AT_ONCE = 32
 
 
 def fingerprint(data: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
@@ -33,24 +35,49 @@ def fingerprint(data: bytes, shingle: int, words: int = 1, seed: int = 42) -> np
     A bit is set if over half of the shingles' hashes have it. The first number's hashes are the shingles' XXH64; further
     numbers scramble these.
     """
-    tokens = data.lower().split()  # for bytes both know ASCII only
     out = np.zeros(words, np.uint64)
-    if not tokens:
+    flat, a, b = _spans(data, shingle)
+    if not a:
         return out
-    flat, h = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= shingle:
-        a, b = [0], [len(flat)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        a = [0, *ends[: len(tokens) - shingle].tolist()]
-        b = (ends[shingle - 1 :] - 1).tolist()
+    h = xxhash.xxh64_intdigest
     ones = np.zeros((words, 64), np.int64)
     for i in range(0, len(a), 1 << 14):
-        hs = np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + (1 << 14)], b[i : i + (1 << 14)], strict=True)], "<u8")
+        ones += _bit_counts(np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + (1 << 14)], b[i : i + (1 << 14)], strict=True)], "<u8"), words)
+    return np.packbits(2 * ones > len(a), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _spans(data: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The text with single blanks, and where its shingles start and end; a short text is one shingle, an empty one has none."""
+    tokens = data.lower().split()  # for bytes both know ASCII only
+    flat = b" ".join(tokens)
+    if len(tokens) <= shingle:
+        return flat, [0] * bool(tokens), [len(flat)] * bool(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    return flat, [0, *ends[: len(tokens) - shingle].tolist()], (ends[shingle - 1 :] - 1).tolist()
+
+
+def _bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
+    """How many of the hashes have each bit, for each number of a fingerprint."""
+    ones = np.zeros((words, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        hs = hashes[i : i + (1 << 14)]
         for j in range(words):
             hj = mix64(hs + np.uint64(j)) if j else hs
             ones[j] += np.unpackbits(hj.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(a), axis=1, bitorder="little").view("<u8")[:, 0]
+    return ones
+
+
+def shingle_set(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 hashes of a UTF-8 text's shingles in order, ASCII upper case folded."""
+    flat, a, b = _spans(data, shingle)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(flat[x:y], seed) for x, y in zip(a, b, strict=True)], "<u8"))
+
+
+def similarity_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
@@ -103,9 +130,10 @@ def _close(x: np.ndarray, y: np.ndarray, differ: int) -> np.ndarray:
 
 
 def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
-    """Links of labels that join a posting list's close fingerprints: each is compared with the unreached only.
+    """Links that join a posting list's close fingerprints: each is compared with the unreached only.
 
-    Fingerprints with one label count as joined. All labels are linked to the smallest one of their component.
+    Fingerprints with one label count as joined. Columns of a link: the smallest label of the component, which all its other
+    labels are linked to, and the two rows that were close.
     """
     out, left = [], np.argsort(labels, kind="stable")
     while len(left):
@@ -116,15 +144,28 @@ def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
             x = front.pop()
             near = _close(fps[left], fps[x][None], differ)
             if near.any():
-                new = np.unique(labels[left[near]])
-                out.append(np.stack([np.full(len(new), low), new]))
+                new, first = np.unique(labels[left[near]], return_index=True)
+                out.append(np.stack([np.full(len(new), low), np.full(len(new), x), left[near][first]]))
                 near = np.isin(labels[left], new)
                 front.extend(left[near].tolist())
                 left = left[~near]
     return out
 
 
-def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int, ...]] | None = None) -> DataFrame:
+def _all_close(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
+    """All pairs of rows of a posting list that are close and have different labels; the largest label is not searched itself."""
+    kinds, n = np.unique(labels, return_counts=True)
+    most = labels == kinds[np.argmax(n)]
+    order = np.concatenate([np.nonzero(~most)[0], np.nonzero(most)[0]])
+    out = []
+    for i in range(len(order) - int(most.sum())):
+        x, rest = order[i], order[i + 1 :]
+        near = rest[_close(fps[rest], fps[x][None], differ) & (labels[rest] != labels[x])]
+        out.append(np.stack([np.full(len(near), x), near]))
+    return out
+
+
+def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int, ...]] | None = None, pairs: str = "") -> DataFrame:
     """Links (``a``, ``b``, values of ``key``) that join all fingerprints (``key``, ``f0``…) within ``differ`` bits of each other.
 
     Fingerprints with one key count as joined already; at first each has its own.
@@ -134,6 +175,10 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
     positional bytes of a pair are tallied, pairs under the minimum dropped, the rest verified. In long lists a pair inside
     an already joined component is skipped, so a crowd of near copies costs about its length; no link between components is
     lost.
+
+    With ``pairs`` of ``some`` or ``all`` there is a further column ``node``, and the result has the close fingerprints' own
+    nodes (``a``, ``b``) with their keys (``x``, ``y``), to be verified. ``some`` are found as above; of ``all`` none is left
+    out, but for pairs with one key.
     """
     names = [f"f{j}" for j in range(words)]
     sets = posting_sets(8 * words, 3 if fps.count() < WIDE_POSTINGS else 4, differ) if sets is None else sets
@@ -145,7 +190,8 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
             k = F.shiftleft(k, 8).bitwiseOR(byte(p))
         return k
 
-    row = F.struct("key", *names)
+    own = "node" if pairs else "key"
+    row = F.struct("key", own, *names) if pairs else F.struct("key", *names)
     keyed = fps.select(row.alias("r"), F.explode(F.array(*[post(i, s) for i, s in enumerate(sets)])).alias("k"))
     lists = keyed.groupBy("k").agg(F.collect_list("r").alias("rows"), F.min("r.key").alias("lo"), F.max("r.key").alias("hi")).filter("lo < hi").select("rows")
 
@@ -154,25 +200,39 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
             col = batch.column(0)
             off = np.asarray(col.offsets).astype(np.int64)
             ids = np.asarray(col.values.field(0))
-            flat = np.stack([np.asarray(col.values.field(1 + j)) for j in range(words)], axis=1).view(np.uint64)
+            nodes = np.asarray(col.values.field(own))
+            flat = np.stack([np.asarray(col.values.field(n)) for n in names], axis=1).view(np.uint64)
             size, found = np.diff(off), []
+
+            def add(i: np.ndarray, j: np.ndarray, low: np.ndarray | None = None) -> None:
+                found.append(np.stack([nodes[i], nodes[j], ids[i], ids[j]] if pairs else [ids[i] if low is None else low, ids[j]]))
+
             for s in np.unique(size):
                 at = off[:-1][size == s]
                 if s <= SMALL_LIST:
                     step = max(1, (1 << 16) // int(s * words))
                     for cut in range(0, len(at), step):
                         idx = at[cut : cut + step, None] + np.arange(s)
-                        m, k = flat[idx], ids[idx]
+                        m = flat[idx]
                         for i in range(s - 1):
                             r, q = np.nonzero(_close(m[:, i : i + 1], m[:, i + 1 :], differ))
-                            found.append(np.stack([k[r, i], k[r, i + 1 + q]]))
+                            add(idx[r, i], idx[r, i + 1 + q])
                 else:
                     for a in at:
-                        found += _grow(ids[a : a + s], flat[a : a + s], differ)
-            e = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+                        if pairs == "all":
+                            for i, j in _all_close(ids[a : a + s], flat[a : a + s], differ):
+                                add(a + i, a + j)
+                        else:
+                            for low, i, j in _grow(ids[a : a + s], flat[a : a + s], differ):
+                                add(a + i, a + j, low)
+            e = np.concatenate(found, axis=1) if found else np.zeros((len(out), 0), np.int64)
+            if pairs:
+                e = e[:, e[2] != e[3]]
+                e = np.where(e[0] < e[1], e, e[[1, 0, 3, 2]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in e], out)
+
+    out = ["a", "b", "x", "y"] if pairs else ["a", "b"]
+    return lists.mapInArrow(run, ", ".join(f"{n} long" for n in out)).filter("a <> b").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, words: int = 1) -> DataFrame:
@@ -202,6 +262,89 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "key").select(c("doc_id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """``doc_id``, ``digest`` of the text, ``node`` (a hash of the shingle set) and the set's fingerprint for every row."""
+    names = [f"f{j}" for j in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 1 + words), np.uint64)
+            for i, t in enumerate(batch.column(2)):
+                hs = shingle_set((t.as_py() or "").encode(), shingle)
+                out[i, 0] = xxhash.xxh64_intdigest(hs.tobytes(), 7)
+                out[i, 1:] = np.packbits(2 * _bit_counts(hs, words) > len(hs), axis=1, bitorder="little").view("<u8")[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]], ["doc_id", "digest", "node", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, digest long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the candidate ``pairs`` whose shingle sets are as similar as asked, as links ``a``, ``b`` of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[node] = shingle_set((text.as_py() or "").encode(), shingle)
+            return known[node]
+
+        for batch in batches:
+            a, b, x, y, s, t = batch.columns
+            a, b = a.to_pylist(), b.to_pylist()
+            keep = pa.array([similarity_of(of(a[i], s[i]), of(b[i], t[i])) >= similarity for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], ["a", "b"])
+
+    first, second = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "s"), ("b", "t")))
+    whole = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", "s", "t")
+    return whole.mapInArrow(run, "a long, b long")
+
+
+def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
+    """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: the id and ``component_id``.
+
+    Candidates are texts that meet in a posting and differ in at most :func:`near_limit` bits with three deviations, which
+    a pair of the similarity hardly exceeds; each candidate's two shingle sets are compared before it links. Fingerprints are
+    those of the sets, without repeats. Texts with equal sets are one node. Three rounds over a few posting sets take only
+    links that may join something, so that crowds of near copies become one component; the last takes every candidate pair
+    that is not yet in one component, from all posting sets, a group of them at a time so that exchanged files can go.
+    Null, repeated and other awkward rows are treated as by :func:`simhash_components`.
+    """
+    c, names, spark = F.col, [f"f{j}" for j in range(words)], docs.sparkSession
+    bits = 64 * words
+    rows = stage(_sketches(docs, id_col, text_col, shingle, words), "sketches")
+    nodes = rows.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "digest")).alias("one"))
+    nodes = stage(nodes.withColumn("key", c("node")), "nodes")
+    differ = near_limit(similarity, bits, 3)
+    sets = posting_sets(8 * words, 3, differ)
+    few, more = max(1, len(sets) // FIRST_SETS), max(1, len(sets) // SETS_AT_ONCE)
+    texts = docs.select(c(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), c(text_col).alias("text"))
+
+    def joined(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        need = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()
+        ones = nodes.join(need, "node", "left_semi").select("node", c("one.doc_id").alias("_d"), c("one.digest").alias("_x"))
+        same = texts["_id"].eqNullSafe(ones["_d"]) & (texts["_digest"] == ones["_x"])
+        held = stage(texts.join(ones, same).groupBy("node").agg(F.first("text").alias("text")), "candidates")
+        comps = connected_components(_verified(pairs, held, shingle, similarity)).select(c("node").alias("_n"), "component")
+        out = nodes.join(comps, nodes["key"] == comps["_n"], "left")
+        return stage(out.select("node", *names, "low", "one", F.coalesce("component", "key").alias("key")), "nodes")
+
+    for most, part in ((near_limit((1 + similarity) / 2, bits, 0), sets[::few]), (near_limit(similarity, bits, 0), sets[few // 2 :: few]), (differ, sets[more // 2 :: more])):
+        nodes = joined(nodes, stage(links(nodes, most, words, part, "some"), "pairs"))
+    pairs = None
+    for i in range(0, len(sets), SETS_AT_ONCE):
+        found = stage(links(nodes, differ, words, sets[i : i + SETS_AT_ONCE], "all"), "pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged files of what has ended
+    nodes = joined(nodes, stage(pairs.distinct(), "pairs"))
+    lowest = nodes.groupBy("key").agg(F.min("low").alias("component_id"))
+    named = nodes.join(lowest, "key").select("node", "component_id")
+    return rows.join(named, "node").select(c("doc_id").alias(id_col), "component_id")
+
+
 def near_limit(similarity: float, bits: int, slack: float = 1.25) -> int:
     """Differing bits to expect between fingerprints of texts with this Jaccard similarity, plus ``slack`` deviations.
 

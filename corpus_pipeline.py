@@ -9,14 +9,14 @@ from annalist.llm.decontaminate import benchmark_overlap
 from annalist.llm.exact_dedup import exact_dedup, normalised
 from annalist.llm.langid import identify, train
 from annalist.llm.mixing import mix_sources
-from annalist.llm.simhash import near_limit, simhash_components
+from annalist.llm.simhash import near_components
 from annalist.plans.staging import stage
 from annalist.plans.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A prediction that is ambiguous and scores less is a rejection.
 LEAST_SCORE = 0.5
-#: Near copies: Jaccard similarity of five-word shingles, by 256-bit fingerprints.
+#: Near copies: Jaccard similarity of five-word shingles; candidates by 256-bit fingerprints.
 SIMILARITY, SHINGLE, FINGERPRINT_WORDS = 0.8, 5, 4
 
 
@@ -37,7 +37,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    comps = simhash_components(docs, shingle=SHINGLE, words=FINGERPRINT_WORDS, differ=near_limit(SIMILARITY, 64 * FINGERPRINT_WORDS))
+    comps = near_components(docs, SIMILARITY, shingle=SHINGLE, words=FINGERPRINT_WORDS)
     kept = stage(comps.select(F.col("component_id").alias("_id")).distinct(), "nearkept")
     rows = docs.select(*COLUMNS)
     return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")

@@ -205,6 +205,29 @@ def test_loose_sets_find_most_pairs():
         assert np.mean(np.any([same[:, list(s)].all(1) for s in sets], axis=0)) >= least
 
 
+def test_near_components_compare_the_shingles(spark):
+    def change(w, n):
+        v = list(w)
+        for i in range(n):
+            v[10 + i * (len(v) - 20) // n] = f"neu{i}"
+        return v
+
+    base = [[f"w{k}x{rng.randint(0, 10**6)}" for _ in range(300)] for k in range(12)]
+    rows = [(100 * k + n, " ".join(change(w, n))) for k, w in enumerate(base) for n in (0, 2, 4, 8, 13)]
+    rows += [(9000, "an der Ecke hier " * 200 + " ".join(base[0][:60])), (9001, "an der Ecke hier " * 200 + " ".join(base[1][:60])), (9002, None), (9003, ""), (None, "allein")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1
+    want = brute.components([(i, s) for i, s in sets.items() if i is not None], lambda x, y: jaccard(x, y) >= 0.8)
+    by = rows_of(simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 0.8))
+    assert by.pop(None)["component_id"] is None and len(set(want.values())) > 30
+    assert all(want[r["component_id"]] == want[i] for i, r in by.items())  # nothing is joined that should not be
+    assert np.mean([r["component_id"] == want[i] for i, r in by.items()]) >= 0.95
+    import corpus_pipeline
+
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'de' AS lang", "'s' AS source", "length(text) AS n_chars")
+    assert set(want.values()) <= {r["doc_id"] for r in corpus_pipeline.near_copies(spark, d, "").collect()}
+
+
 def test_substring_dedup(spark, docs, odd):
     by = rows_of(substring_dedup(docs))
     seq = [(i, [w.encode() for w in brute.WORD.findall(t or "")]) for i, t in enumerate(TEXTS)]
