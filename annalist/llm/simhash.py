@@ -16,7 +16,7 @@ from annalist.llm.vectext import mix64
 from annalist.operators.components import connected_components
 from annalist.plans.staging import stage
 
-#: Distinct fingerprints above which postings use four bytes instead of three.
+#: Distinct fingerprints from which postings use four bytes instead of three, where that loses nothing.
 WIDE_POSTINGS = 30_000_000
 #: Posting lists up to this length are compared pair by pair in bulk; longer ones by growing components.
 SMALL_LIST = 24
@@ -95,6 +95,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
+def posting_width(n: int, n_bytes: int, differ: int) -> int:
+    """Positions in a posting of ``n`` fingerprints: four in large corpora, but only where the sets then still surely cover."""
+    return 4 if n >= WIDE_POSTINGS and n_bytes - differ >= 4 else 3
+
+
 def posting_sets(n_bytes: int, width: int, differ: int, seed: int = 3) -> list[tuple[int, ...]]:
     """Sets of ``width`` byte positions under which fingerprints are posted.
 
@@ -181,7 +186,7 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
     out, but for pairs with one key.
     """
     names = [f"f{j}" for j in range(words)]
-    sets = posting_sets(8 * words, 3 if fps.count() < WIDE_POSTINGS else 4, differ) if sets is None else sets
+    sets = posting_sets(8 * words, posting_width(fps.count(), 8 * words, differ), differ) if sets is None else sets
     byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
 
     def post(i: int, s: tuple[int, ...]):
@@ -251,7 +256,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = fingerprints(docs, id_col, text_col, shingle, words)
     rows = stage(rows.withColumn("key", c("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
     labelled = stage(rows.groupBy("key", *names).agg(F.min("doc_id").alias("low")).withColumn("root", c("key")), "classes")
-    sets = posting_sets(8 * words, 3 if labelled.count() < WIDE_POSTINGS else 4, differ)
+    sets = posting_sets(8 * words, posting_width(labelled.count(), 8 * words, differ), differ)
     for part in [sets] if len(sets) < 4 * FIRST_SETS else [sets[::len(sets) // FIRST_SETS], [x for i, x in enumerate(sets) if i % (len(sets) // FIRST_SETS)]]:
         comps = connected_components(links(labelled.select(c("root").alias("key"), *names), differ, words, part))
         joined = labelled.join(comps, labelled["root"] == comps["node"], "left")

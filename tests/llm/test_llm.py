@@ -196,6 +196,15 @@ def test_long_fingerprints_find_near_copies(spark):
     assert all(comps[i]["component_id"] == comps[i + 40]["component_id"] == i for i in range(40))
 
 
+def test_width_of_postings_loses_nothing(spark, monkeypatch):
+    assert [simhash.posting_width(n, 8, 4) for n in (1, 1 << 40)] == [3, 4] and simhash.posting_width(1 << 40, 32, 45) == 3
+    monkeypatch.setattr(simhash, "WIDE_POSTINGS", 1)
+    seen, real = [], simhash.posting_sets
+    monkeypatch.setattr(simhash, "posting_sets", lambda *a: seen.append(a) or real(*a))
+    simhash.simhash_components(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), words=4, differ=45)
+    assert seen == [(32, 3, 45)]
+
+
 def test_loose_sets_find_most_pairs():
     r = np.random.default_rng(5)
     for similarity, least in ((0.8, 0.8), (0.85, 0.92)):
