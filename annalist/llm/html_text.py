@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 LONG = 70
 #: Share of stop words from which a long block is text, and below which it is not.
 STOP_HIGH, STOP_LOW = 0.25, 0.1
+#: Mean length of a word up to which a run of letters is natural.
+WORD = 20
 #: Share of characters inside links from which a block is a list of links.
 LINKS = 0.5
 
@@ -47,6 +50,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
 )
 _ATTR = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that may stand around a whole page, and that an article in them ends.
+WRAPS = frozenset("form fieldset".split())
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -66,10 +71,22 @@ class Block:
         return sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words)
 
 
+    def foreign(self) -> bool:
+        """Whether most of its letters are of a script that no stop word has."""
+        letters = [c for c in self.text if c.isalpha()]
+        return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+    def reads(self) -> bool:
+        """Whether it is words of a natural length, mostly letters; scripts without blanks have no such length."""
+        marks = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in self.text)
+        solid = len(self.text) - self.text.count(" ")
+        return 2 * marks > solid and (self.foreign() or solid <= WORD * (self.text.count(" ") + 1))
+
+
 def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in CHROME or (tag == "header" and not in_main):
         return True
-    if tag in ("body", "html", "main", "article"):
+    if tag in ("body", "html", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -78,11 +95,26 @@ def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _closed(page: str) -> set[int]:
+    """Where the elements start that have an end tag of their own."""
+    open_at: dict[str, list[int]] = {}
+    out = set()
+    for m in _TOKEN.finditer(page):
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if m["end"] or m["end2"]:
+            if open_at.get(tag):
+                out.add(open_at[tag].pop())
+        elif tag:
+            open_at.setdefault(tag, []).append(m.start())
+    return out
+
+
 def split_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order. Unclosed elements end with what encloses them; an article ends whatever chrome is open."""
+    """Blocks of a page in order. Unclosed elements end with what encloses them; an article ends chrome that is never closed, and forms."""
     out: list[Block] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, main, whether an article may end it
+    closed = _closed(page)
     linked = links = 0
     heading = False
 
@@ -131,16 +163,17 @@ def split_blocks(page: str) -> list[Block]:
                     break
         elif tag in BLOCKS or tag in CHROME:
             if tag in ("article", "main"):
-                while stack and stack[-1][1] and not any(x[2] for x in stack):
+                while stack and stack[-1][1] and stack[-1][3] and not any(x[2] for x in stack):
                     stack.pop()  # a menu that was never closed
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((tag, chrome or _is_chrome(tag, attrs, main), main or (tag in ("article", "main") and not chrome)))
+            own = _is_chrome(tag, attrs, main)
+            stack.append((tag, chrome or own, main or (tag in ("article", "main") and not chrome and not own), m.start() not in closed or tag in WRAPS))
         elif _is_chrome(tag, attrs, True) and tag not in ("a", "b", "i", "em", "strong"):
             chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             close()
-            stack.append((tag, True, main))
+            stack.append((tag, True, main, m.start() not in closed))
     if at < len(page):
         add(page[at:])
     close()
@@ -150,40 +183,48 @@ def split_blocks(page: str) -> list[Block]:
 def label_blocks(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
-    First pass: chrome and lists of links are not; long blocks are judged by stop word density, and inside an article or
-    main element by standing there. Second pass: what is left, short blocks and middling densities, takes the label of the
-    nearest decided block of the same region (the article, or what is outside it); of two equally near ones with different
-    labels the article's side wins, and with none decided a block stays if the page has no article outside which it stands.
+    First pass: chrome and lists of links are not; long blocks are judged by stop word density. Articles and main elements are the page's region if most of its long text stands there; in it, a low
+    density leaves a block undecided. Second pass: what is left, short blocks and middling densities, takes the label of the
+    nearest decided block of the same side (the region, or what is outside it); of two equally near ones with different
+    labels text wins. With none decided, blocks of the region stay, those outside it go, and on a page without a region
+    headings and blocks with stop words stay.
     """
-    has_main = any(b.main and not b.chrome for b in blocks)
+    plain = [not b.chrome and b.linked <= LINKS * len(b.text) for b in blocks]
+    long = [p and len(b.text) >= LONG and not b.heading for p, b in zip(plain, blocks, strict=True)]
+    density = [b.stop_density() if x else 0.0 for x, b in zip(long, blocks, strict=True)]
+    reads = [x and (d >= STOP_HIGH or b.reads()) for b, x, d in zip(blocks, long, density, strict=True)]
+    inside = sum(len(b.text) for b, r in zip(blocks, reads, strict=True) if r and b.main)
+    has_main = any(b.main and not b.chrome for b in blocks) and 2 * inside >= sum(len(b.text) for b, r in zip(blocks, reads, strict=True) if r)
     label: list[bool | None] = []
-    for b in blocks:
-        if b.chrome or b.linked > LINKS * len(b.text) or (has_main and not b.main):
+    for i, b in enumerate(blocks):
+        if not plain[i]:
             label.append(False)
-        elif len(b.text) >= LONG and not b.heading:
-            density = b.stop_density()
-            label.append(True if density >= STOP_HIGH or b.main else False if density < STOP_LOW else None)
-        else:
+        elif not long[i]:
             label.append(None)
-    region = [i for i, b in enumerate(blocks) if not b.chrome and (b.main or not has_main)]
+        elif density[i] >= STOP_HIGH:
+            label.append(True)
+        else:
+            label.append(False if density[i] < STOP_LOW and not (has_main and b.main) else None)
     out = [bool(x) for x in label]
-    before, after, last = {}, {}, None
-    for i in region:
-        before[i] = last
-        if label[i] is not None:
-            last = i
-    last = None
-    for i in reversed(region):
-        after[i] = last
-        if label[i] is not None:
-            last = i
-    for i in region:
-        if label[i] is None:
-            near = [(abs(j - i), not label[j]) for j in (before[i], after[i]) if j is not None]
-            if not near:
-                out[i] = has_main or blocks[i].stop_density() >= STOP_LOW or blocks[i].heading
-            else:
-                out[i] = not min(near)[1]
+    for side in (True, False):
+        region = [i for i, b in enumerate(blocks) if not b.chrome and (has_main and b.main) == side]
+        before, after, last = {}, {}, None
+        for i in region:
+            before[i] = last
+            if label[i] is not None:
+                last = i
+        last = None
+        for i in reversed(region):
+            after[i] = last
+            if label[i] is not None:
+                last = i
+        for i in region:
+            if label[i] is None:
+                near = [(abs(j - i), not label[j]) for j in (before[i], after[i]) if j is not None]
+                if near:
+                    out[i] = not min(near)[1]
+                else:
+                    out[i] = side or (not has_main and (blocks[i].stop_density() >= STOP_LOW or blocks[i].heading))
     return out
 
 

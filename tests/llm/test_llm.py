@@ -378,6 +378,16 @@ def test_missing_segment_is_found(spark, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/w").collect()
 
 
+def test_html_article_is_only_a_prior():
+    body = "The text of the page is in a plain element and it has the words of the language in it, so that it is long enough to be judged. "
+    card = '<article class="card"><p>Read more of this</p></article>'
+    assert body.strip() in main_text(f"<div><p>{body * 3}</p><p>{body}</p></div><div>{card * 3}</div>")
+    assert main_text(f'<article class="promo"><p>{body}</p></article><div><p>{body * 2}</p></div>') == (body * 2).strip()
+    assert main_text(f"<nav><a href=x>menu</a><article><p>{body}</p></article></nav><div><p>{body * 2}</p></div>") == (body * 2).strip()
+    assert main_text(f"<form><article><p>{body}</p></article></form>") == body.strip()
+    assert main_text(f"<p>{body}</p><article><p>{body * 3}</p><p>{'zeta kappa omega ' * 8}</p></article>").startswith(body.strip())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
