@@ -39,6 +39,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 LONG = 70
 #: Share of stop words from which a long block is text, and below which it is not.
 STOP_HIGH, STOP_LOW = 0.25, 0.1
+#: Share of a page's long text that is dense if the stop words cover its language.
+COVERED = 0.2
 #: Mean length of a word up to which a run of letters is natural.
 WORD = 20
 #: Share of characters inside links from which a block is a list of links.
@@ -183,16 +185,20 @@ def split_blocks(page: str) -> list[Block]:
 def label_blocks(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
-    First pass: chrome and lists of links are not; long blocks are judged by stop word density. Articles and main elements are the page's region if most of its long text stands there; in it, a low
+    First pass: chrome and lists of links are not; long blocks are judged by stop word density. Where the stop words do not
+    cover the language (the block's script, or next to no dense text on the page) length and links decide, if the block
+    reads as text. Articles and main elements are the page's region if most of its long text stands there; in it, a low
     density leaves a block undecided. Second pass: what is left, short blocks and middling densities, takes the label of the
     nearest decided block of the same side (the region, or what is outside it); of two equally near ones with different
     labels text wins. With none decided, blocks of the region stay, those outside it go, and on a page without a region
-    headings and blocks with stop words stay.
+    headings and blocks with stop words, or of a script without them, stay.
     """
     plain = [not b.chrome and b.linked <= LINKS * len(b.text) for b in blocks]
     long = [p and len(b.text) >= LONG and not b.heading for p, b in zip(plain, blocks, strict=True)]
     density = [b.stop_density() if x else 0.0 for x, b in zip(long, blocks, strict=True)]
+    dense = sum(len(b.text) for b, x, d in zip(blocks, long, density, strict=True) if x and d >= STOP_HIGH)
     reads = [x and (d >= STOP_HIGH or b.reads()) for b, x, d in zip(blocks, long, density, strict=True)]
+    covered = dense > 0 and dense >= COVERED * sum(len(b.text) for b, r in zip(blocks, reads, strict=True) if r and not b.foreign())
     inside = sum(len(b.text) for b, r in zip(blocks, reads, strict=True) if r and b.main)
     has_main = any(b.main and not b.chrome for b in blocks) and 2 * inside >= sum(len(b.text) for b, r in zip(blocks, reads, strict=True) if r)
     label: list[bool | None] = []
@@ -201,7 +207,7 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
             label.append(False)
         elif not long[i]:
             label.append(None)
-        elif density[i] >= STOP_HIGH:
+        elif density[i] >= STOP_HIGH or (reads[i] and (not covered or b.foreign())):
             label.append(True)
         else:
             label.append(False if density[i] < STOP_LOW and not (has_main and b.main) else None)
@@ -224,7 +230,7 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
                 if near:
                     out[i] = not min(near)[1]
                 else:
-                    out[i] = side or (not has_main and (blocks[i].stop_density() >= STOP_LOW or blocks[i].heading))
+                    out[i] = side or (not has_main and (blocks[i].stop_density() >= STOP_LOW or blocks[i].heading or blocks[i].foreign()))
     return out
 
 

@@ -388,6 +388,16 @@ def test_html_article_is_only_a_prior():
     assert main_text(f"<p>{body}</p><article><p>{body * 3}</p><p>{'zeta kappa omega ' * 8}</p></article>").startswith(body.strip())
 
 
+def test_html_keeps_languages_without_stop_words():
+    ru = "Вчера в городе открылась новая библиотека, и жители смогли взять первые книги уже утром следующего дня."
+    zh = "昨天这座城市的新图书馆正式开放，" * 8
+    pl = "Wczoraj otwarto nowa biblioteke miejska, mieszkancy mogli wypozyczyc pierwsze ksiazki juz nastepnego ranka."
+    for text in (ru, zh, pl):
+        assert main_text(f"<h1>Titel</h1><div><p>{text}</p><p>{text}</p></div><ul><li><a href=x>{text}</a></li></ul>") == f"Titel\n\n{text}\n\n{text}"
+    assert ru in main_text(f"<p>{ru}</p><p>This is the notice of the site and it is in the language of the owner, not of the page.</p>")
+    assert main_text("<p>" + "QmFzZTY0" * 50 + "</p>") == ""
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
