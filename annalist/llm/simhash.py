@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,9 @@ LOOSE_SETS = 192
 #: Posting sets of the first round where there are more; what it joins need not be linked again in the second.
 FIRST_SETS = 8
 #: Posting sets that are exchanged at a time where every candidate pair is wanted.
-SETS_AT_ONCE = 32
+SETS_AT_ONCE = 16
+#: Classes of shingles whose parities are kept of a set; candidates are held against them before texts are fetched.
+PARITY_BITS = 256
 
 
 def fingerprint(data: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
@@ -74,6 +76,20 @@ def shingle_set(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([h(flat[x:y], seed) for x, y in zip(a, b, strict=True)], "<u8"))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITY_BITS`` classes of a shingle set has an odd number of members, as 64-bit numbers."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def similarity_bound(n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """The largest Jaccard similarity of two sets with ``n`` members together and ``differ`` unequal parities.
+
+    A class whose parities differ holds a shingle that only one set has, so the sets differ in ``differ`` shingles at least.
+    """
+    return (n - differ) / np.maximum(n + differ, 1)
+
+
 def similarity_of(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two shingle sets; two empty ones are equal."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -134,7 +150,10 @@ def _close(x: np.ndarray, y: np.ndarray, differ: int) -> np.ndarray:
     return (tally >= max(1, n_bytes - differ)) & (np.bitwise_count(d).sum(-1) <= differ)
 
 
-def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
+Close = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _grow(labels: np.ndarray, fps: np.ndarray, close: Close) -> list[np.ndarray]:
     """Links that join a posting list's close fingerprints: each is compared with the unreached only.
 
     Fingerprints with one label count as joined. Columns of a link: the smallest label of the component, which all its other
@@ -147,7 +166,7 @@ def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
         front, left = left[own].tolist(), left[~own]
         while front and len(left):
             x = front.pop()
-            near = _close(fps[left], fps[x][None], differ)
+            near = close(fps[left], fps[x][None])
             if near.any():
                 new, first = np.unique(labels[left[near]], return_index=True)
                 out.append(np.stack([np.full(len(new), low), np.full(len(new), x), left[near][first]]))
@@ -157,7 +176,7 @@ def _grow(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
     return out
 
 
-def _all_close(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndarray]:
+def _all_close(labels: np.ndarray, fps: np.ndarray, close: Close) -> list[np.ndarray]:
     """All pairs of rows of a posting list that are close and have different labels; the largest label is not searched itself."""
     kinds, n = np.unique(labels, return_counts=True)
     most = labels == kinds[np.argmax(n)]
@@ -165,12 +184,12 @@ def _all_close(labels: np.ndarray, fps: np.ndarray, differ: int) -> list[np.ndar
     out = []
     for i in range(len(order) - int(most.sum())):
         x, rest = order[i], order[i + 1 :]
-        near = rest[_close(fps[rest], fps[x][None], differ) & (labels[rest] != labels[x])]
+        near = rest[close(fps[rest], fps[x][None]) & (labels[rest] != labels[x])]
         out.append(np.stack([np.full(len(near), x), near]))
     return out
 
 
-def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int, ...]] | None = None, pairs: str = "") -> DataFrame:
+def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int, ...]] | None = None, pairs: str = "", similarity: float = 0.0) -> DataFrame:
     """Links (``a``, ``b``, values of ``key``) that join all fingerprints (``key``, ``f0``…) within ``differ`` bits of each other.
 
     Fingerprints with one key count as joined already; at first each has its own.
@@ -183,9 +202,19 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
 
     With ``pairs`` of ``some`` or ``all`` there is a further column ``node``, and the result has the close fingerprints' own
     nodes (``a``, ``b``) with their keys (``x``, ``y``), to be verified. ``some`` are found as above; of ``all`` none is left
-    out, but for pairs with one key.
+    out, but for pairs with one key and, by :func:`similarity_bound` of further columns ``n`` and ``p0``…, pairs whose sets
+    cannot be as similar as ``similarity``.
     """
     names = [f"f{j}" for j in range(words)]
+    held = [*names, *(f"p{j}" for j in range(PARITY_BITS // 64)), "n"] if pairs else names
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = _close(x[..., :words], y[..., :words], differ)
+        if not pairs or not near.any():
+            return near
+        odd = np.bitwise_count(np.bitwise_xor(x[..., words:-1], y[..., words:-1])).sum(-1)
+        return near & (similarity_bound((x[..., -1] + y[..., -1]).astype(np.int64), odd.astype(np.int64)) >= similarity)
+
     sets = posting_sets(8 * words, posting_width(fps.count(), 8 * words, differ), differ) if sets is None else sets
     byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
 
@@ -196,7 +225,7 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
         return k
 
     own = "node" if pairs else "key"
-    row = F.struct("key", own, *names) if pairs else F.struct("key", *names)
+    row = F.struct("key", own, *held) if pairs else F.struct("key", *held)
     keyed = fps.select(row.alias("r"), F.explode(F.array(*[post(i, s) for i, s in enumerate(sets)])).alias("k"))
     lists = keyed.groupBy("k").agg(F.collect_list("r").alias("rows"), F.min("r.key").alias("lo"), F.max("r.key").alias("hi")).filter("lo < hi").select("rows")
 
@@ -206,7 +235,7 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
             off = np.asarray(col.offsets).astype(np.int64)
             ids = np.asarray(col.values.field(0))
             nodes = np.asarray(col.values.field(own))
-            flat = np.stack([np.asarray(col.values.field(n)) for n in names], axis=1).view(np.uint64)
+            flat = np.stack([np.asarray(col.values.field(n)) for n in held], axis=1).view(np.uint64)
             size, found = np.diff(off), []
 
             def add(i: np.ndarray, j: np.ndarray, low: np.ndarray | None = None) -> None:
@@ -215,20 +244,20 @@ def links(fps: DataFrame, differ: int, words: int = 1, sets: Sequence[tuple[int,
             for s in np.unique(size):
                 at = off[:-1][size == s]
                 if s <= SMALL_LIST:
-                    step = max(1, (1 << 16) // int(s * words))
+                    step = max(1, (1 << 16) // int(s * len(held)))
                     for cut in range(0, len(at), step):
                         idx = at[cut : cut + step, None] + np.arange(s)
                         m = flat[idx]
                         for i in range(s - 1):
-                            r, q = np.nonzero(_close(m[:, i : i + 1], m[:, i + 1 :], differ))
+                            r, q = np.nonzero(close(m[:, i : i + 1], m[:, i + 1 :]))
                             add(idx[r, i], idx[r, i + 1 + q])
                 else:
                     for a in at:
                         if pairs == "all":
-                            for i, j in _all_close(ids[a : a + s], flat[a : a + s], differ):
+                            for i, j in _all_close(ids[a : a + s], flat[a : a + s], close):
                                 add(a + i, a + j)
                         else:
-                            for low, i, j in _grow(ids[a : a + s], flat[a : a + s], differ):
+                            for low, i, j in _grow(ids[a : a + s], flat[a : a + s], close):
                                 add(a + i, a + j, low)
             e = np.concatenate(found, axis=1) if found else np.zeros((len(out), 0), np.int64)
             if pairs:
@@ -268,16 +297,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the text, ``node`` (a hash of the shingle set) and the set's fingerprint for every row."""
-    names = [f"f{j}" for j in range(words)]
+    """``doc_id``, ``digest`` of the text, ``node`` (a hash of the shingle set), the set's fingerprint, parities and size ``n``."""
+    names = [*(f"f{j}" for j in range(words)), *(f"p{j}" for j in range(PARITY_BITS // 64)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, 1 + words), np.uint64)
+            out = np.zeros((batch.num_rows, 1 + len(names)), np.uint64)
             for i, t in enumerate(batch.column(2)):
                 hs = shingle_set((t.as_py() or "").encode(), shingle)
                 out[i, 0] = xxhash.xxh64_intdigest(hs.tobytes(), 7)
-                out[i, 1:] = np.packbits(2 * _bit_counts(hs, words) > len(hs), axis=1, bitorder="little").view("<u8")[:, 0]
+                out[i, 1 : 1 + words] = np.packbits(2 * _bit_counts(hs, words) > len(hs), axis=1, bitorder="little").view("<u8")[:, 0]
+                out[i, 1 + words : -1], out[i, -1] = parities(hs), len(hs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]], ["doc_id", "digest", "node", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -312,14 +342,15 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: the id and ``component_id``.
 
     Candidates are texts that meet in a posting and differ in at most :func:`near_limit` bits with three deviations, which
-    a pair of the similarity hardly exceeds; each candidate's two shingle sets are compared before it links. Fingerprints are
+    a pair of the similarity hardly exceeds, and whose sets' sizes and parities do not rule the similarity out (which is
+    certain, so it loses none); each candidate's two shingle sets are compared before it links. Fingerprints are
     those of the sets, without repeats. Texts with equal sets are one node. Three rounds over a few posting sets take only
     links that may join something, so that crowds of near copies become one component; the last takes every candidate pair
     that is not yet in one component, from all posting sets, a group of them at a time so that exchanged files can go.
     Null, repeated and other awkward rows are treated as by :func:`simhash_components`.
     """
-    c, names, spark = F.col, [f"f{j}" for j in range(words)], docs.sparkSession
-    bits = 64 * words
+    c, spark, bits = F.col, docs.sparkSession, 64 * words
+    names = [*(f"f{j}" for j in range(words)), *(f"p{j}" for j in range(PARITY_BITS // 64)), "n"]
     rows = stage(_sketches(docs, id_col, text_col, shingle, words), "sketches")
     nodes = rows.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "digest")).alias("one"))
     nodes = stage(nodes.withColumn("key", c("node")), "nodes")
@@ -338,10 +369,10 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
         return stage(out.select("node", *names, "low", "one", F.coalesce("component", "key").alias("key")), "nodes")
 
     for most, part in ((near_limit((1 + similarity) / 2, bits, 0), sets[::few]), (near_limit(similarity, bits, 0), sets[few // 2 :: few]), (differ, sets[more // 2 :: more])):
-        nodes = joined(nodes, stage(links(nodes, most, words, part, "some"), "pairs"))
+        nodes = joined(nodes, stage(links(nodes, most, words, part, "some", similarity), "pairs"))
     pairs = None
     for i in range(0, len(sets), SETS_AT_ONCE):
-        found = stage(links(nodes, differ, words, sets[i : i + SETS_AT_ONCE], "all"), "pairs")
+        found = stage(links(nodes, differ, words, sets[i : i + SETS_AT_ONCE], "all", similarity), "pairs")
         pairs = found if pairs is None else pairs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged files of what has ended
     nodes = joined(nodes, stage(pairs.distinct(), "pairs"))
