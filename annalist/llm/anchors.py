@@ -9,6 +9,7 @@ corpus that one task handles.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,12 +20,21 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from annalist.llm.filters import maybe_in
 from annalist.llm.vectext import mix64, powers, text_blocks
+from annalist.plans.numbering import numbered
 from annalist.plans.staging import stage
 
 #: Text that a task turns into one sorted run per shard.
 RUN_BYTES = 24 << 20
+#: Packed segments of a text's byte, at most; and how many of their bytes a task reads, in how many shards.
+SEGMENTS_PER_TEXT, TASK_BYTES, SHARDS_PER_TASK = 3.5, 64 << 20, 4
+#: Segments of one anchor that may meet in one shard; an anchor with more has its windows sent singly.
+HOT_BYTES = 4 << 20
+#: Text that such anchors are looked for in (a ten-thousandth of a larger corpus), and the least sightings of one.
+SAMPLE_BYTES, LEAST_SEEN = 64 << 20, 16
 #: Windows whose anchors are found at a time.
 CHUNK = 1 << 21
 _AT = np.uint64((1 << 24) - 1)
@@ -140,10 +150,30 @@ class Occurrences:
     run: np.ndarray
     at: np.ndarray
 
+    @classmethod
+    def of(cls, runs: list[tuple]) -> Occurrences:
+        """Those of unpacked runs."""
+        back = [from_digits(r[4]) for r in runs]
+        lens = [len(r[0]) for r in runs]
+        return cls(
+            np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), np.concatenate([r[2][k] for r, k in zip(runs, back, strict=True)]), np.concatenate([r[3][k] for r, k in zip(runs, back, strict=True)]),
+            np.concatenate([from_digits(r[5]) for r in runs]), np.concatenate([r[6] for r in runs]).astype(np.int64), np.repeat(np.arange(len(runs)), lens), np.concatenate([np.arange(x) for x in lens]),
+        )
+
     def take(self, i: np.ndarray) -> Occurrences:
         """Some of them."""
         return Occurrences(*(v[i] for v in vars(self).values()))
 
+    def shared(self) -> Occurrences:
+        """Those whose key another one has too, in order of key and position, a place of a repeated row once."""
+        order = np.lexsort((self.first, self.text_hash, self.doc, self.key))
+        o = self.take(order)
+        same = o.key[1:] == o.key[:-1]
+        again = same & (o.doc[1:] == o.doc[:-1]) & (o.text_hash[1:] == o.text_hash[:-1]) & (o.first[1:] == o.first[:-1])
+        o = o.take(np.concatenate([[True], ~again]))
+        same = o.key[1:] == o.key[:-1]
+        return o.take(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+
 
 def _span_batch(doc: np.ndarray, text_hash: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """One row per text with its ranges, joined where they touch, as a flat list of starts and ends."""
@@ -187,41 +217,84 @@ def first_and_later(key: np.ndarray, content: np.ndarray, doc: np.ndarray, text_
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def frequent_anchors(rows: DataFrame, size: int, gram: int, symbols: Symbols, total: int) -> np.ndarray:
+    """Anchors whose segments would make up more than ``HOT_BYTES``, by a sample of the texts.
+
+    They only decide how windows are sent, not what is found. As the least size of such an anchor grows with the corpus
+    there are at most some 100,000 of them.
+    """
+    share = min(1.0, max(SAMPLE_BYTES / max(total, 1), 1e-4))
+    most = max(HOT_BYTES, total // 10**5)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lens = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for _, _, data, offsets in text_blocks(batch.column(0)):
+                code, doc, _, sa, sb, _ = symbols(data, offsets)
+                seg = find_segments(code, doc, size, gram)
+                keys.append(seg.key)
+                lens.append(sb[seg.stop - 2 + size] - sa[seg.first] if len(seg.key) else lens[0])
+        key, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        held = np.bincount(at, np.concatenate(lens), len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64()), pa.array(held[n > 1])], ["key", "n", "held"])
+
+    texts = rows.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = (texts.sample(share, 11) if share < 1 else texts).mapInArrow(count, "key long, n long, held long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return np.sort(np.array([r["key"] for r in found.filter((F.col("n") >= LEAST_SEEN) & (F.col("held") > most * share)).select("key").collect()], np.int64).view(np.uint64))
+
+
+def single_windows(seg: Segments, hot: np.ndarray, code: np.ndarray, size: int) -> tuple[Segments, Segments]:
+    """Segments of other anchors, and the windows of those with hot ones, each under a second hash of its own content."""
+    if not len(hot) or not len(seg.key):
+        return seg, Segments(*(v[:0] for v in vars(seg).values()))
+    is_hot = hot[np.minimum(np.searchsorted(hot, seg.key), len(hot) - 1)] == seg.key
+    n = (seg.stop - seg.first)[is_hot]
+    at = np.repeat(seg.first[is_hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    key = range_hashes(mix64(code), at, at + size)
+    lone = Segments(key, np.repeat(seg.doc[is_hot], n), at, at, at + 1)
+    return Segments(*(v[~is_hot] for v in vars(seg).values())), lone
+
+
 def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, encode: Callable, detail: Callable, shards: int | None = None) -> DataFrame:
     """Ranges of symbols covered by windows that also start earlier, one row per text that has any.
 
     ``docs`` has ``doc_id`` (long), ``text``, ``th`` (a hash of the text; with the id it names a text). ``symbols`` turns a
     block's bytes and offsets into symbol codes, their texts, the bytes to be sent and each symbol's first and past-the-end
     byte there, and first symbols of texts. ``encode`` makes the body of a run from the kept segments' bytes; ``detail``
-    gets a shard's runs and its segments that share an anchor but not all their content, in order of position, and yields
-    which of their windows occurred earlier. Result: ``doc_id``, ``th``, ``ab`` (starts and ends in turn).
+    gets a shard's runs and its segments that share an anchor, in order of anchor and position, and yields which of their
+    windows occurred earlier. Result: ``doc_id``, ``th``, ``ab`` (starts and ends in turn).
 
     Inside a run all but the first of equal segments are settled on the spot, so a passage that a third of all texts share
-    reaches its shard once per run, not once per text.
+    reaches its shard once per run, not once per text. An anchor with very many different segments (a passage in ever new
+    surroundings) would still make a large shard: its windows are sent one by one, each to the shard of its own hash, as
+    hashes of 96 bits without text, so its work is spread. Shards are cut by the size of the corpus.
     """
     spark = docs.sparkSession
-    n = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     top = np.iinfo(np.int64).max
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * SEGMENTS_PER_TEXT / TASK_BYTES))
+    n = shards or SHARDS_PER_TASK * parts
+    hot = frequent_anchors(docs, size, gram, symbols, total)
 
     def flush(blocks: list, ids: list, hashes: list) -> Iterator[tuple[int, bytes]]:
-        """One sorted run per shard, and the spans that the run itself settles."""
+        """Sorted runs, up to two per shard, and the spans that settle themselves here."""
         doc, th = np.concatenate(ids), np.concatenate(hashes)
-        key, content, of, first, windows = (np.concatenate([b[j] for b in blocks]) for j in range(5))
-        base = np.cumsum([0, *[len(b[5]) for b in blocks]])
-        flat = np.concatenate([b[5] for b in blocks])
-        ca, cm, cb = (np.concatenate([b[j] + base[i] for i, b in enumerate(blocks)]) for j in (6, 7, 8))
+        key, content, of, first, windows, lone = (np.concatenate([b[j] for b in blocks]) for j in range(6))
+        base = np.cumsum([0, *[len(b[6]) for b in blocks]])
+        flat = np.concatenate([b[6] for b in blocks])
+        ca, cm, cb = (np.concatenate([b[j] + base[i] for i, b in enumerate(blocks)]) for j in (7, 8, 9))
         keep, twice = first_and_later(key, content, doc[of], th[of], first)
         yield -1, (doc[of[twice]], th[of[twice]], first[twice], first[twice] + windows[twice] - 1 + size)
-        shard = (key[keep] >> np.uint64(20)) % np.uint64(n)
+        shard = 2 * ((key[keep] >> np.uint64(20)) % np.uint64(n)).astype(np.int64) + lone[keep]
         by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(n + 1))
-        for s in range(n):
-            i = keep[by[edges[s] : edges[s + 1]]]
-            if len(i):
+        edges = np.searchsorted(shard[by], np.arange(2 * n + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            i, body = keep[by[edges[s] : edges[s + 1]]], None
+            if s % 2 == 0:
                 i, body = encode(flat, ca, cm, cb, i)
-                d, back = np.unique(of[i], return_inverse=True)
-                # half of the anchor's hash will do, as segments that meet are compared by content
-                yield s, pack(((key[i] >> np.uint64(32)).astype(np.uint32), content[i], doc[d], th[d], by_digit(back), by_digit(first[i]), windows[i].astype(np.uint16), body))
+            d, back = np.unique(of[i], return_inverse=True)
+            # half of the anchor's hash will do, as segments that meet are compared by content
+            yield s // 2, pack(((key[i] >> np.uint64(32)).astype(np.uint32), content[i], doc[d], th[d], by_digit(back), by_digit(first[i]), windows[i].astype(np.uint16), body))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, ids, hashes, held, texts = [], [], [], 0, 0
@@ -233,7 +306,8 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([what], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), empty], names)
                 elif len(what[0]):
                     b = _span_batch(*what)
-                    to = (mix64(b.column(1).to_numpy().view(np.uint64)) % np.uint64(n)).astype(np.int32)
+                    ident = b.column(1).to_numpy() ^ b.column(0).fill_null(top).to_numpy()  # copies of a text are spread
+                    to = (mix64(ident.view(np.uint64)) % np.uint64(n)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(to), pa.binary()), *b.columns], names)
 
         for batch in batches:
@@ -241,11 +315,16 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
             all_th = batch.column(2).to_numpy()
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 code, doc, flat, sa, sb, origin = symbols(data, offsets)
-                seg = find_segments(code, doc, size, gram)
-                if len(seg.key):
-                    end = seg.stop - 1 + size
-                    content = range_hashes(code, seg.first, end) ^ mix64((seg.anchor - seg.first).astype(np.uint64))
-                    blocks.append((seg.key, content, seg.doc + texts, seg.first - origin[seg.doc], seg.stop - seg.first, flat, sa[seg.first], sa[seg.anchor], sb[end - 1]))
+                both = single_windows(find_segments(code, doc, size, gram), hot, code, size)
+                here = 0
+                for lone, seg in enumerate(both):
+                    if len(seg.key):
+                        end = seg.stop - 1 + size
+                        content = range_hashes(code, seg.first, end) ^ mix64((seg.anchor - seg.first).astype(np.uint64))
+                        ends = (sa[seg.first], sa[seg.anchor], sb[end - 1]) if not lone else (np.zeros(len(seg.key), np.int64),) * 3
+                        blocks.append((seg.key, content, seg.doc + texts, seg.first - origin[seg.doc], seg.stop - seg.first, np.full(len(seg.key), lone), flat[: 0 if lone else None], *ends))
+                        here += 1
+                if here:
                     ids.append(all_ids[a:b])
                     hashes.append(all_th[a:b])
                     texts += b - a
@@ -257,40 +336,29 @@ def repeated_spans(docs: DataFrame, size: int, gram: int, symbols: Symbols, enco
             yield from out()
 
     names = ["shard", "run", "doc_id", "th", "ab"]
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "th")
-    sent = rows.mapInArrow(write, "shard int, run binary, doc_id long, th long, ab array<long>")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "th")
+    sent = rows.mapInArrow(write, "shard int, run binary, doc_id long, th long, ab array<long>").repartition(parts, "shard")
 
     def read(table: pa.Table) -> pa.Table:
         settled = table.filter(pc.is_null(table["run"])).select(["doc_id", "th", "ab"])
-        runs = [unpack(x.as_py()) for x in table["run"] if x.is_valid]
-        if not runs:
+        every = [unpack(x.as_py()) for x in table["run"] if x.is_valid]
+        spans = []
+        if lone := [r for r in every if r[7] is None]:
+            occ = Occurrences.of(lone)
+            twice = occ.take(first_and_later(occ.key, occ.content, occ.doc, occ.text_hash, occ.first)[1])
+            spans.append((twice.doc, twice.text_hash, twice.first, twice.first + size))
+        if whole := [r for r in every if r[7] is not None]:
+            occ = Occurrences.of(whole).shared()
+            if len(occ.key):
+                seg, a, b = detail(occ, [r[7] for r in whole])
+                spans.append((occ.doc[seg], occ.text_hash[seg], occ.first[seg] + a, occ.first[seg] + b - 1 + size))
+        if not spans:
             return settled
-        bodies = [r[7] for r in runs]
-        lens = [len(r[0]) for r in runs]
-        back = [from_digits(r[4]) for r in runs]
-        occ = Occurrences(
-            np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), np.concatenate([r[2][k] for r, k in zip(runs, back, strict=True)]), np.concatenate([r[3][k] for r, k in zip(runs, back, strict=True)]),
-            np.concatenate([from_digits(r[5]) for r in runs]), np.concatenate([r[6] for r in runs]).astype(np.int64),
-            np.repeat(np.arange(len(runs)), lens), np.concatenate([np.arange(x) for x in lens]),
-        )
-        del runs
-        once, later = first_and_later(occ.key, occ.content, occ.doc, occ.text_hash, occ.first)
-        twice = occ.take(later)
-        spans = [(twice.doc, twice.text_hash, twice.first, twice.first + twice.windows - 1 + size)]
-        k = occ.key[once]
-        shared = np.zeros(len(k), bool)
-        shared[1:] = k[1:] == k[:-1]
-        shared[:-1] |= k[1:] == k[:-1]
-        mixed = once[shared]
-        mixed = mixed[np.lexsort((occ.first[mixed], occ.text_hash[mixed], occ.doc[mixed], occ.key[mixed]))]
-        rest = occ.take(mixed)
-        seg, a, b = detail(rest, bodies)
-        spans.append((rest.doc[seg], rest.text_hash[seg], rest.first[seg] + a, rest.first[seg] + b - 1 + size))
         found = pa.Table.from_batches([_span_batch(*(np.concatenate(x) for x in zip(*spans, strict=True)))])
         return pa.concat_tables([settled.cast(found.schema), found])
 
-    parts = sent.groupBy("shard").applyInArrow(read, "doc_id long, th long, ab array<long>")
-    return stage(parts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ab")).alias("ab")), "spans")
+    found = sent.groupBy("shard").applyInArrow(read, "doc_id long, th long, ab array<long>")
+    return stage(found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ab")).alias("ab")), "spans")
 
 
 def groups_of(keys: np.ndarray) -> np.ndarray:
@@ -299,11 +367,24 @@ def groups_of(keys: np.ndarray) -> np.ndarray:
 
 
 def identified(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The columns that :func:`repeated_spans` and the join back to texts need."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    """The columns that :func:`repeated_spans` and the join back to texts need: the id as it was, ``doc_id`` (long), ``text``, ``th``.
+
+    Ids that are no integers are numbered in their order, null last.
+    """
+    c = F.col
+    rows = docs.select(c(id_col).alias("_id"), c(text_col).alias("text"), F.xxhash64(F.coalesce(c(text_col), F.lit(""))).alias("th"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return rows.withColumn("doc_id", c("_id").cast("long"))
+    ranks = numbered(rows.filter("_id IS NOT NULL").select("_id").distinct(), ["_id"], "doc_id").select(c("_id").alias("_named"), c("doc_id").cast("long").alias("doc_id"))
+    ranks = stage(ranks, "ranks")
+    return rows.join(ranks, c("_id") == c("_named"), "left").drop("_named")
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``rows`` with the column ``ab``, null where a text has no span."""
-    r, s = rows.alias("r"), spans.alias("s")
-    return r.join(s, F.col("r.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.col("r.th") == F.col("s.th")), "left").select("r.doc_id", "r.text", "s.ab")
+    """``_id``, ``text`` and ``ab`` of all ``rows``, null where a text has no span. Only texts that may have one are shuffled."""
+    c = F.col
+    asked, maybe = maybe_in(rows, F.xxhash64("doc_id", "th"), spans.select(F.xxhash64("doc_id", "th").alias("h")), spans.count())
+    sure = asked.filter(~maybe).select("_id", "text", F.lit(None).cast("array<long>").alias("ab"))
+    r, s = asked.filter(maybe).select("_id", "text", "doc_id", "th").alias("r"), spans.alias("s")
+    found = r.join(s, c("r.doc_id").eqNullSafe(c("s.doc_id")) & (c("r.th") == c("s.th")), "left").select("r._id", "r.text", "s.ab")
+    return sure.unionByName(found)

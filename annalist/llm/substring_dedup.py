@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from annalist.llm.anchors import Occurrences, groups_of, identified, offsets_of, repeated_spans, with_spans
 from annalist.llm.vectext import NOT_SPACE, Words, covered
+from annalist.plans.staging import stage
 
 #: Words of an anchor.
 GRAM = 8
+#: Reference text of one broadcast automaton (which has some hundred times as many bytes), and automata of one pass.
+REFERENCE_BYTES, PASS_SHARDS = 1 << 18, 4
 
 
 class SuffixAutomaton:
     """A suffix automaton over several word sequences, extended one sequence at a time."""
 
-    def __init__(self) -> None:
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
+    def __init__(self, next: list[dict[bytes, int]] | None = None, link: list[int] | None = None, length: list[int] | None = None) -> None:  # noqa: A002
+        self.next: list[dict[bytes, int]] = next or [{}]
+        self.link, self.length = link or [-1], length or [0]
 
     def add(self, words: list[bytes]) -> None:
         """Insert a sequence."""
@@ -97,6 +102,19 @@ def encode_words(flat: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray,
     return i, (lens.astype(np.uint32), flat[pick].tobytes())
 
 
+def matched(automaton: SuffixAutomaton, words: list[bytes], size: int) -> list[tuple[int, int]]:
+    """Maximal ranges of first words of windows that the automaton's sequences hold."""
+    out, a, last = [], -1, -9
+    for j, n in enumerate(automaton.statistics(words)):
+        if n >= size:
+            if last != j - 1:
+                if a >= 0:
+                    out.append((a, last - size + 2))
+                a = j - size + 1
+            last = j
+    return [*out, (a, last - size + 2)] if a >= 0 else out
+
+
 def match_words(size: int):
     """Windows of segments with equal anchors that an earlier segment has, by an automaton per anchor."""
 
@@ -112,16 +130,11 @@ def match_words(size: int):
                 words = text[off[i] : off[i + 1]].split(b" ")
                 fresh = True
                 if k > lo:
-                    hit = [j - size + 1 for j, n in enumerate(automaton.statistics(words)) if n >= size]
-                    if hit:
-                        fresh = len(hit) < occ.windows[k]
-                        a = hit[0]
-                        for x, y in zip(hit, [*hit[1:], -9], strict=True):
-                            if y != x + 1:
-                                seg.append(k)
-                                first.append(a)
-                                stop.append(x + 1)
-                                a = y
+                    for a, b in matched(automaton, words, size):
+                        fresh &= b - a < occ.windows[k]
+                        seg.append(k)
+                        first.append(a)
+                        stop.append(b)
                 if fresh and k < hi - 1:
                     automaton.add(words)
         return np.array(seg, np.int64), np.array(first, np.int64), np.array(stop, np.int64)
@@ -133,7 +146,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """Remove words that lie in ``window`` consecutive words which also start earlier in the corpus.
 
     Words are runs without ASCII white space, unchanged. Earlier means in a document with a smaller id (null last), or in
-    the same one at an earlier word; windows are judged on the input. Returns one row per input row: the id, ``n_words``,
+    the same one at an earlier word; windows are judged on the input. Ids that are no integers count in their order. Returns one row per input row: the id, ``n_words``,
     ``n_removed``, ``kept_sha256`` (of the kept words joined by one blank) and, with ``texts``, ``kept`` itself. Null and
     empty texts have no words. Different texts under one id are ordered by a hash; rows equal in id and text are one
     document and get the same result. An empty table gives an empty result; other columns are ignored.
@@ -141,11 +154,66 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     Suffix automata of fixed shards that every document is streamed past would cost shards times corpus. So documents and
     reference meet by anchor (see :mod:`annalist.llm.anchors`): a shard builds the automaton of the segments around each
     repeated anchor as it streams them in corpus order, and a segment's matching statistics tell which of its windows an
-    earlier one has. Work grows with the corpus; texts are shuffled as compressed segments once and once for the result.
+    earlier one has. Only copies inside one task's run, and windows at anchors with very many segments, are settled by hashes
+    (of 128 and 96 bits). Work grows with the corpus; texts are shuffled as compressed segments once, and those with a span
+    once more for the result.
     """
     rows = identified(docs, text_col, id_col)
     spans = repeated_spans(rows, window, GRAM, word_symbols, encode_words, match_words(window))
+    return _without(with_spans(rows, spans), docs.schema[id_col].dataType.simpleString(), id_col, texts)
+
+
+def substring_dedup_against(
+    docs: DataFrame, reference: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", texts: bool = False
+) -> DataFrame:
+    """Remove words that lie in ``window`` consecutive words which a reference text holds; results as :func:`substring_dedup`.
+
+    Tasks build a suffix automaton for each shard of some ``REFERENCE_BYTES`` of the reference; ``PASS_SHARDS`` of them at a
+    time are broadcast, and all documents stream past them for their matching statistics. So what is broadcast is bounded,
+    and a reference of a few megabytes (licenses, boilerplate, a list of quotations) takes a few scans and no shuffle of
+    documents. Its cost is passes times corpus, which is why a corpus is not held against itself this way. Null texts have no
+    words; repeated rows stay rows; empty tables work.
+    """
+    spark, c = docs.sparkSession, F.col
     kind = docs.schema[id_col].dataType.simpleString()
+    known = reference.select(c(reference_col).alias("t")).filter("t IS NOT NULL").distinct()
+    shards = -(-(known.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // REFERENCE_BYTES)
+    rows = docs.select(c(id_col).alias("_id"), c(text_col).alias("text"), F.array().cast("array<long>").alias("ab"))
+    if not shards:
+        return _without(rows, kind, id_col, texts)
+
+    def build(table: pa.Table) -> pa.Table:
+        automaton = SuffixAutomaton()
+        for t in table["t"]:
+            automaton.add(t.as_py().encode().split())
+        return pa.table({"shard": table["shard"][:1], "automaton": pa.array([pickle.dumps(vars(automaton))], pa.binary())})
+
+    split = known.withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(shards)))
+    automata = stage(split.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata")
+
+    def streamer(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = [SuffixAutomaton(**pickle.loads(x)) for x in held.value]
+            for batch in batches:
+                found = []
+                for text, ab in zip(batch.column(1), batch.column(2), strict=True):
+                    words = (text.as_py() or "").encode().split()
+                    found.append(ab.as_py() + [x for a in every for i, j in matched(a, words, window) for x in (i, j + window - 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["_id", "text", "ab"])
+
+        return run
+
+    for at in range(0, shards, PASS_SHARDS):
+        held = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in automata.filter(c("shard").between(at, at + PASS_SHARDS - 1)).collect()])
+        rows = rows.mapInArrow(streamer(held), f"_id {kind}, text string, ab array<long>")
+        if at + PASS_SHARDS < shards:
+            rows = stage(rows, "streamed")
+            held.unpersist()
+    return _without(rows, kind, id_col, texts)
+
+
+def _without(rows: DataFrame, kind: str, id_col: str, texts: bool) -> DataFrame:
+    """The result for ``_id``, ``text`` and the ranges of words ``ab`` that go."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,4 +234,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.string())] if texts else []), names)
 
     names = [id_col, "n_words", "n_removed", "kept_sha256"] + (["kept"] if texts else [])
-    return with_spans(rows, spans).mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else ""))
+    return rows.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else ""))
