@@ -127,50 +127,73 @@ class LoserTree:
             self.winner = w
 
 
+def old_windows(size: int, fronts: list[bytes], windows: list[int], rank: list[int], shared: list[int]) -> list[tuple[int, int, int]]:
+    """Windows of one anchor's segments that an earlier one has: segment, first and past-the-last window.
+
+    Segments are in corpus order; ``rank`` is each one's place in the sorted order of what follows the anchor, ``shared`` the
+    common prefix of each place with the place before. A window is ``n`` bytes before the anchor and ``size - n`` after it. The
+    latter are equal for places between which no common prefix is shorter, so runs of places name them; the former likewise
+    in the sorted order of the reversed parts before the anchor.
+    """
+    if len(fronts) == 2:
+        before = common_prefix(fronts[0][::-1], fronts[1][::-1], 0)
+        front, both = len(fronts[1]), [max(len(f) - w + 1, 0) for f, w in zip(fronts, windows, strict=True)]
+        low = max(size - shared[1], *both)  # bytes before the anchor: so many that what follows is shared, and in both segments
+        high = min(before, front)
+        return [(1, front - high, front - low + 1)] if low <= high else []
+    k = len(fronts)
+    back = [f[::-1] for f in fronts]
+    order = sorted(range(k), key=back.__getitem__)
+    place = np.empty(k, np.int64)
+    place[order] = np.arange(k)
+    common = np.array([0, *(common_prefix(back[x], back[y], 0) for x, y in zip(order, order[1:], strict=False))])
+    lens, wins = np.array([len(f) for f in fronts]), np.array(windows)
+    n = np.arange(max(0, int((lens - wins).min()) + 1), int(lens.max()) + 1)
+    left = np.cumsum(common[:, None] < n, axis=0)[place]
+    right = np.cumsum(np.array(shared)[:, None] < size - n, axis=0)[np.array(rank)]
+    inside = (n <= lens[:, None]) & (n > lens[:, None] - wins[:, None])
+    ident = ((n * (k + 1) + left) * (k + 1) + right)[inside]
+    known = np.ones(len(ident), bool)
+    known[np.unique(ident, return_index=True)[1]] = False
+    grid = np.zeros(inside.shape, bool)
+    grid[inside] = known
+    out = []
+    for i in np.flatnonzero(grid.any(1)).tolist():
+        for a, b in zip(*runs(grid[i]), strict=True):  # more bytes before the anchor is an earlier window
+            out.append((i, int(lens[i] - n[b - 1]), int(lens[i] - n[a]) + 1))
+    return out
+
+
 def match_suffixes(size: int):
     """Windows of segments with equal anchors that an earlier segment has, by the merged order of their suffixes."""
 
     def detail(occ: Occurrences, bodies: list):
-        none = (np.zeros(0, np.int64),) * 3
-        if not len(occ.key):
-            return none
-        suffix: list[bytes] = [b""] * len(occ.key)
         left: list[bytes] = [b""] * len(occ.key)
         sorted_runs, owners = [], []
         for r in np.unique(occ.run):
             k = np.flatnonzero(occ.run == r)
             k = k[np.argsort(occ.at[k])]
             s, front, prefix = decode_run(bodies[r], occ.at[k])
-            for j, x, y in zip(k.tolist(), s, front, strict=True):
-                suffix[j], left[j] = x, y
+            for j, y in zip(k.tolist(), front, strict=True):
+                left[j] = y
             sorted_runs.append((s, prefix.tolist()))
             owners.append(k.tolist())
-        # the longest prefix that each segment's suffix shares with another one: that with a neighbour in sorted order
-        shares = [0] * len(occ.key)
-        last = -1
+        place, shared = np.empty(len(occ.key), np.int64), []
         for r, at, n in LoserTree(sorted_runs).merge():
-            k = owners[r][at]
-            if last >= 0:
-                if n > shares[k]:
-                    shares[k] = n
-                if n > shares[last]:
-                    shares[last] = n
-            last = k
+            place[owners[r][at]] = len(shared)
+            shared.append(n)
+        shared = np.array(shared)
+        windows = occ.windows.tolist()
         seg, first, stop = [], [], []
         bounds = groups_of(occ.key)
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            seen: set[bytes] = set()
-            for k in range(lo, hi):
-                # window j ends len(left) - j bytes short of size after the anchor; what is beyond the shared prefix is unique
-                count = min(int(occ.windows[k]), len(left[k]) + shares[k] - size + 1)
-                if count <= 0:
-                    continue
-                whole = left[k] + suffix[k]
-                old = [(w := whole[j : j + size]) in seen or seen.add(w) is not None for j in range(count)]
-                a, b = runs(np.array(old, bool))
-                seg += [k] * len(a)
-                first += a.tolist()
-                stop += b.tolist()
+            order = np.argsort(place[lo:hi])
+            at = place[lo:hi][order]
+            common = np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1).tolist()  # over other anchors' suffixes the least counts
+            for i, a, b in old_windows(size, left[lo:hi], windows[lo:hi], np.argsort(order).tolist(), [0, *common]):
+                seg.append(lo + i)
+                first.append(a)
+                stop.append(b)
         return np.array(seg, np.int64), np.array(first, np.int64), np.array(stop, np.int64)
 
     return detail
@@ -180,15 +203,16 @@ def suffix_dedup(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_
     """Remove bytes that lie in a ``size``-byte string which also starts earlier in the corpus.
 
     Texts are UTF-8 bytes; matches never cross documents. Earlier means in a document with a smaller id (null last), or in
-    the same one at an earlier byte; strings are judged on the input. Returns one row per input row: the id, ``n_bytes``,
+    the same one at an earlier byte; strings are judged on the input. Ids that are no integers count in their order. Returns one row per input row: the id, ``n_bytes``,
     ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` and, with ``texts``, ``kept`` (binary: a cut may split
     a character). Null and empty texts have no bytes. Different texts under one id are ordered by a hash; rows equal in id
     and text are one document and get the same result. An empty table gives an empty result; other columns are ignored.
 
     Of all suffixes only those that begin at an anchor are sorted (see :mod:`annalist.llm.anchors`): a repeated string holds
     the same anchor at the same place, so nothing is lost, and a suffix is sent no further than its windows reach. Tasks sort
-    and front-code them; a shard's runs are merged by a loser tree that reuses the stored common prefixes, and a neighbour's
-    common prefix bounds the windows that can occur twice.
+    and front-code them; a shard's runs are merged by a loser tree that reuses the stored common prefixes, and the common
+    prefixes of the merged order tell which strings are equal. Only copies inside one run, and windows at anchors with very many
+    segments, are settled by hashes (of 128 and 96 bits).
     """
     rows = identified(docs, text_col, id_col)
     spans = repeated_spans(rows, size, GRAM, byte_symbols, encode_suffixes, match_suffixes(size))
