@@ -13,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.llm.filters import join_groups, maybe_in
+from annalist.plans.staging import stage
+
 #: Bytes of a record's block above which it is written as a first segment and continuation records.
 SEGMENT_BYTES = 16384
 #: Code points of a chunk in chunked transfer framing.
 CHUNK_CHARS = 4096
+#: Records of one archive; with blocks of ``SEGMENT_BYTES`` at most, some 70 MB before compression.
+ARCHIVE_RECORDS = 4096
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -75,13 +80,25 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, segment_by
 
     Of rows with equal payloads of at least ``min_payload`` bytes the smallest page_id is the response, the others revisit
     it. Null html is an empty payload; null ids are written as null and never preferred; repeated rows of the page that is
-    the response are responses; an empty table writes an empty archive. Equal payloads are found by their SHA-256 and
-    combined before the shuffle.
+    the response are responses; an empty table writes an empty archive. An archive holds ``ARCHIVE_RECORDS`` records at most.
+
+    Equal payloads are found by their SHA-256 and counted per task before they are shuffled. Pages are not shuffled, but for
+    those whose payload may occur more than once by a filter of bounded size; of these, pages with one of the most frequent
+    payloads stay where they are, too.
     """
     c = F.col
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_key", F.sha2("html", 256))
-    firsts = rows.groupBy("_key").agg(F.min("page_id").alias("_first"))
-    rows = rows.join(firsts, "_key").withColumn("_revisit", ~c("page_id").eqNullSafe(c("_first")) & (F.octet_length("html") >= min_payload))
+    firsts = rows.groupBy("_key").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    firsts = stage(firsts.filter("_n > 1").select(c("_key").alias("_again"), "_first", "_n"), "payloads")
+    n, total = firsts.agg(F.count("*"), F.sum("_n")).first()
+    asked, maybe = maybe_in(rows, F.xxhash64("_key"), firsts.select(F.xxhash64("_again").alias("h")), n)
+    names, same = ["page_id", "url", "html", "_first"], c("_key") == c("_again")
+    lone = asked.filter(~maybe)
+    many = asked.filter(maybe)
+    sole = many.join(firsts, same, "left_anti")  # the filter lets some pass that are alone
+    own = [d.select("page_id", "url", "html", c("page_id").alias("_first")) for d in (lone, sole)]
+    rows = own[0].unionByName(own[1]).unionByName(join_groups(many, firsts, same, c("_n"), total or 0).select(*names))
+    rows = rows.withColumn("_revisit", ~c("page_id").eqNullSafe(c("_first")) & (F.octet_length("html") >= min_payload))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +109,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, segment_by
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     records = rows.select("page_id", "url", "html", "_first", "_revisit").mapInArrow(run, "value string")
-    records.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
