@@ -9,9 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.filters import join_groups
 from annalist.llm.vectext import mix64
 from annalist.operators.components import connected_components
 from annalist.plans.staging import stage
@@ -284,16 +285,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     c, names = F.col, [f"f{j}" for j in range(words)]
     rows = fingerprints(docs, id_col, text_col, shingle, words)
     rows = stage(rows.withColumn("key", c("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
-    labelled = stage(rows.groupBy("key", *names).agg(F.min("doc_id").alias("low")).withColumn("root", c("key")), "classes")
+    labelled = stage(rows.groupBy("key", *names).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).withColumn("root", c("key")), "classes")
     sets = posting_sets(8 * words, posting_width(labelled.count(), 8 * words, differ), differ)
     for part in [sets] if len(sets) < 4 * FIRST_SETS else [sets[::len(sets) // FIRST_SETS], [x for i, x in enumerate(sets) if i % (len(sets) // FIRST_SETS)]]:
         comps = connected_components(links(labelled.select(c("root").alias("key"), *names), differ, words, part))
         joined = labelled.join(comps, labelled["root"] == comps["node"], "left")
-        labelled = stage(joined.select("key", *names, "low", F.coalesce("component", "root").alias("root")), "classes")
-    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lowest, "root").select("key", "component_id")
+        labelled = stage(joined.select("key", *names, "low", "n", F.coalesce("component", "root").alias("root")), "classes")
+    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_members"))
+    lowest = stage(lowest.withColumnRenamed("root", "_root"), "lowest")
+    named = join_groups(labelled, lowest, c("root") == c("_root"), c("_members"), labelled.count())
+    named = stage(named.select(c("key").alias("_key"), *[c(x).alias(f"_{x}") for x in names], "n", "component_id"), "named")
     text = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
-    return rows.join(named, "key").select(c("doc_id").alias(id_col), text.alias("fingerprint"), "component_id")
+    same = c("key") == c("_key")
+    for x in names if words > 1 else ():  # a key of several words is a hash
+        same &= c(x) == c(f"_{x}")
+    return join_groups(rows, named, same, c("n"), rows.count()).select(c("doc_id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def text_digest(text: Column) -> Column:
+    """What tells texts under one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
@@ -311,7 +322,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, words:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]], ["doc_id", "digest", "node", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, digest long, node long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, digest long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -339,7 +350,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 
 def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
-    """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: the id and ``component_id``.
+    """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: one row per input row with
+    the id, ``component_id``, ``digest`` (:func:`text_digest`) and ``kept``, whether it is the component's one
+    document that stays: that with the smallest id (null last), of several texts under it that with the smallest digest.
 
     Candidates are texts that meet in a posting and differ in at most :func:`near_limit` bits with three deviations, which
     a pair of the similarity hardly exceeds, and whose sets' sizes and parities do not rule the similarity out (which is
@@ -352,12 +365,12 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     c, spark, bits = F.col, docs.sparkSession, 64 * words
     names = [*(f"f{j}" for j in range(words)), *(f"p{j}" for j in range(PARITY_BITS // 64)), "n"]
     rows = stage(_sketches(docs, id_col, text_col, shingle, words), "sketches")
-    nodes = rows.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "digest")).alias("one"))
+    nodes = rows.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one"), F.count("*").alias("rows"))
     nodes = stage(nodes.withColumn("key", c("node")), "nodes")
     differ = near_limit(similarity, bits, 3)
     sets = posting_sets(8 * words, 3, differ)
     few, more = max(1, len(sets) // FIRST_SETS), max(1, len(sets) // SETS_AT_ONCE)
-    texts = docs.select(c(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), c(text_col).alias("text"))
+    texts = docs.select(c(id_col).alias("_id"), text_digest(c(text_col)).alias("_digest"), c(text_col).alias("text"))
 
     def joined(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         need = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()
@@ -366,7 +379,7 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
         held = stage(texts.join(ones, same).groupBy("node").agg(F.first("text").alias("text")), "candidates")
         comps = connected_components(_verified(pairs, held, shingle, similarity)).select(c("node").alias("_n"), "component")
         out = nodes.join(comps, nodes["key"] == comps["_n"], "left")
-        return stage(out.select("node", *names, "low", "one", F.coalesce("component", "key").alias("key")), "nodes")
+        return stage(out.select("node", *names, "low", "one", "rows", F.coalesce("component", "key").alias("key")), "nodes")
 
     for most, part in ((near_limit((1 + similarity) / 2, bits, 0), sets[::few]), (near_limit(similarity, bits, 0), sets[few // 2 :: few]), (differ, sets[more // 2 :: more])):
         nodes = joined(nodes, stage(links(nodes, most, words, part, "some", similarity), "pairs"))
@@ -376,9 +389,13 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
         pairs = found if pairs is None else pairs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged files of what has ended
     nodes = joined(nodes, stage(pairs.distinct(), "pairs"))
-    lowest = nodes.groupBy("key").agg(F.min("low").alias("component_id"))
-    named = nodes.join(lowest, "key").select("node", "component_id")
-    return rows.join(named, "node").select(c("doc_id").alias(id_col), "component_id")
+    lowest = nodes.groupBy("key").agg(F.min("low").alias("component_id"), F.min("one").alias("stays"), F.count("*").alias("_members"))
+    lowest = stage(lowest.withColumnRenamed("key", "_key"), "lowest")
+    named = join_groups(nodes.select("node", "key", "rows"), lowest, c("key") == c("_key"), c("_members"), nodes.count())
+    named = stage(named.select(c("node").alias("_node"), "rows", "component_id", "stays"), "named")
+    found = join_groups(rows.select("doc_id", "node", "digest"), named, c("node") == c("_node"), c("rows"), rows.count())
+    kept = c("doc_id").eqNullSafe(c("stays.doc_id")) & (c("digest") == c("stays.digest"))
+    return found.select(c("doc_id").alias(id_col), "component_id", "digest", kept.alias("kept"))
 
 
 def near_limit(similarity: float, bits: int, slack: float = 1.25) -> int:
