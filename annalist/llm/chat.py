@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of a conversation that form one text; a longer one continues in further parts.
+from annalist.plans.numbering import numbered
+from annalist.plans.staging import stage
+
+#: Turns that form one text; only a conversation with more of them continues in further parts.
 PART_TURNS = 4096
+# Marks of the chat format.
+MARKS = ("<|im_start|>", "<|im_end|>")
 #: Roles that set the scene and don't take part.
 NARRATORS = ("system",)
 NOBODY = "unknown"
@@ -21,18 +26,33 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, narrato
     participant: ``conv_id``, ``part``, ``speaker``, ``n_turns``, ``text`` and ``mask``, the ranges of code points (start
     included, end not) that a loss counts: the speaker's own words with their end mark.
 
-    Turns are ordered by number (null last), then role, then text; repeated rows are repeated turns. A null role speaks as
-    "unknown", a null text is empty, a null conv_id is a conversation. Narrators alone give no row; an empty table gives an
-    empty result; other columns are ignored. A conversation whose turn numbers exceed ``part_turns`` continues in further
-    parts, each rendered for all its participants, so that no row grows without bound.
+    Turns are ordered by number, whatever the numbers are (null last), then role, then text; repeated rows are repeated
+    turns. A null role speaks as "unknown", a null text is empty, a null conv_id is a conversation. Marks inside texts and
+    roles get a blank after their first character, line breaks in roles become blanks, so neither can be taken for the
+    format's own. Narrators alone give no row; an empty table gives an empty result; other columns are ignored.
+
+    A dialogue is one text, but for one of more than ``part_turns`` turns: so that no row grows without bound it continues
+    in further parts of ``part_turns`` turns each, all rendered for all its participants. The turns of such conversations
+    are numbered by ranges of their order, so none of them is gathered in one task.
     """
     c = F.col
-    role = F.coalesce(c("role"), F.lit(NOBODY))
-    rows = conversations.select(
-        "conv_id", F.coalesce(F.floor(c("turn") / part_turns), F.lit(-1)).cast("long").alias("part"),
-        F.struct(c("turn").isNull().alias("none"), c("turn").alias("turn"), role.alias("role"), F.coalesce(c("text"), F.lit("")).alias("text")).alias("t"),
-    )
+
+    def plain(text):
+        for m in MARKS:
+            text = F.replace(text, F.lit(m), F.lit(f"{m[0]} {m[1:]}"))
+        return text
+
+    role = plain(F.regexp_replace(F.coalesce(c("role"), F.lit(NOBODY)), r"[\r\n]+", " "))
+    rows = conversations.select("conv_id", F.struct(c("turn").isNull().alias("none"), c("turn").alias("turn"), role.alias("role"), plain(F.coalesce(c("text"), F.lit(""))).alias("text")).alias("t"))
     speakers = rows.filter(~c("t.role").isin(*narrators)).select("conv_id", c("t.role").alias("speaker")).distinct()
+    long = stage(rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(c("n") > part_turns).select(c("conv_id").alias("_long")), "longconvs")
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    if not long.isEmpty():
+        same = c("conv_id").eqNullSafe(c("_long"))
+        placed = stage(numbered(rows.join(long, same, "left_semi").withColumn("_tie", F.monotonically_increasing_id()), ["conv_id", "t", "_tie"], "_at"), "longturns")
+        firsts = placed.groupBy(c("conv_id").alias("_long")).agg(F.min("_at").alias("_first"))
+        parts = placed.join(firsts, same).select("conv_id", "t", F.floor((c("_at") - c("_first")) / part_turns).cast("long").alias("part"))
+        rows = rows.join(long, same, "left_anti").unionByName(parts)
     turns = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     a, b = turns.alias("a"), speakers.alias("b")
     both = a.join(b, c("a.conv_id").eqNullSafe(c("b.conv_id"))).select("a.conv_id", "part", "speaker", "turns")

@@ -89,7 +89,9 @@ ORACLES: dict[str, str] = {
               FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r""",
     "op3_chat_perspectives": r"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 4096), -1) AS BIGINT) AS part FROM conversations),
+        WITH m AS (SELECT conv_id, turn, replace(replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS role,
+                          replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
+        t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // 4096 AS part FROM m),
         s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
         x AS (SELECT t.conv_id, t.part, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS own,
                      '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS h,
@@ -128,6 +130,15 @@ ORACLES: dict[str, str] = {
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    "op9_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM t WHERE len(h) >= 200)),
+        a AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+        g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM a),
+        r AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+        p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM r),
+        k AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS l FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+        SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(l, h))) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id""",
     # on these pages the main text is the article element; SQL takes just that
     "op10_html_extraction": r"""
         WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?p>|</?h1>') AS parts FROM pages),
