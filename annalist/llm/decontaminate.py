@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from annalist.llm.vectext import ALNUM, Words, covered, runs, text_blocks
 from annalist.plans.staging import stage
 
-#: Benchmark text that one pass over the documents is matched with; a larger benchmark takes several passes.
-PASS_BYTES = 32 << 20
+#: Benchmark text that one pass over the documents is matched with (its index has some ten times as many bytes); a larger
+#: benchmark takes several passes.
+PASS_BYTES = 8 << 20
 
 
 class BenchmarkIndex:
@@ -21,22 +22,24 @@ class BenchmarkIndex:
 
     Items of ``window`` words or more are winnowed: of each ``window - gram + 1`` consecutive ``gram``-word hashes the
     smallest is kept, so any shared run of ``window`` words shares a kept fingerprint at the same place in the run.
-    Shorter items are one window each and are looked up by the hash of all their words.
+    Shorter items are one window each and are looked up by the hash of all their words. Hashes only propose: a window counts
+    when its words are those of the item.
     """
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, gram: int):
         self.window, self.gram = window, gram
         self.ids = np.array([i for i, _ in items], object)
         col = pa.array([t for _, t in items], pa.large_string())
-        keys, spans, at = [], [], []
-        short: dict[int, list[tuple[int, int]]] = {}
+        keys, spans, at, where = [], [], [], []
+        short: dict[int, list[tuple[int, int, int]]] = {}
+        self.words: list[bytes] = []
         for a, _, data, offsets in text_blocks(col, max(1, PASS_BYTES)):
             w = Words(data, offsets, ALNUM, lower=True)
             h = w.hashes()
             n = np.diff(w.first)
             for d in np.flatnonzero((n > 0) & (n < window)):
                 k = int(n[d])
-                short.setdefault(k, []).append((int(w.grams(h[w.first[d] : w.first[d] + k], k)[0]), a + int(d)))
+                short.setdefault(k, []).append((int(w.grams(h[w.first[d] : w.first[d] + k], k)[0]), a + int(d), len(self.words) + int(w.first[d])))
             g, big = w.grams(h, gram), w.grams(h, window)
             pos = np.flatnonzero(winnow(g, window - gram + 1) & w.whole(gram))
             whole = w.whole(window)
@@ -47,11 +50,13 @@ class BenchmarkIndex:
                 keys.append(g[pos[ok]] + np.uint64(back))
                 spans.append(big[s[ok]])
                 at.append(a + w.doc[s[ok]])
-        key, span, item = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, spans, at))
+                where.append(len(self.words) + s[ok])
+            self.words += texts_of(w, np.arange(len(w.doc)))
+        key, span, item, place = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, spans, at, where))
         order = np.lexsort((item, span, key))
-        self.key, self.span, self.item = key[order], span[order], item[order].astype(np.int64)
+        self.key, self.span, self.item, self.place = key[order], span[order], item[order].astype(np.int64), place[order].astype(np.int64)
         self.grams = np.unique(np.concatenate([self.key - np.uint64(b) for b in range(window - gram + 1)])) if len(key) else key
-        self.short = {k: (np.array(sorted(v), np.uint64)[:, 0], np.array([i for _, i in sorted(v)], np.int64)) for k, v in short.items()}
+        self.short = {k: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for k, v in short.items()}
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, length and item of every occurrence of a window in a block of texts."""
@@ -69,16 +74,27 @@ class BenchmarkIndex:
                 s, k = s[inside], k[inside]
                 at, item = _expand(self.key, self.item, k)
                 same = self.span[item[1]] == big[s[at]]
-                found.append((s[at[same]], np.full(int(same.sum()), self.window), item[0][same]))
-        for n, (hashes, item) in self.short.items():
+                found.append(self._same(w, s[at[same]], self.window, item[0][same], self.place[item[1][same]]))
+        for n, (hashes, item, place) in self.short.items():
             if len(h) >= n:
                 s = np.flatnonzero(w.whole(n) & _among(w.grams(h, n), np.unique(hashes)))
                 at, got = _expand(hashes, item, w.grams(h, n)[s])
-                found.append((s[at], np.full(len(at), n), got[0]))
+                found.append(self._same(w, s[at], n, got[0], place[got[1]]))
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def _same(self, w: Words, s: np.ndarray, n: int, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the proposed windows whose words are the item's."""
+        mine = {int(a): texts_of(w, np.arange(a, a + n)) for a in np.unique(s)}
+        ok = np.array([mine[a] == self.words[p : p + n] for a, p in zip(s.tolist(), place.tolist(), strict=True)], bool)
+        return s[ok], np.full(int(ok.sum()), n), item[ok]
+
+
+def texts_of(w: Words, at: np.ndarray) -> list[bytes]:
+    """Some words of a block."""
+    return [w.data[a:b].tobytes() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+
 
 def winnow(g: np.ndarray, width: int) -> np.ndarray:
     """Which hashes are the smallest (ties included) of some ``width`` consecutive ones."""
@@ -111,12 +127,12 @@ def _expand(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.nda
     return at, (values[place], place)
 
 
-def _item_blocks(bench: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    items = bench.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null").distinct()
+def _passes(bench: DataFrame, item_col: str, text_col: str) -> tuple[int, Callable[[int], list[tuple[str | None, str]]]]:
+    """How many passes the benchmark takes (none if it has no text), and what fetches the items of one."""
+    items = bench.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = 1 + total // PASS_BYTES
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(passes))
-    return [[(r["i"], r["t"]) for r in items.filter(part == k).collect()] for k in range(passes)] if total else []
+    passes = 1 + total // PASS_BYTES if total else 0
+    return passes, lambda k: [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()]
 
 
 def benchmark_overlap(
@@ -128,15 +144,16 @@ def benchmark_overlap(
     ASCII upper case is folded; words are runs of ASCII letters, digits and non-ASCII characters. A window is ``window``
     consecutive words of an item, or all of a shorter one. Returns one row per input row: the id, ``n_words``, ``n_hit``,
     ``items`` (sorted strings), ``spans`` (first and past-the-end word of each hit run) and the columns in ``keep`` (but for such of these names). Null
-    and empty texts have no words; items with a null id or no words are left out; repeated rows stay rows; empty tables
-    work.
+    and empty texts have no words, items without words have no window; words of an item with a null id are hit, but it has
+    no id to be named by in ``items``; repeated rows stay rows; empty tables work.
 
     The benchmark is a stated query set: it travels to the executors in passes of ``PASS_BYTES``, one scan of the documents
-    each, so its size is checked and not assumed. Usually that is one scan without any shuffle.
+    each, so its size is checked and not assumed; the driver holds one pass at a time. Usually that is one scan without any
+    shuffle.
     """
     c = F.col
     keep = tuple(k for k in keep if k not in (id_col, "n_words", "n_hit", "items", "spans"))
-    blocks = _item_blocks(bench, item_col, item_text_col)
+    passes, items_of = _passes(bench, item_col, item_text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     base = f"_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<a:long,b:long>>"
@@ -158,7 +175,7 @@ def benchmark_overlap(
                         mask = covered(s, s + n, len(w.doc))
                         hit = np.bincount(w.doc[mask], minlength=w.n_docs)
                         for d, i in sorted(set(zip(w.doc[s].tolist(), item.tolist(), strict=True))):
-                            its[d].append(index.ids[i])
+                            its[d] += [index.ids[i]] if index.ids[i] is not None else []
                         mark = np.unique(np.concatenate([runs(mask)[0], w.first[:-1][np.isin(w.first[:-1], np.flatnonzero(mask))]]))
                         for a in mark.tolist():
                             d = int(w.doc[a])
@@ -176,21 +193,22 @@ def benchmark_overlap(
 
         return run
 
-    if len(blocks) < 2:
-        index = BenchmarkIndex(blocks[0], window, gram) if blocks else None
+    if passes < 2:
+        index = BenchmarkIndex(items_of(0), window, gram) if passes else None
         return rows.mapInArrow(matcher(index, keep), schema).withColumnRenamed("_id", id_col)
-    numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = [numbered.select("_id", "_text", "_row").mapInArrow(matcher(BenchmarkIndex(b, window, gram), ("_row",)), f"{base}, _row long") for b in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    every = None
+    for k in range(passes):
+        found = rows.select("_id", "_text", "_row").mapInArrow(matcher(BenchmarkIndex(items_of(k), window, gram), ("_row",)), f"{base}, _row long")
+        found = stage(found if every is None else found.filter("n_hit > 0"), "hits")  # the first pass tells every row's words
+        every = found if every is None else every.unionByName(found)
     lone = every.groupBy("_row").agg(F.first("_id").alias("_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_s"))
     merge = (
         "aggregate(_s, cast(array() as array<struct<a:bigint,b:bigint>>), (m, s) -> if(size(m) > 0 and element_at(m, -1).b >= s.a, "
         "concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, s.b)))), concat(m, array(s))))"
     )
     lone = lone.withColumn("spans", F.expr(merge)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)"))
-    return lone.join(numbered.drop("_id", "_text"), "_row").select(c("_id").alias(id_col), "n_words", "n_hit", "items", "spans", *keep)
+    return lone.join(rows.drop("_id", "_text"), "_row").select(c("_id").alias(id_col), "n_words", "n_hit", "items", "spans", *keep)
 
 
 def items_digest() -> Column:
