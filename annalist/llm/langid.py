@@ -16,6 +16,8 @@ from annalist.llm.vectext import text_blocks
 FEATURES = 1 << 15
 #: Nats of summed log odds at which a bit's vote saturates the loss; longer texts don't count for more.
 SHARPNESS = 12.0
+#: One in so many texts judges the bits; and the most languages a model has.
+JUDGED, MOST_LANGUAGES = 5, 512
 #: Below this difference between the two smallest losses a prediction is called ambiguous.
 MARGIN = 0.5
 
@@ -53,8 +55,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     best, far = None, -1
     for _ in range(200):
         m = rng.choice(np.array([-1, 1], np.int8), (n, width))
-        split = (np.abs(m.sum(0)) < n).all()
-        gap = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i)) if split else -1
+        split = (np.abs(m.sum(0, dtype=np.int64)) < n).all()
+        alike = m.astype(np.float32) @ m.T.astype(np.float32) - 2 * width * np.eye(n, dtype=np.float32)
+        gap = int(width - alike.max()) // 2 if split else -1
         if gap > far:
             best, far = m, gap
     return best
@@ -115,46 +118,56 @@ def has_letter(text: Column) -> Column:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on all rows with a text that has a letter and a language; nothing but these two columns is read.
 
-    Both passes are distributed: n-gram counts by language, then the accuracy of each bit for each language. What comes to
-    the driver is languages times ``FEATURES`` numbers, however many rows there are.
+    Both passes are distributed: n-gram counts by language, and the accuracy of each bit for each language. The latter is
+    measured on a fifth of the texts, by a hash of them, with classifiers of the other four fifths, so that a bit is not
+    judged on what it was fitted to. What comes to the driver is languages times twice ``FEATURES`` numbers, however many rows
+    there are; a column with more than ``MOST_LANGUAGES`` values names no languages and is refused.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    if labelled.filter(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    rows = rows.withColumn("judged", F.pmod(F.xxhash64("text"), F.lit(JUDGED)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            names = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 f, doc = ngram_features(data, offsets)
-                of = names[a:b][doc]
-                for lang in dict.fromkeys(names[a:b]):
-                    sums.setdefault(lang, np.zeros(FEATURES, np.int64))
-                    sums[lang] += np.bincount(f[of == lang], minlength=FEATURES)
-        for lang, v in sums.items():
+                kinds = {k: i for i, k in enumerate(dict.fromkeys(names[a:b]))}
+                of = np.array([kinds[k] for k in names[a:b]])[doc]
+                for k, i in kinds.items():
+                    sums.setdefault(k, np.zeros(FEATURES, np.int64))
+                    sums[k] += np.bincount(f[of == i], minlength=FEATURES)
+        for (lang, judged), v in sums.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["lang", "f", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([judged] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["lang", "judged", "f", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInArrow(count, "lang string, judged boolean, f int, n long").groupBy("lang", "judged", "f").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
-    counts = np.zeros((len(langs), FEATURES))
-    counts[np.searchsorted(np.array(langs, object), sums["lang"].to_numpy()) if langs else [], sums["f"].to_numpy()] = sums["n"].to_numpy()
-    model = LanguageModel.from_counts(langs, counts)
+    counts = np.zeros((2, len(langs), FEATURES))
+    if langs:
+        counts[sums["judged"].to_numpy().astype(int), np.searchsorted(np.array(langs, object), sums["lang"].to_numpy()), sums["f"].to_numpy()] = sums["n"].to_numpy()
+    model = LanguageModel.from_counts(langs, counts.sum(0))
     if len(langs) < 2:
         return model
+    fitted = LanguageModel.from_counts(langs, counts[0])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, n = np.zeros(model.codes.shape, np.int64), np.zeros(len(langs), np.int64)
+        right, n = np.zeros(fitted.codes.shape, np.int64), np.zeros(len(langs), np.int64)
         for batch in batches:
             of = np.searchsorted(np.array(langs, object), np.array(batch.column(0).to_pylist(), object))
             for a, b, data, offsets in text_blocks(batch.column(1)):
-                good = np.sign(model.votes(data, offsets)) == model.codes[of[a:b]]
+                good = np.sign(fitted.votes(data, offsets)) == fitted.codes[of[a:b]]
                 np.add.at(right, of[a:b], good.astype(np.int64))
                 n += np.bincount(of[a:b], minlength=len(langs))
         i, j = np.indices(right.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (i.ravel(), j.ravel(), right.ravel(), n[i.ravel()])], ["i", "j", "ok", "n"])
 
-    for r in rows.mapInArrow(judge, "i long, j long, ok long, n long").groupBy("i", "j").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect():
-        model.trust[r["i"], r["j"]] = (r["ok"] + 1) / (r["n"] + 2)
+    trust = np.full(model.codes.shape, 0.5)
+    for r in rows.filter("judged").select("lang", "text").mapInArrow(judge, "i long, j long, ok long, n long").groupBy("i", "j").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect():
+        trust[r["i"], r["j"]] = (r["ok"] + 1) / (r["n"] + 2)
+    model.trust = trust
     model.trust /= model.trust.sum(1, keepdims=True)
     model.trust *= model.codes.shape[1]
     return model
