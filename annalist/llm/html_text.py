@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +29,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never main text.
 CHROME = frozenset("nav footer aside form menu dialog button select fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id values that mark what is not the article.
-CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side-bar|widget|related|recommended|share|sharing|social|comments?|disqus|replies|footer|masthead|site-?header|page-?header|skip-?link|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words of class and id values that mark what is not the article: as any part of a value ("cookie-banner"), or, where they
+# may as well name a subject ("notice-period"), as a whole value only.
+CUES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
+    "pagination pager sidebar disqus footer masthead skiplink toolbar".split()
+)
+WHOLE_CUES = frozenset(
+    "promo promos promotion promotions banner banners notice alert modal overlay widget related related-posts related-articles recommended share sharing share-buttons social social-links comment comments "
+    "comment-list comments-section reader-comments replies site-header page-header siteheader pageheader skip-link side-bar".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 #: A block of at least this many characters is judged by its own density; a shorter one may look at its neighbours.
@@ -48,8 +53,8 @@ LINKS = 0.5
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
 _TOKEN = re.compile(
-    rf"(?is)<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
+    rf"(?is)<!--.*?(?P<over>-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*+>.*?(?P<closed></(?P=raw)\s*>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?P<done>\]\]>|\Z)|<[!?][^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
 )
 _ATTR = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements that may stand around a whole page, and that an article in them ends.
@@ -91,17 +96,28 @@ def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in ("body", "html", "main"):
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and CUES.search(value)):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+            return True
+        if name in ("class", "id") and any(x in WHOLE_CUES or x.replace("_", "-") in WHOLE_CUES or not CUES.isdisjoint(re.split("[_-]", x)) for x in value.split()):
             return True
     return False
 
 
-def _closed(page: str) -> set[int]:
+def _tokens(page: str) -> tuple[list[re.Match], int]:
+    """Tags, comments and the like, and where the text goes on after the last. Linear: where no ``>`` follows there is no tag."""
+    last = page.rfind(">") + 1
+    out = list(_TOKEN.finditer(page, 0, last))
+    if out and out[-1].end() == last and "" in (out[-1]["over"], out[-1]["closed"], out[-1]["done"]):
+        return out, len(page)  # a comment or script that is never closed
+    return out, out[-1].end() if out else 0
+
+
+def _closed(tokens: list[re.Match]) -> set[int]:
     """Where the elements start that have an end tag of their own."""
     open_at: dict[str, list[int]] = {}
     out = set()
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         tag = (m["tag"] or m["tag2"] or "").lower()
         if m["end"] or m["end2"]:
             if open_at.get(tag):
@@ -116,7 +132,9 @@ def split_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, main, whether an article may end it
-    closed = _closed(page)
+    tokens, rest = _tokens(page)
+    closed = _closed(tokens)
+    open_tags: Counter[str] = Counter()
     linked = links = 0
     heading = False
 
@@ -133,10 +151,18 @@ def split_blocks(page: str) -> list[Block]:
         s = entities.unescape(s)
         text.append(s)
         if links:
-            linked += len(s)
+            linked += sum(map(len, s.split()))
+
+    def drop(i: int) -> None:
+        open_tags.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
+    def push(*entry) -> None:
+        open_tags[entry[0]] += 1
+        stack.append(entry)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -159,25 +185,23 @@ def split_blocks(page: str) -> list[Block]:
         if tag in VOID or attrs.endswith("/"):
             continue
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                drop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag in BLOCKS or tag in CHROME:
             if tag in ("article", "main"):
-                while stack and stack[-1][1] and stack[-1][3] and not any(x[2] for x in stack):
-                    stack.pop()  # a menu that was never closed
+                while stack and stack[-1][1] and stack[-1][3] and not stack[-1][2]:
+                    drop(len(stack) - 1)  # a menu that was never closed
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                drop(len(stack) - 1)
             chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             own = _is_chrome(tag, attrs, main)
-            stack.append((tag, chrome or own, main or (tag in ("article", "main") and not chrome and not own), m.start() not in closed or tag in WRAPS))
+            push(tag, chrome or own, main or (tag in ("article", "main") and not chrome and not own), m.start() not in closed or tag in WRAPS)
         elif _is_chrome(tag, attrs, True) and tag not in ("a", "b", "i", "em", "strong"):
             chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             close()
-            stack.append((tag, True, main, m.start() not in closed))
-    if at < len(page):
-        add(page[at:])
+            push(tag, True, main, m.start() not in closed)
+    if rest < len(page):
+        add(page[rest:])
     close()
     return out
 
@@ -193,7 +217,7 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
     labels text wins. With none decided, blocks of the region stay, those outside it go, and on a page without a region
     headings and blocks with stop words, or of a script without them, stay.
     """
-    plain = [not b.chrome and b.linked <= LINKS * len(b.text) for b in blocks]
+    plain = [not b.chrome and b.linked <= LINKS * (len(b.text) - b.text.count(" ")) for b in blocks]
     long = [p and len(b.text) >= LONG and not b.heading for p, b in zip(plain, blocks, strict=True)]
     density = [b.stop_density() if x else 0.0 for x, b in zip(long, blocks, strict=True)]
     dense = sum(len(b.text) for b, x, d in zip(blocks, long, density, strict=True) if x and d >= STOP_HIGH)
