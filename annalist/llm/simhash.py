@@ -21,9 +21,9 @@ from annalist.plans.staging import stage
 WIDE_POSTINGS = 30_000_000
 #: Posting lists up to this length are compared pair by pair in bulk; longer ones by growing components.
 SMALL_LIST = 24
-#: Posting sets for limits under which no shared byte is certain. Of 256-bit fingerprints at a similarity of 0.8, 0.85, 0.9 and
-#: 0.95 about 82, 94, 99 and 100 % of pairs meet in one of 192 triples (by simulation of independent bits).
-LOOSE_SETS = 192
+#: Posting sets for limits under which no shared byte is certain. Of 384-bit fingerprints at a similarity of 0.8, 0.82, 0.85 and
+#: 0.9 some 92, 95, 98 and 100 % of pairs meet in one of 256 triples and are within the limit (by simulation of independent bits).
+LOOSE_SETS = 256
 #: Posting sets of the first round where there are more; what it joins need not be linked again in the second.
 FIRST_SETS = 8
 #: Posting sets that are exchanged at a time where every candidate pair is wanted.
@@ -349,7 +349,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return whole.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4) -> DataFrame:
+def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 6) -> DataFrame:
     """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: one row per input row with
     the id, ``component_id``, ``digest`` (:func:`text_digest`) and ``kept``, whether it is the component's one
     document that stays: that with the smallest id (null last), of several texts under it that with the smallest digest.
