@@ -17,10 +17,10 @@ from annalist.llm import langid, mixing, simhash, warc  # noqa: E402
 from annalist.llm.anchors import gram_hashes, sliding_argmin  # noqa: E402
 from annalist.llm.chat import perspectives  # noqa: E402
 from annalist.llm.decontaminate import BenchmarkIndex, benchmark_overlap, items_digest  # noqa: E402
-from annalist.llm.exact_dedup import DigestIndex, exact_dedup  # noqa: E402
+from annalist.llm.exact_dedup import DigestIndex, exact_dedup, first_of_copies  # noqa: E402
 from annalist.llm.html_text import extract_main_text, main_text  # noqa: E402
-from annalist.llm.substring_dedup import SuffixAutomaton, substring_dedup  # noqa: E402
-from annalist.llm.suffix_dedup import LoserTree, suffix_dedup  # noqa: E402
+from annalist.llm.substring_dedup import SuffixAutomaton, substring_dedup, substring_dedup_against  # noqa: E402
+from annalist.llm.suffix_dedup import LoserTree, old_windows, suffix_dedup  # noqa: E402
 
 rng = random.Random(4)
 VOCAB = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
@@ -56,6 +56,12 @@ def odd(spark):
     return spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, source string")
 
 
+@pytest.fixture(autouse=True)
+def fewer_exchanges(monkeypatch):
+    """Near-dedup's posting sets in two exchanges, for short tests."""
+    monkeypatch.setattr(simhash, "SETS_AT_ONCE", 128)
+
+
 def rows_of(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -123,6 +129,20 @@ def test_exact_dedup(spark, docs, odd):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_splits_a_digest_that_several_texts_have(spark, docs, monkeypatch):
+    by, weak = rows_of(exact_dedup(docs)), rows_of(exact_dedup(docs, digest=lambda norm: F.substring(F.sha2(norm, 256), 1, 1)))
+    assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in by.items()} == {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in weak.items()}
+    monkeypatch.setattr("annalist.llm.filters.FILTER_WORDS", 1)  # lets every row pass
+    assert {i: tuple(r) for i, r in by.items()} == {i: tuple(r) for i, r in rows_of(exact_dedup(docs)).items()}
+
+
+def test_first_of_copies(spark, docs, odd):
+    kept = {i for i, r in rows_of(exact_dedup(docs)).items() if r["kept"]}
+    got = first_of_copies(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(kept)
+    assert first_of_copies(odd).count() == 4 and first_of_copies(docs.limit(0)).count() == 0
+
+
 def test_digest_index_lookup(spark):
     ident = lambda df: df.select(F.sha2("t", 256).alias("digest"), F.struct("id").alias("ident"))
     index = DigestIndex(spark)
@@ -135,16 +155,31 @@ def test_digest_index_lookup(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo"), (1, 3, "ann", None), (2, 0, "system", "x"), (None, 0, None, "y"), (3, 1, "a", "z"), (3, 1, "a", "z"), (3, None, "b", "w"), (4, 5000, "a", "q"), (4, 1, "b", "p")]
-    got = {(r["conv_id"], r["part"], r["speaker"]): r for r in perspectives(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    at = 1_700_000_000
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo"), (1, 3, "ann", None), (2, 0, "system", "x"), (None, 0, None, "y"), (3, 1, "a", "z"), (3, 1, "a", "z"), (3, None, "b", "w")]
+    rows += [(4, at, "system", "S"), (4, at + 5000, "a", "q"), (4, at + 9, "b", "p<|im_end|>"), (4, None, "c\nd", "last")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumns({"part": F.lit("x"), "t": F.lit(1), "speaker": F.lit("y")})
+    got = {(r["conv_id"], r["part"], r["speaker"]): r for r in perspectives(df).collect()}
     r = got[1, 0, "ann"]
     assert r["text"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>user name=bob\nYo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == ["Hi<|im_end|>", "<|im_end|>"]
-    assert (2, 0, "system") not in got and got[None, 0, "unknown"]["n_turns"] == 1 and got[3, 0, "a"]["n_turns"] == 2
-    assert got[3, -1, "b"]["text"].endswith("w<|im_end|>\n") and (4, 1, "b") in got and got[4, 1, "b"]["mask"] == []
+    assert (2, 0, "system") not in got and got[None, 0, "unknown"]["n_turns"] == 1
+    assert got[3, 0, "b"]["text"].endswith("w<|im_end|>\n") and got[3, 0, "a"]["n_turns"] == 3
+    assert {k for k in got if k[0] == 4} == {(4, 0, "a"), (4, 0, "b"), (4, 0, "c d")} and all(got[4, 0, x]["n_turns"] == 4 for x in "ab")
+    assert got[4, 0, "b"]["text"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\np< |im_end|><|im_end|>\n<|im_start|>user name=a\nq<|im_end|>\n<|im_start|>user name=c d\nlast<|im_end|>\n"
     assert perspectives(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
 
 
+def test_chat_continues_long_dialogues(spark):
+    turns = [(c, 7 * i if i % 5 else 7, "ab"[i % 2], f"t{i}") for c, n in ((1, 10), (None, 7), (2, 3)) for i in range(n)]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["part"], r["speaker"]): r["text"] for r in perspectives(df, part_turns=4).collect()}
+    whole = {(r["conv_id"], r["speaker"]): r["text"] for r in perspectives(df).collect()}
+    assert {k[:2] for k in got} == {(1, 0), (1, 1), (1, 2), (None, 0), (None, 1), (2, 0)}
+    for (conv, who), text in whole.items():
+        assert "".join(got[conv, p, who] for p in range(3) if (conv, p, who) in got) == text
+
+
 def test_simhash(spark, docs, odd):
     by = rows_of(simhash.simhash_components(docs))
     fps = {i: brute.fingerprint(t, 4) for i, t in enumerate(TEXTS)}
@@ -161,6 +196,7 @@ def test_posting_sets_cover():
 
     sets = simhash.posting_sets(8, 3, 4)
     assert len(sets) == 20 and all(any(set(s) <= set(q) for s in sets) for q in combinations(range(8), 4))
+    assert sorted(simhash.posting_sets(8, 4, 4)) == sorted(combinations(range(8), 4))  # the wide postings of large corpora
 
 
 @pytest.mark.parametrize("small", [24, 1])
@@ -207,11 +243,13 @@ def test_width_of_postings_loses_nothing(spark, monkeypatch):
 
 def test_loose_sets_find_most_pairs():
     r = np.random.default_rng(5)
-    for similarity, least in ((0.8, 0.8), (0.85, 0.92)):
+    limit = simhash.near_limit(0.8, 384, 3)
+    sets = simhash.posting_sets(48, 3, limit)
+    for similarity, least in ((0.8, 0.9), (0.85, 0.97)):
         p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        same = ~(r.random((4000, 32, 8)) < p).any(2)
-        sets = simhash.posting_sets(32, 3, simhash.near_limit(0.8, 256))
-        assert np.mean(np.any([same[:, list(s)].all(1) for s in sets], axis=0)) >= least
+        differ = r.random((4000, 48, 8)) < p
+        met = np.any([(~differ.any(2))[:, list(s)].all(1) for s in sets], axis=0)
+        assert np.mean(met & (differ.sum((1, 2)) <= limit)) >= least
 
 
 def test_near_components_compare_the_shingles(spark):
@@ -237,6 +275,36 @@ def test_near_components_compare_the_shingles(spark):
     assert set(want.values()) <= {r["doc_id"] for r in corpus_pipeline.near_copies(spark, d, "").collect()}
 
 
+def test_near_copies_just_over_the_limit_are_found(spark):
+    """Documents with words exchanged until the Jaccard similarity is just over 0.8: nine in ten at least meet their original."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    jaccard = lambda x, y: simhash.similarity_of(*(simhash.shingle_set(" ".join(w).encode(), 5) for w in (x, y)))
+    rows, seen = [], set()
+    for t in docs:
+        w = (t or "").split()
+        if 100 <= len(w) <= 2000 and tuple(w[:12]) not in seen and len(rows) < 400:
+            seen.add(tuple(w[:12]))
+            v, n = list(w), 0
+            for i in rng.sample(range(len(w)), len(w)):
+                u = list(v)
+                u[i] = f"neu{i}"
+                if jaccard(w, u) < 0.8:
+                    break
+                v, n = u, n + 1
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
+    assert len(rows) == 400 and np.mean([comp[i] == comp[i + 1] for i in range(0, 400, 2)]) >= 0.9
+
+
+def test_parities_rule_out_nothing_similar():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        common = r.integers(0, 1 << 63, int(r.integers(0, 300)), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([common, r.integers(0, 1 << 63, int(r.integers(0, 60)), dtype=np.uint64)])) for _ in range(2))
+        odd = int(np.bitwise_count(simhash.parities(x) ^ simhash.parities(y)).sum())
+        assert simhash.similarity_bound(np.array(len(x) + len(y)), np.array(odd)) >= min(1, simhash.similarity_of(x, y)) - 1e-12 or len(x) + len(y) == 0
+
+
 def test_substring_dedup(spark, docs, odd):
     by = rows_of(substring_dedup(docs))
     seq = [(i, [w.encode() for w in brute.WORD.findall(t or "")]) for i, t in enumerate(TEXTS)]
@@ -262,6 +330,53 @@ def test_suffix_dedup(spark, docs, odd):
     assert suffix_dedup(odd, texts=True).count() == 7 and suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_against_a_reference(spark, docs, monkeypatch):
+    monkeypatch.setattr("annalist.llm.substring_dedup.REFERENCE_BYTES", 300)
+    monkeypatch.setattr("annalist.llm.substring_dedup.PASS_SHARDS", 2)
+    held = [PASSAGE, LONG, None, "", say(30), *[t for _, t in BENCH if t]]
+    by = rows_of(substring_dedup_against(docs, spark.createDataFrame([(t,) for t in held], "text string"), texts=True))
+    known = {tuple(w[i : i + 20]) for t in held for w in [brute.WORD.findall(t or "")] for i in range(len(w) - 19)}
+    for i, t in enumerate(TEXTS):
+        w = brute.WORD.findall(t or "")
+        gone = {p for a in range(len(w) - 19) if tuple(w[a : a + 20]) in known for p in range(a, a + 20)}
+        assert (by[i]["n_words"], by[i]["n_removed"], by[i]["kept"]) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    assert sum(r["n_removed"] for r in by.values()) > 8000
+    none = rows_of(substring_dedup_against(docs, spark.createDataFrame([], "text string")))
+    assert len(none) == len(TEXTS) and not any(r["n_removed"] for r in none.values())
+
+
+def test_window_dedup_with_hot_anchors_and_other_ids(spark, docs, monkeypatch):
+    names = {i: f"k{i:05d}" for i in range(len(TEXTS))}
+    words, strings = rows_of(substring_dedup(docs)), rows_of(suffix_dedup(docs))
+    monkeypatch.setattr("annalist.llm.anchors.HOT_BYTES", 100)
+    monkeypatch.setattr("annalist.llm.anchors.LEAST_SEEN", 4)
+    d = docs.withColumn("doc_id", F.format_string("k%05d", "doc_id"))
+    for f, want in ((substring_dedup, words), (suffix_dedup, strings)):
+        got = rows_of(f(d))
+        assert {i: tuple(got[names[i]])[1:] for i in want} == {i: tuple(r)[1:] for i, r in want.items()}
+
+
+def test_old_windows():
+    for _ in range(300):
+        size, k = 12, rng.randint(2, 5)
+        fronts, tails, windows = [], [], []
+        for _ in range(k):
+            front = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 8)))
+            fronts.append(front)
+            windows.append(rng.randint(1, len(front) + 1))
+            tails.append(b"ANCH" + bytes(rng.choice(b"ab") for _ in range(size - len(front) + windows[-1] - 1 - 4)))
+        order = sorted(range(k), key=lambda i: tails[i])
+        shared = [0, *(len(os.path.commonprefix([tails[a], tails[b]])) for a, b in zip(order, order[1:]))]
+        seen, want = set(), set()
+        for i in range(k):
+            for j in range(windows[i]):
+                w = (len(fronts[i]) - j, (fronts[i] + tails[i])[j : j + size])
+                want |= {(i, j)} if w in seen else set()
+                seen.add(w)
+        got = [(i, j) for i, a, b in old_windows(size, fronts, windows, [order.index(i) for i in range(k)], shared) for j in range(a, b)]
+        assert sorted(got) == sorted(want), (fronts, tails, windows)
+
+
 def test_automaton_statistics():
     a = SuffixAutomaton()
     seqs = [[rng.choice(b"abc").to_bytes() for _ in range(30)] for _ in range(5)]
@@ -303,6 +418,23 @@ def test_decontamination(spark, docs, monkeypatch):
     assert {i: (r["n_hit"], r["items"], r["text"]) for i, r in again.items()} == {i: (r["n_hit"], r["items"], r["text"]) for i, r in by.items()}
     assert benchmark_overlap(docs, bench.limit(0)).filter("n_hit > 0").count() == 0 and benchmark_overlap(docs.limit(0), bench).count() == 0
     assert len(BenchmarkIndex([], 10, 5).key) == 0
+    unnamed = rows_of(benchmark_overlap(docs, spark.createDataFrame([(None, t) for _, t in BENCH], "item_id string, text string")))
+    assert all(r["n_hit"] == by[i]["n_hit"] and r["items"] == [] for i, r in unnamed.items())
+
+
+def test_benchmark_windows_are_compared(spark, docs, monkeypatch):
+    from annalist.llm import decontaminate
+
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    want = {i: (r["n_hit"], r["items"]) for i, r in rows_of(benchmark_overlap(docs, bench)).items()}
+    monkeypatch.setattr(decontaminate.Words, "hashes", lambda self: np.ones(len(self.start), np.uint64))  # all hashes collide
+    index = BenchmarkIndex([x for x in BENCH if x[1]], 10, 5)
+    for i, t in list(enumerate(TEXTS))[:30] + list(enumerate(TEXTS))[-16:]:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        if len(data) < 3000:
+            w = decontaminate.Words(data, np.array([0, len(data)]), decontaminate.ALNUM, lower=True)
+            s, n, item = index.hits(w)
+            assert (len({p for a, k in zip(s, n) for p in range(a, a + k)}), sorted({index.ids[x] for x in item})) == want[i]
 
 
 def test_language_id(spark):
@@ -322,6 +454,50 @@ def test_language_id(spark):
     assert langid.identify(d.limit(0), model).count() == 0
 
 
+def test_language_decoding_against_plain_python(spark):
+    """Counts, classifiers, trust and decoding again, without numpy arrays of features."""
+    import math
+
+    d = spark.createDataFrame([(i, " ".join(rng.choice(w) for _ in range(6)), lang) for i in range(60) for lang, w in (("x", ["abc", "bca"]), ("y", ["cab", "ddé"]), ("z", ["aab", "Zz9"]))][:170], "doc_id int, text string, lang string")
+    model, rows = langid.train(d), d.select("*", (F.pmod(F.xxhash64("text"), F.lit(langid.JUDGED)) == 0).alias("judged")).collect()
+
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in t.encode())
+        b = b" " + b + b" "
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % (1 << 32)) >> 17 for i in range(len(b) - 2) if b[i : i + 2] != b"  "]
+
+    def fit(rows):
+        n = {k: {} for k in "xyz"}
+        for r in rows:
+            for g in grams(r["text"]):
+                n[r["lang"]][g] = n[r["lang"]].get(g, 0) + 1
+        size = {k: sum(v.values()) + 0.5 * langid.FEATURES for k, v in n.items()}
+        share = lambda k, g: (n[k].get(g, 0) + 0.5) / size[k]
+        return lambda g, code: math.log(np.mean([share(k, g) for k, c in zip("xyz", code) if c > 0])) - math.log(np.mean([share(k, g) for k, c in zip("xyz", code) if c < 0]))
+
+    codes = langid.codewords(3).T.tolist()
+    final, part = fit(rows), fit([r for r in rows if not r["judged"]])
+    vote = lambda w, t, code: langid.SHARPNESS * math.tanh(sum(w(g, code) for g in grams(t)) / langid.SHARPNESS)
+    trust = {}
+    for k, lang in enumerate("xyz"):
+        own = [r for r in rows if r["judged"] and r["lang"] == lang]
+        raw = [(sum(np.sign(vote(part, r["text"], c)) == c[k] for r in own) + 1) / (len(own) + 2) for c in codes]
+        trust[k] = [x / sum(raw) * len(codes) for x in raw]
+    for r in langid.identify(d, model).collect():
+        loss = [sum(t * math.log1p(math.exp(-vote(final, r["text"], c) * c[k])) for t, c in zip(trust[k], codes)) for k in range(3)]
+        p = [math.exp(min(loss) - x) for x in loss]
+        assert r["lang_pred"] == "xyz"[int(np.argmin(loss))] and r["score"] == pytest.approx(1 / sum(p), rel=1e-4)
+        assert r["ambiguous"] == (sorted(loss)[1] - min(loss) < langid.MARGIN)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    d = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.train(d)
+    assert langid.train(d.filter("lang <> 'l0'")).langs == ["l1", "l2", "l3"]
+
+
 def test_codewords():
     for n in (2, 3, 4, 6, 9, 20):
         m = langid.codewords(n)
@@ -362,6 +538,9 @@ def test_warc(spark, tmp_path):
             assert r["payload_digest"] == warc.sha1_base32(bytes(r["payload"])) and r["payload_bytes"] == len(r["payload"])
     assert by[5][0]["payload_digest"] == warc.sha1_base32(b"same") and by[5][0]["payload_bytes"] == 4
     assert sum("continuation" in rec for rec in warc.page_records(1, "u", "é" * 40_000, 1, False)) >= 4
+    clash = df.withColumns({"_first": F.lit(1), "_key": F.lit("k"), "payload": F.lit("p"), "_again": F.lit("z")})
+    warc.write_archives(clash, out + "2")
+    assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.read_archives(spark, out + "2").collect()) == sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got)
     warc.write_archives(df.limit(0), out + "0")
     assert warc.read_archives(spark, out + "0").count() == 0
     warc.write_archives(df, out + "1", min_payload=5)
@@ -392,12 +571,31 @@ def test_html_keeps_languages_without_stop_words():
     ru = "Вчера в городе открылась новая библиотека, и жители смогли взять первые книги уже утром следующего дня."
     zh = "昨天这座城市的新图书馆正式开放，" * 8
     pl = "Wczoraj otwarto nowa biblioteke miejska, mieszkancy mogli wypozyczyc pierwsze ksiazki juz nastepnego ranka."
-    for text in (ru, zh, pl):
+    it = "Ieri mattina e stata inaugurata nel centro cittadino una biblioteca nuova; molti abitanti hanno preso libri gia poche ore dopo."
+    for text in (ru, zh, pl, it):
         assert main_text(f"<h1>Titel</h1><div><p>{text}</p><p>{text}</p></div><ul><li><a href=x>{text}</a></li></ul>") == f"Titel\n\n{text}\n\n{text}"
     assert ru in main_text(f"<p>{ru}</p><p>This is the notice of the site and it is in the language of the owner, not of the page.</p>")
     assert main_text("<p>" + "QmFzZTY0" * 50 + "</p>") == ""
 
 
+def test_html_cues_are_whole_words():
+    body = "The text of the page is in a plain element and it has the words of the language in it, so that it is long enough to be judged."
+    assert main_text(f'<article><p class="notice-period">{body}</p><div class="social-science"><p>{body}</p></div></article>') == f"{body}\n\n{body}"
+    for cue in ("cookie-notice", "notice", "site_nav x", "comments", "ad-slot"):
+        assert main_text(f'<p>{body}</p><div class="{cue}"><p>{body}</p></div>') == body
+    assert main_text(f"<p>{body}\n      <a href=x>\n        one\n        link   </a></p>").startswith(body)
+
+
+def test_html_is_linear_in_hostile_pages():
+    import time
+
+    for page in ("<a " * 100_000, "<a " * 100_000 + ">", "<a '\"" * 60_000, "<a \">\"" * 60_000, "<div>" * 3000 + "</p></b>" * 30_000, "<!--" * 50_000, "<script>" * 50_000, "<article>" * 20_000, "<p class='" * 50_000):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 2, page[:20]
+    assert main_text("before the <!-- never closed > end") == main_text("before the ") and "tail" in main_text("<p>x</p> tail < of the text and it is all of the page that there is in here")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
