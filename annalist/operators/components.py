@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.plans.staging import stage
+from annalist.plans.staging import discard, stage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = _signature(e)
         if now == seen:
             break
