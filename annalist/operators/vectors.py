@@ -6,16 +6,27 @@ Vectors are ``array<double>``. Arithmetic on them is an array expression in gene
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators.components import connected_components
+from annalist.plans.staging import stage
 
 FLOOR = 1e-9
+#: Vectors of a block in the search for close pairs, and the most pivots that blocks lie around.
+BLOCK_ROWS, PIVOTS = 1024, 128
+#: Fits of clusters that run at once.
+FITS_AT_ONCE = 8
+#: Labels that every row is compared with.
+MOST_LABELS = 4096
 # Cosine above which a classification is sure, and fairly sure.
 HIGH, MEDIUM = 0.5, 0.35
 
@@ -57,8 +68,11 @@ def centroids(rows: DataFrame, by: str, v: str = "v") -> DataFrame:
 def ranked_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Scores of every row against every label (``ord``, ``c``), best first, ties in label order: ``rank``, ``score``.
 
-    Labels are a taxonomy: as many as people can name. The score of all of them is an array per row, so nothing is shuffled.
+    Labels are a taxonomy: as many as people can name, ``MOST_LABELS`` at most, which is checked. The score of all of them is
+    an array per row, so nothing is shuffled.
     """
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     one = labels.agg(F.array_sort(F.collect_list(F.struct("ord", "c"))).alias("_l"))
     scored = F.transform("_l", lambda x: F.struct((-dot(F.col("v"), x["c"])).alias("neg"), x["ord"].alias("ord")))
     best = rows.crossJoin(one).select(key, F.slice(F.array_sort(scored), 1, 2).alias("_s"))
@@ -73,26 +87,68 @@ def classify(rows: DataFrame, labels: DataFrame, key: str, high: float = HIGH, m
 
 
 def close_pairs(rows: DataFrame, key: str, low: float, high: float = 2.0) -> DataFrame:
-    """Pairs (``a`` < ``b``) with a cosine from ``low`` to ``high``: ``sim``.
+    """Pairs (``a`` < ``b``) of unit vectors with a cosine from ``low`` to ``high``: ``sim``. Rows with a null key have none.
 
-    An exact angle filter instead of all pairs: vectors are put into cells around pivots by their angles, and since angles
-    obey the triangle inequality only cells whose ranges come within the wanted angle of each other are joined. Each vector
-    is in one cell and looked up from the neighbouring ones.
+    Vectors are put into cells around pivots, which are vectors of the data, and cells into blocks of some ``BLOCK_ROWS``.
+    Angles obey the triangle inequality, so a vector is sent to the blocks of a cell only if its angle to that pivot is within
+    the wanted angle plus the cell's radius; two blocks that meet are compared by matrix products. Exact. Where the data has
+    no clusters or the threshold is low, little is ruled out, each vector goes to every block and the work is quadratic.
     """
-    import math
-
-    reach = math.acos(max(-1.0, min(1.0, low)))
-    width = max(reach, 0.05)
-    pivot = lambda j: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at("v", F.lit(j + 1)), F.lit(0.0)) / F.greatest(norm("v"), F.lit(FLOOR)))))
-    cells = rows.select(key, "v", *[F.floor(pivot(j) / width).cast("int").alias(f"_c{j}") for j in range(3)])
-    near = cells
-    for j in range(3):
-        near = near.withColumn(f"_c{j}", F.explode(F.array(*[F.col(f"_c{j}") + s for s in (-1, 0, 1)])))
-    p, q = cells.alias("p"), near.alias("q")
-    same = [F.col(f"p._c{j}") == F.col(f"q._c{j}") for j in range(3)]
-    joined = p.join(q, same[0] & same[1] & same[2] & (F.col(f"p.{key}") < F.col(f"q.{key}")))
-    sim = joined.select(F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"), dot(F.col("p.v"), F.col("q.v")).alias("sim"))
-    return sim.filter((F.col("sim") >= low) & (F.col("sim") <= high))
+    spark, c = rows.sparkSession, F.col
+    data = rows.filter(c(key).isNotNull()).select(c(key).alias("k"), "v")
+    n = data.count()
+    pivots = np.array([r["v"] for r in data.orderBy(F.xxhash64(F.lit(3), "k")).limit(min(PIVOTS, max(1, n // BLOCK_ROWS))).select("v").collect()], float)
+    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), FLOOR) if len(pivots) else np.zeros((1, 1))
+    reach = math.acos(max(-1.0, min(1.0, low))) + 1e-6 if low > 0 else 4.0
+    kind = rows.schema[key].dataType.simpleString()
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        return np.asarray(col.flatten(), float).reshape(len(col), -1)
+
+    def angles(v: np.ndarray) -> np.ndarray:
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+        return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = angles(matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t.argmin(1), pa.int32()), pa.array(t.min(1))], ["k", "v", "cell", "angle"])
+
+    cells = stage(data.mapInArrow(assign, f"k {kind}, v array<double>, cell int, angle double"), "cells")
+    stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # one row per pivot
+    blocks = {i: -(-m // BLOCK_ROWS) for i, (m, _) in stats.items()}
+    start = dict(zip(sorted(blocks), np.cumsum([0, *(blocks[i] for i in sorted(blocks))]).tolist(), strict=False))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, own, part = angles(matrix(batch.column(1))), np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            first = np.array([start.get(i, 0) for i in range(len(pivots))])
+            block = first[own] + part % np.array([blocks.get(i, 1) for i in range(len(pivots))])[own]
+            for i in sorted(blocks):
+                near = np.flatnonzero((t[:, i] <= reach + stats[i][1]) | (own == i))
+                for to in range(start[i], start[i] + blocks[i]) if len(near) else ():
+                    x = pa.array(near)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(x), batch.column(1).take(x), pa.array(np.minimum(block[near], to), pa.int64()), pa.array(np.maximum(block[near], to), pa.int64()), pa.array(block[near] > to)],
+                        ["k", "v", "p", "q", "second"],
+                    )
+
+    def compare(t: pa.Table) -> pa.Table:
+        second = np.asarray(t["second"])
+        k, v = np.array(t["k"].to_pylist()), matrix(t["v"].combine_chunks())
+        x, y = (np.flatnonzero(~second), np.flatnonzero(second)) if t["p"][0] != t["q"][0] else (np.arange(len(k)),) * 2
+        s = v[x] @ v[y].T
+        i, j = np.nonzero((s >= low) & (s <= high))
+        a, b, sim = k[x[i]], k[y[j]], s[i, j]
+        keep = a != b if t["p"][0] != t["q"][0] else a < b
+        a, b, sim = a[keep], b[keep], sim[keep]
+        return pa.table({"a": pa.array(np.where(a < b, a, b).tolist(), t["k"].type), "b": pa.array(np.where(a < b, b, a).tolist(), t["k"].type), "sim": pa.array(sim, pa.float64())})
+
+    sent = cells.select("k", "v", "cell", F.pmod(F.xxhash64("k"), F.lit(1 << 30)).alias("part")).mapInArrow(send, f"k {kind}, v array<double>, p long, q long, second boolean")
+    return sent.groupBy("p", "q").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
 
 
 def similarity_components(rows: DataFrame, key: str, low: float) -> DataFrame:
@@ -166,11 +222,17 @@ def lloyd_step(rows: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     return rows.crossJoin(one).select(key, best["ord"].alias("cluster"))
 
 
+def inertias(jobs: Sequence[tuple[DataFrame, int, int]]) -> list[float]:
+    """Sum of squared distances to the nearest of ``k`` means for each (rows, ``k``, seed). Each fit is distributed; as many
+    short jobs, a few of them run at once."""
+    fit = lambda j: float(KMeans(k=j[1], seed=j[2], featuresCol="features").fit(j[0].select(array_to_vector("v").alias("features"))).summary.trainingCost)
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(fit, jobs))
+
+
 def inertia_curve(rows: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """Sum of squared distances for each number of clusters: ``k``, ``inertia``. A driver loop over distributed fits."""
-    data = rows.select(array_to_vector("v").alias("features"))
-    out = [(k, float(KMeans(k=k, seed=seed, featuresCol="features").fit(data).summary.trainingCost)) for k in ks]
-    return rows.sparkSession.createDataFrame(out, "k int, inertia double")
+    """Sum of squared distances for each number of clusters: ``k``, ``inertia``."""
+    return rows.sparkSession.createDataFrame(list(zip(ks, inertias([(rows, k, seed) for k in ks]), strict=True)), "k int, inertia double")
 
 
 def elbow(curve: DataFrame) -> DataFrame:
