@@ -133,7 +133,7 @@ def a_merge_proposal(spark, d):
 _INITCAP = "array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 
 
-@C.add(f"SELECT 'p' AS project, n_nationkey AS ord, {_INITCAP} AS normalform, 'Ort' AS typ, 0.9 AS score, 'llm_full' AS source, n_name || 'n' AS aliases FROM nation")
+@C.add(f"SELECT 'p' AS project, n_nationkey AS ord, {_INITCAP} AS normalform, 'Ort' AS typ, 0.9 AS score, 'llm_full' AS source, {_INITCAP} || '|' || n_name || 'n' AS aliases FROM nation")
 def a_merge_entities(spark, d):
     a = table(spark, d, "nation").select(F.lit("p").alias("project"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("normalform"), F.lit("Ort").alias("typ"), F.lit(0.5).alias("score"), F.lit("spacy").alias("source"), F.array(F.initcap("n_name")).alias("aliases"))
     b = a.withColumns({"ord": F.col("ord") + 100, "normalform": F.initcap("normalform"), "score": F.lit(0.9), "source": F.lit("llm_full"), "aliases": F.array(F.concat("normalform", F.lit("n")))})

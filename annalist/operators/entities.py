@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
+from annalist.operators.components import connected_components
+from annalist.plans.numbering import numbered
+from annalist.plans.staging import discard, stage
 
-#: An alias dictionary up to this many bytes is sent to all executors as patterns; a larger one is matched by joining words.
-BROADCAST_BYTES = 8 << 20
+#: Entities up to this many are patterns of one expression; a longer list is matched by joining words.
+PATTERNS = 256
 # Priorities of sources in the merge, the smallest being the strongest; others come last.
 SOURCE_PRIORITY = {
     "seed": 0,
@@ -33,24 +38,23 @@ def alias_rows(entities: DataFrame) -> DataFrame:
 def match_entities(rows: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
     """Add ``actors``: normal forms of the entities that occur in the text as whole words, in the order of the list.
 
-    Case does not count. The list (``ord``, ``normalform``, ``aliases``) is compiled to one pattern per entity. Its size is
-    measured; up to ``BROADCAST_BYTES`` the patterns go along with every task, in one scan of the rows. Beyond that, names
-    are found by an equi-join on their first word and then checked with their pattern.
+    Case does not count. Up to ``PATTERNS`` entities of the list (``ord``, ``normalform``, ``aliases``) are one pattern each in
+    an expression, compiled once per task, in one scan of the rows. Beyond that, names are found by an equi-join on their
+    first word (a name without letters and digits: on its first sign) and then checked with their pattern. Both find the same.
     """
     named = entities.withColumn("_names", T.names_of(F.col("normalform"), F.col("aliases"))).filter(F.size("_names") > 0)
     pats = named.select("ord", "normalform", T.entity_pattern(F.col("_names")).alias("_p"), "_names")
-    size = pats.agg(F.sum(F.length("_p"))).first()[0] or 0
-    if size == 0:
-        return rows.withColumn("actors", F.array().cast("array<string>"))
-    if size <= BROADCAST_BYTES:
-        one = pats.agg(F.array_sort(F.collect_list(F.struct("ord", "normalform", "_p"))).alias("_d"))
-        joined = rows.crossJoin(F.broadcast(one))
-        hits = F.filter("_d", lambda x: F.rlike(F.col(text), x["_p"]))
-        return joined.withColumn("actors", F.transform(hits, lambda x: x["normalform"])).drop("_d")
+    few = pats.select("ord", "normalform", "_p").limit(PATTERNS + 1).collect()
+    if len(few) <= PATTERNS:
+        hits = [F.when(F.rlike(F.col(text), F.lit(r["_p"])), F.lit(r["normalform"])) for r in sorted(few, key=lambda r: r["ord"])]
+        none = F.array().cast("array<string>")
+        return rows.withColumn("actors", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
     keyed = rows.withColumn("_row", F.xxhash64(*[c for c in rows.columns]))
     word = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    first = pats.withColumn("_n", F.explode("_names")).select("ord", "normalform", "_p", F.element_at(word(F.col("_n")), 1).alias("_w")).distinct()
-    found = keyed.select("_row", text, F.explode(word(F.col(text))).alias("_w")).join(first, "_w").filter(F.rlike(F.col(text), F.col("_p")))
+    signs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[^\p{L}\p{N}_\s]"), F.lit(0)))
+    keys = lambda c: F.concat(word(c), signs(c))
+    first = pats.withColumn("_n", F.explode("_names")).select("ord", "normalform", "_p", F.get(keys(F.col("_n")), 0).alias("_w")).distinct()
+    found = keyed.select("_row", text, F.explode(keys(F.col(text))).alias("_w")).join(first, "_w").filter(F.rlike(F.col(text), F.col("_p")))
     lists = found.select("_row", "ord", "normalform").distinct().groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "normalform"))), lambda x: x["normalform"]).alias("actors"))
     return keyed.join(lists, "_row", "left").withColumn("actors", F.coalesce("actors", F.array().cast("array<string>"))).drop("_row")
 
@@ -81,77 +85,110 @@ def dedup_names(entities: DataFrame) -> DataFrame:
     return rows.groupBy("_k").agg(F.min("ord").alias("ord"), F.min_by("normalform", "ord").alias("normalform"), F.min_by("typ", "ord").alias("typ"), F.max("score").alias("score"), aliases.alias("aliases")).drop("_k")
 
 
+def _lower_names(normalform: Column, aliases: Column) -> Column:
+    """Lower-case trimmed names: that of the normal form first, then the aliases', in place; blank where there is none."""
+    low = lambda x: F.coalesce(F.lower(F.trim(x)), F.lit(""))
+    return F.concat(F.array(low(normalform)), F.transform(F.coalesce(aliases, F.array().cast("array<string>")), low))
+
+
+def name_groups(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``_names`` (lower-case names in place) and ``_group``: rows that are linked by shared names, directly or
+    not, inside equal values of ``within``, have one group.
+
+    What a fold by shared names does to a row hangs on its group alone, so groups can be folded apart. Names meet by their
+    hash; a collision would only make a group larger.
+    """
+    c = F.col
+    data = stage(rows.withColumn("_names", _lower_names(c("normalform"), c("aliases"))).withColumn("_e", F.monotonically_increasing_id()), "entities")
+    named = data.select("_e", *within, F.explode(F.array_distinct("_names")).alias("_n")).filter("_n <> ''").select("_e", F.xxhash64(*within, "_n").alias("_h"))
+    links = named.join(named.groupBy("_h").agg(F.min("_e").alias("_m")), "_h").filter("_e <> _m").select(c("_e").alias("a"), c("_m").alias("b"))
+    comps = connected_components(links).select(c("node").alias("_v"), c("component").alias("_c"))
+    return data.join(comps, c("_e") == c("_v"), "left").withColumn("_group", F.coalesce("_c", "_e")).drop("_v", "_c", "_e")
+
+
 def merge_entities(entities: DataFrame, project: str = "project") -> DataFrame:
     """Fold entity lists into one per project, in order: an entity joins the first one it shares a name with.
 
-    A stronger source takes over the normal form, the old one becoming an alias; the first type and the better score stay; new
-    aliases are appended. The outcome depends on the order and is not connected components, so a project's list, a dictionary that people edit, is folded in
-    one task; what arrives there has been deduplicated by name.
+    Names are the normal form and the aliases. A stronger source takes over the normal form, and the old one is then no name
+    any more unless it is an alias; the first type and the better score stay; new aliases are appended, a joined normal form
+    is not. Entities without a normal form are left out. ``ord`` counts the entities of a project from 0. The outcome depends
+    on the order, so it is a fold; but only of entities that are linked by names (:func:`name_groups`), each such group in
+    one task.
     """
     rank = SOURCE_PRIORITY
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        owner: dict[str, int] = {}
+        owners: dict[str, set[int]] = {}
         for r in pdf.sort_values("ord").to_dict("records"):
-            names = [n for n in [r["normalform"], *(r["aliases"] if r["aliases"] is not None else [])] if n and n.strip()]
-            if not r["normalform"] or not r["normalform"].strip():
+            own, *others = list(r["_names"])
+            if not own:
                 continue
-            at = min((owner[n.strip().lower()] for n in names if n.strip().lower() in owner), default=None)
+            aliases = [a for a in (r["aliases"] if r["aliases"] is not None else []) if a is not None]
+            at = min((i for n in (own, *others) if n for i in owners.get(n, ())), default=None)
             if at is None:
                 at = len(out)
-                out.append({project: r[project], "ord": at, "normalform": r["normalform"], "typ": r["typ"], "score": r["score"], "source": r["source"], "aliases": []})
-            e = out[at]
-            if rank.get(r["source"], 99) < rank.get(e["source"], 99):
-                if e["normalform"].lower() != r["normalform"].lower():
-                    e["aliases"].append(e["normalform"])
-                e.update(normalform=r["normalform"], source=r["source"])
-            if r["score"] is not None and (e["score"] is None or r["score"] > e["score"]):
-                e["score"] = r["score"]
-            known = {a.lower() for a in e["aliases"]} | {e["normalform"].lower()}
-            for a in names[1:]:
-                if a.lower() not in known:
-                    e["aliases"].append(a)
-                    known.add(a.lower())
-            for n in names:
-                owner.setdefault(n.strip().lower(), at)
-        return pd.DataFrame(out, columns=[project, "ord", "normalform", "typ", "score", "source", "aliases"])
+                out.append({project: r[project], "first": r["ord"], "normalform": r["normalform"], "typ": r["typ"], "score": r["score"], "source": r["source"], "aliases": aliases})
+                owners.setdefault(own, set()).add(at)
+            else:
+                e = out[at]
+                if rank.get(r["source"], 99) < rank.get(e["source"], 99):
+                    before = e["normalform"].strip().lower()
+                    if before not in {a.strip().lower() for a in e["aliases"]}:
+                        owners.get(before, set()).discard(at)
+                    e.update(normalform=r["normalform"], source=r["source"])
+                    owners.setdefault(own, set()).add(at)
+                if (r["score"] or 0) > (e["score"] or 0):
+                    e["score"] = r["score"]
+                known = {a.lower() for a in e["aliases"]}
+                for a in aliases:
+                    if a and a.lower() not in known:
+                        e["aliases"].append(a)
+                        known.add(a.lower())
+            for n in others:
+                if n:
+                    owners.setdefault(n, set()).add(at)
+        return pd.DataFrame(out, columns=[project, "first", "normalform", "typ", "score", "source", "aliases"])
 
     kind = entities.schema[project].dataType.simpleString()
-    return entities.groupBy(project).applyInPandas(fold, f"{project} {kind}, ord long, normalform string, typ string, score double, source string, aliases array<string>")
+    folded = name_groups(entities, [project]).groupBy("_group").applyInPandas(fold, f"{project} {kind}, first long, normalform string, typ string, score double, source string, aliases array<string>")
+    placed = stage(numbered(folded, [project, "first"], "_at"), "merged")
+    low = placed.groupBy(F.col(project).alias("_p")).agg(F.min("_at").alias("_low"))
+    out = placed.join(low, F.col(project).eqNullSafe(F.col("_p")))
+    return out.select(project, (F.col("_at") - F.col("_low")).alias("ord"), "normalform", "typ", "score", "source", "aliases")
 
 
 def merge_proposal(proposals: DataFrame, seed: DataFrame, rejected: DataFrame) -> DataFrame:
     """Status of each proposed entity, in order: ``skipped`` if it shares a name with a rejected one, ``confirmed`` if with a
     seed or an earlier proposal (``into`` names its normal form; its aliases then count as names of that one), else ``new``.
 
-    A proposal's fate hangs on the ones before it, so the three lists, dictionaries that people edit, are read in one task.
-    Columns ``ord``, ``normalform``, ``typ``, ``aliases``.
+    Rejected names are joined; a proposal's fate hangs on earlier ones that it is linked to by names, so each such group
+    (:func:`name_groups`) is folded by itself. Columns ``ord``, ``normalform``, ``typ``, ``aliases``.
     """
-    cols = ["ord", "normalform", "typ", "aliases"]
-    every = rejected.select(F.lit(0).alias("kind"), *cols).unionByName(seed.select(F.lit(1).alias("kind"), *cols)).unionByName(proposals.select(F.lit(2).alias("kind"), *cols))
+    c, cols = F.col, ["ord", "normalform", "typ", "aliases"]
+    refused = rejected.select(F.explode(_lower_names(c("normalform"), c("aliases"))).alias("_n")).filter("_n <> ''").distinct()
+    asked = stage(proposals.select(*cols).withColumn("_i", F.monotonically_increasing_id()), "proposals")
+    hit = asked.select("_i", F.explode(_lower_names(c("normalform"), c("aliases"))).alias("_n")).join(refused, "_n", "left_semi").select("_i").distinct()
+    skipped = asked.join(hit, "_i", "left_semi").select("ord", "normalform", "typ", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("into"))
+    rest = asked.join(hit, "_i", "left_anti").select(F.lit(2).alias("kind"), *cols)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, refused, owner, names_at = [], set(), {}, []
+        out, owner, named = [], {}, []
         for r in pdf.sort_values(["kind", "ord"]).to_dict("records"):
-            names = {n.strip().lower() for n in [r["normalform"] or "", *(r["aliases"] if r["aliases"] is not None else [])] if n and n.strip()}
+            names = [n for n in r["_names"] if n]
             at = min((owner[n] for n in names if n in owner), default=None)
-            if r["kind"] == 0:
-                refused |= names
-                continue
-            status = "skipped" if r["kind"] == 2 and names & refused else "confirmed" if r["kind"] == 2 and at is not None else "new"
-            if status == "new":
-                at = len(names_at)
-                names_at.append(r["normalform"])
-            if status != "skipped":
-                extra = names if status == "new" else names - {(r["normalform"] or "").strip().lower()}
-                for n in extra:
-                    owner.setdefault(n, at)
             if r["kind"] == 2:
-                out.append({"ord": r["ord"], "normalform": r["normalform"], "typ": r["typ"], "status": status, "into": names_at[at] if status == "confirmed" else None})
+                out.append({"ord": r["ord"], "normalform": r["normalform"], "typ": r["typ"], "status": "new" if at is None else "confirmed", "into": None if at is None else named[at]})
+            new = r["kind"] == 1 or at is None
+            if new:
+                at = len(named)
+                named.append(r["normalform"])
+            for n in names if new else [n for n in list(r["_names"])[1:] if n]:
+                owner[n] = min(at, owner.get(n, at))
         return pd.DataFrame(out, columns=["ord", "normalform", "typ", "status", "into"])
 
-    return every.withColumn("project", F.lit("")).groupBy("project").applyInPandas(fold, "ord long, normalform string, typ string, status string, into string")
+    every = name_groups(seed.select(F.lit(1).alias("kind"), *cols).unionByName(rest))
+    return skipped.unionByName(every.groupBy("_group").applyInPandas(fold, "ord long, normalform string, typ string, status string, into string"))
 
 
 def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -160,8 +197,6 @@ def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     Taking the best pair again and again is the same as taking, in each round, all pairs that are the best of both their
     ends. Ties go to the smaller ids.
     """
-    from annalist.plans.staging import stage
-
     left, chosen = stage(pairs.select("a", "b", "sim"), "pairs"), None
     for _ in range(max_rounds):
         ends = left.select(F.col("a").alias("x"), "sim", "a", "b").unionByName(left.select(F.col("b").alias("x"), "sim", "a", "b"))
@@ -173,7 +208,8 @@ def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         chosen = got if chosen is None else chosen.unionByName(got)
         used = got.select(F.col("a").alias("x")).unionByName(got.select(F.col("b").alias("x"))).distinct()
-        left = stage(left.join(used, left["a"] == used["x"], "left_anti").join(used, F.col("b") == used["x"], "left_anti"), "pairs")
+        before, left = left, stage(left.join(used, left["a"] == used["x"], "left_anti").join(used, F.col("b") == used["x"], "left_anti"), "pairs")
+        discard(before)
     return chosen if chosen is not None else left.limit(0)
 
 
