@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators import vectors as V
+from annalist.plans.staging import discard, stage
 
 
 class EmbeddingProvider(Protocol):
@@ -221,7 +222,6 @@ def refine(rows: DataFrame, labels: DataFrame, key: str, text: str, provider: Em
     rows moved in each step. Each step's tables are written to the shared folder.
     """
     from annalist.operators import tfidf
-    from annalist.plans.staging import stage
 
     now, moves, old = stage(labels.select("ord", "c").withColumn("frozen", F.lit(False)), "labels"), [], None
     data = stage(rows.select(key, "v", text), "refine")
@@ -249,18 +249,27 @@ def assign_dual(semantic: DataFrame, lexical: DataFrame, key: str, alpha: float
     return both.withColumn("rank", best).filter("rank = 1").select(key, "label")
 
 
-def linear_probe(rows: DataFrame, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Accuracy of a logistic regression on vectors per fold, folds stratified by a seeded hash: ``fold``, ``accuracy``."""
+def probe_predictions(rows: DataFrame, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """What a logistic regression on the vectors of the other folds says of each row: ``fold``, ``label``, ``prediction``.
+
+    Folds are stratified by a seeded hash. A driver loop over distributed fits.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "v"))
-    data = rows.select(F.col(label).cast("double").alias("label"), array_to_vector("v").alias("features"), F.pmod(F.row_number().over(w), F.lit(folds)).alias("fold"))
-    out = []
+    data = stage(rows.select(F.col(label).cast("double").alias("label"), "v", F.pmod(F.row_number().over(w), F.lit(folds)).alias("fold")), "probe").withColumn("features", array_to_vector("v"))
+    out = None
     for k in range(folds):
         model = LogisticRegression(maxIter=20).fit(data.filter(F.col("fold") != k))
-        out.append((k, float(model.transform(data.filter(F.col("fold") == k)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0)))
-    return rows.sparkSession.createDataFrame(out, "fold int, accuracy double")
+        got = model.transform(data.filter(F.col("fold") == k)).select("fold", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def linear_probe(rows: DataFrame, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Accuracy of :func:`probe_predictions` per fold: ``fold``, ``accuracy``."""
+    return probe_predictions(rows, label, folds, seed).groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
 def stable_dimensions(rows: DataFrame, label: str, top: int = 50, splits: int = 5) -> list[int]:
@@ -289,15 +298,24 @@ def principal_components(rows: DataFrame, key: str, k: int) -> tuple[DataFrame,
     return model.transform(data).select(key, vector_to_array("y").alias("pc")), list(model.explainedVariance)
 
 
+def _uniform(seed: int) -> Column:
+    """A point of the box, by a hash of the row's number ``i``."""
+
+    def one(x: Column) -> Column:
+        return x["lo"] + F.pmod(F.xxhash64(F.lit(seed), "i", x["d"]), F.lit(1 << 30)) / float(1 << 30) * (x["hi"] - x["lo"])
+
+    return F.transform("box", one)
+
+
 def gap_statistic(rows: DataFrame, ks: Sequence[int], refs: int = 10, seed: int = 42) -> DataFrame:
     """Gap of log inertia against uniform references in the bounding box: ``k``, ``gap``."""
-    dim = rows.select(F.size("v")).first()[0]
-    box = rows.agg(*[F.min(F.col("v")[i]).alias(f"a{i}") for i in range(dim)], *[F.max(F.col("v")[i]).alias(f"b{i}") for i in range(dim)])
-    own = {r["k"]: np.log(max(r["inertia"], 1e-12)) for r in V.inertia_curve(rows, ks, seed).collect()}
-    total = dict.fromkeys(ks, 0.0)
-    for r in range(refs):
-        one = F.array(*[F.col(f"a{i}") + F.rand(seed + 1000 * r + i) * (F.col(f"b{i}") - F.col(f"a{i}")) for i in range(dim)])
-        ref = rows.select(F.lit(1)).crossJoin(box).select(one.alias("v"))
-        for x in V.inertia_curve(ref, ks, seed + r).collect():
-            total[x["k"]] += np.log(max(x["inertia"], 1e-12)) / refs
-    return rows.sparkSession.createDataFrame([(k, float(total[k] - own[k])) for k in ks], "k int, gap double")
+    data = stage(rows.select("v", F.monotonically_increasing_id().alias("i")), "gap")
+    each = data.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    box = each.agg(F.array_sort(F.collect_list(F.struct("d", "lo", "hi"))).alias("box"))  # one row per dimension
+    made = [stage(data.crossJoin(F.broadcast(box)).select(_uniform(seed + r).alias("v")), "gapref") for r in range(refs)]
+    every = [(data, seed), *((ref, seed + r) for r, ref in enumerate(made))]
+    logs = np.log(np.maximum(V.inertias([(d, k, s) for d, s in every for k in ks]), 1e-12)).reshape(len(every), len(ks))
+    for ref in made:
+        discard(ref)
+    gaps = logs[1:].mean(0) - logs[0]
+    return rows.sparkSession.createDataFrame([(k, float(g)) for k, g in zip(ks, gaps, strict=True)], "k int, gap double")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.plans.staging import stage
 
 def words_of(text: Column, least: int = 3) -> Column:
     """Lower-case words of letters only; a word that holds anything else is left out whole."""
@@ -21,7 +22,7 @@ def weights(rows: DataFrame, key: str, words: Column, min_df: int = 2, max_featu
     the others the ``max_features`` most frequent stay (ties by term).
     """
     n = rows.select(key).distinct().count()
-    tf = rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = stage(rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")  # texts are cut once
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     terms = terms.orderBy(F.desc("cf"), "term").limit(max_features).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(terms, "term").withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf").cast("double")) * F.col("idf"))
