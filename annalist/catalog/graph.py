@@ -82,7 +82,7 @@ def g_kcore(spark, d):
     return G.k_core(e, nodes)
 
 
-@C.add(f"{EDGES}, s AS (SELECT unnest([a, b]) AS v FROM e WHERE a = 'p17' OR b = 'p17') SELECT a, b, event_type, n FROM e WHERE a IN (FROM s) AND b IN (FROM s) AND event_type = '1-URGENT'")
+@C.add(f"{EDGES}, s AS MATERIALIZED (SELECT DISTINCT unnest([a, b]) AS v FROM e WHERE a = 'p17' OR b = 'p17') SELECT a, b, event_type, n FROM e JOIN s x ON e.a = x.v JOIN s y ON e.b = y.v WHERE event_type = '1-URGENT'")
 def g_ego(spark, d):
     return G.ego(edge_rows(spark, d), "p17").filter("event_type = '1-URGENT'")
 
@@ -151,17 +151,17 @@ def w_round_robin(spark, d):
     return e.withColumn("pick", F.row_number().over(Window.partitionBy("user_id").orderBy("rn", "first_id"))).filter("pick <= 30").select("user_id", "event_id")
 
 
-@C.add()
+@C.add("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id) LIMIT 50")
 def w_sample(spark, d):
     t = table(spark, d, "documents").select("doc_id")
-    return t.orderBy(F.xxhash64(F.lit(42), "doc_id")).limit(50)
+    return t.orderBy(F.md5(F.concat(F.lit("42-"), F.col("doc_id").cast("string")))).limit(50)
 
 
-@C.add()
+@C.add("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id)) <= greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.8)) AS train FROM documents")
 def w_stratified_split(spark, d):
     t = table(spark, d, "documents").select("doc_id", "lang")
     w = Window.partitionBy("lang")
-    r = t.withColumns({"rn": F.row_number().over(w.orderBy(F.xxhash64(F.lit(7), "doc_id"))), "n": F.count("*").over(w)})
+    r = t.withColumns({"rn": F.row_number().over(w.orderBy(F.md5(F.concat(F.lit("7-"), F.col("doc_id").cast("string"))))), "n": F.count("*").over(w)})
     return r.select("doc_id", "lang", (F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.8))).alias("train"))
 
 

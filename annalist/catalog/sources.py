@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.catalog.corpus import CATEGORIES, Catalog, segments, vectors, with_segments
@@ -9,19 +12,49 @@ from annalist.catalog.vectors import CEN
 from annalist.functions import text as T
 from annalist.operators import providers as P
 from annalist.operators import vectors as V
+from annalist.operators.density import hierarchical_density
 from annalist.plans.staging import new_path, stage
 from annalist.plans.tables import table
-from annalist.sources import articles, docx
+from annalist.sources import articles, docx, stores
 
 C = Catalog()
+#: Numbers of clusters that the votes are about.
+GAP_KS = range(3, 13)
+
+
+def docx_files(rows):
+    """DOCX files of paragraphs (``doc_id``, ``pos``, ``style``, ``text``), one per document: ``path``, ``content``."""
+
+    def run(pdf):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape, quoteattr
+
+        pdf = pdf.sort_values("pos")
+        clean = lambda t: escape("".join(c for c in t if c >= " " or c in "\t\n"))
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val={quoteattr(s)}/></w:pPr><w:r><w:t xml:space="preserve">{clean(t)}</w:t></w:r></w:p>' for s, t in zip(pdf["style"], pdf["text"], strict=True))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        return pd.DataFrame({"path": [f"/in/{pdf['doc_id'].iloc[0]}.docx"], "content": [buf.getvalue()]})
+
+    return rows.groupBy("doc_id").applyInPandas(run, "path string, content binary")
 
 
 def paragraphs(spark, d):
+    """Paragraphs of DOCX files that hold the documents' lines, read back by the reader."""
+    got = docx.parse_docx(docx_files(styled(spark, d)))
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def styled(spark, d):
     """Lines as paragraphs with styles."""
     return segments(spark, d).select("doc_id", "pos", F.expr("CASE WHEN pos % 9 = 0 THEN 'Heading1' WHEN pos % 9 = 4 THEN 'Heading 2' ELSE 'Normal' END").alias("style"), F.expr("CASE WHEN pos % 27 = 0 THEN 'Notizen' ELSE text END").alias("text"))
 
 
-_PAR = "p AS (SELECT doc_id, pos, pos % 9 = 0 AS h1, pos % 9 = 4 AS h2, CASE WHEN pos % 27 = 0 THEN 'Notizen' ELSE text END AS text FROM seg)"
+_STRIP = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
+_SEG = f"seg2 AS (SELECT doc_id, pos, {_STRIP} AS text FROM (SELECT doc_id, pos, CASE WHEN pos % 27 = 0 THEN 'Notizen' ELSE text END AS text FROM seg) WHERE {_STRIP} <> '')"
+_PAR = f"{_SEG}, p AS (SELECT doc_id, pos, pos % 9 = 0 AS h1, pos % 9 = 4 AS h2, text FROM seg2)"
 _BIB = r"""(regexp_matches(text, '^[A-Z][a-z].{0,40}\s:\s[A-Z]') OR regexp_matches(text, '^["“„‚„(]') OR regexp_matches(text, '\d:\s*[A-Za-z]{2}\s+\d+') OR regexp_matches(text, '\(\d{4}\)') OR regexp_matches(text, '(?i)\b(fernleihe|gelesen|nicht gefunden)\b'))"""
 
 
@@ -32,16 +65,16 @@ def src_docx_notes(spark, d):
     return docx.notes_segments(paragraphs(spark, d)).select("doc_id", "pos", "level", "type", "source", "page")
 
 
-@C.add(with_segments(r"""SELECT doc_id, pos, CASE WHEN length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$') THEN 'heading' ELSE 'content' END AS type, printf('s%04d', row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS segment_id,
-    CASE WHEN NOT (length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$')) THEN nullif(array_to_string(regexp_extract_all(text, '\b([A-Za-zÄÖÜäöüß/.-]{2,20}),\s*(\d{1,2}\.\d{1,2}\.\d{2,4})\)?', 1), ';'), '') END AS source FROM seg"""))
+@C.add(with_segments("").rstrip() + ", " + _SEG + r""" SELECT doc_id, pos, CASE WHEN length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$') THEN 'heading' ELSE 'content' END AS type, printf('s%04d', row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS segment_id,
+    CASE WHEN NOT (length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$')) THEN nullif(array_to_string(regexp_extract_all(text, '\b([A-Za-zÄÖÜäöüß/.-]{2,20}),\s*(\d{1,2}\.\d{1,2}\.\d{2,4})\)?', 1), ';'), '') END AS source FROM seg2""")
 def src_docx_press(spark, d):
-    return docx.press_segments(segments(spark, d).select("doc_id", "pos", "text")).select("doc_id", "pos", "type", "segment_id", "source")
+    return docx.press_segments(paragraphs(spark, d)).select("doc_id", "pos", "type", "segment_id", "source")
 
 
-@C.add(with_segments(r"""SELECT doc_id, pos, year, row_number() OVER (PARTITION BY doc_id, year ORDER BY pos) AS section FROM (SELECT *, last_value(CASE WHEN h THEN CAST(trim(text) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS year
-    FROM (SELECT *, length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$') AS h FROM seg)) WHERE NOT h"""))
+@C.add(with_segments("").rstrip() + ", " + _SEG + r""" SELECT doc_id, pos, year, row_number() OVER (PARTITION BY doc_id, year ORDER BY pos) AS section FROM (SELECT *, last_value(CASE WHEN h THEN CAST(trim(text) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS year
+    FROM (SELECT *, length(text) < 10 AND regexp_matches(text, '^\d[\d\s]{0,8}$') AS h FROM seg2)) WHERE NOT h""")
 def src_docx_frame(spark, d):
-    return docx.year_frame(segments(spark, d).select("doc_id", "pos", "text")).select("doc_id", "pos", "year", "section")
+    return docx.year_frame(paragraphs(spark, d)).select("doc_id", "pos", "year", "section")
 
 
 def articles_text(spark, d):
@@ -66,28 +99,46 @@ def src_frontmatter_map(spark, d):
     return articles.article_segments(articles_text(spark, d)).select("path", "source", "url", "date", "author")
 
 
-@C.add()
+def write_vault(rows, path):
+    """One file per article, as a vault has."""
+    text = F.concat(
+        F.lit('---\ntitle: "Titel '), "source", F.lit('"\nsource: http://x/'), "lang", F.lit('\nauthor:\n  - "[[Ann Example|A.]]"\npublished: 2024-11-07T10:00\ndescription: '), F.col("doc_id").cast("string"), F.lit("\n---\n\n"), F.coalesce("text", F.lit(""))
+    )
+    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+_VAULT = r"""SELECT CAST(doc_id AS VARCHAR) AS doc, 'Titel ' || source AS source, 'http://x/' || lang AS url, '2024-11-07' AS date, 'Ann Example' AS author, md5(trim(regexp_replace(coalesce(text, '') || chr(10), '^\s+', ''), ' ')) AS text_md5 FROM documents"""
+
+
+def _vault_rows(segs):
+    return segs.select(F.col("abstract").alias("doc"), "source", "url", "date", "author", F.md5("text").alias("text_md5"))
+
+
+@C.add(_VAULT)
 def src_markdown_vault(spark, d):
+    """A vault of all documents is written, one file each, and read back as segments."""
     path = new_path(spark, "vault")
-    t = articles_text(spark, d).select(F.col("text").alias("value"))
-    t.repartition(4).write.option("lineSep", "\n\n---8<---\n\n").text(path)  # a few large files stand for a vault
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), F.length("value").alias("n"))
-    return files
+    write_vault(table(spark, d, "documents"), path)
+    return _vault_rows(articles.article_segments(articles.read_vault(spark, path, "*.txt")))
+
 
+_CUT = r"<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>|<form\b.*?</form>|<table\b.*?</table>|" + "|".join(rf"<{t}\b[^>]*\b(?:class|id)=.comments?\b.*?</{t}>" for t in ("section", "div", "ol", "ul")) + "|<[^>]*>"
+_PLAIN = rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is){_CUT}', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
-@C.add("""SELECT doc_id AS key, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN trim(text) ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN 'von url' END, ''), nullif(CASE WHEN doc_id % 6 = 2 THEN 'kurz' END, '')) AS text,
-    coalesce(CASE WHEN doc_id % 2 = 0 THEN '1999' END, '2001') AS date FROM documents WHERE doc_id % 7 > 1 AND NOT (doc_id % 3 = 2 AND doc_id % 6 <> 2)""")
+
+@C.add(f"""SELECT page_id AS key, md5(coalesce(nullif(CASE WHEN page_id % 5 < 3 THEN {_PLAIN} END, ''), CASE WHEN page_id % 5 = 3 THEN 'von url' END, CASE WHEN page_id % 10 = 4 THEN 'kurz' END)) AS text_md5,
+    CASE WHEN page_id % 2 = 0 THEN '1999' ELSE '2001' END AS date, url FROM pages WHERE page_id % 7 > 1 AND NOT (page_id % 10 = 9) AND (page_id % 5 >= 3 OR {_PLAIN} <> '')""")
 def src_reference_manager(spark, d):
+    """Pages as the stored pages of items: some have one, some a text by url, some an abstract, some nothing."""
     e = F.expr
-    items = table(spark, d, "documents").select(
-        F.col("doc_id").alias("key"), e("CASE doc_id % 7 WHEN 0 THEN 'note' WHEN 1 THEN 'attachment' ELSE 'book' END").alias("item_type"), F.col("source").alias("title"), e("CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END").alias("html_text"),
-        e("CASE WHEN doc_id % 3 = 1 THEN 'von url' END").alias("url_text"), e("CASE WHEN doc_id % 6 = 2 THEN 'kurz' END").alias("abstract"), e("CASE WHEN doc_id % 2 = 0 THEN 1999 END").alias("issued_year"), F.lit(" 2001 ").alias("date"), F.lit(None).cast("string").alias("url"),
+    items = table(spark, d, "pages").select(
+        F.col("page_id").alias("key"), e("CASE page_id % 7 WHEN 0 THEN 'note' WHEN 1 THEN 'attachment' ELSE 'book' END").alias("item_type"), F.col("url").alias("title"), e("CASE WHEN page_id % 5 < 3 THEN html END").alias("html"),
+        e("CASE WHEN page_id % 5 = 3 THEN 'von url' END").alias("url_text"), e("CASE WHEN page_id % 10 = 4 THEN 'kurz' END").alias("abstract"), e("CASE WHEN page_id % 2 = 0 THEN 1999 END").alias("issued_year"), F.lit(" 2001 ").alias("date"), "url",
     )
-    return articles.reference_segments(items).select("key", "text", "date")
+    return articles.reference_segments(articles.snapshot_texts(items)).select("key", F.md5("text").alias("text_md5"), "date", "url")
 
 
-@C.add(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<nav\b.*?</nav>|<footer\b.*?</footer>|<[^>]*>', ' ', 'g'),
-    '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+@C.add(f"SELECT page_id, md5({_PLAIN}) AS text_md5 FROM pages")
 def src_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.plain_html_text(F.col("html"))).alias("text_md5"))
 
@@ -116,29 +167,69 @@ def snk_atomic(spark, d):
     return spark.read.parquet(path)
 
 
-@C.add("SELECT doc_id, source FROM documents WHERE doc_id % 4 = 0")
+@C.add("SELECT doc_id, source, CASE WHEN n_chars < 2000 THEN 'updated' ELSE 'inserted' END AS how FROM documents")
 def src_sqlite(spark, d):
-    """The two bookkeeping tables are Parquet: an upsert is a union in which the newer row wins."""
-    old = table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit("alt").alias("source"), F.lit(1).alias("at"))
-    new = table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", "source", F.lit(2).alias("at"))
-    return old.unionByName(new).groupBy("doc_id").agg(F.max_by("source", "at").alias("source"))
+    """Bookkeeping tables in SQLite files, one per language, are read and upserted: documents that were known, and all."""
+
+    def pack(pdf):
+        import sqlite3
+
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE TABLE documents (doc_id INTEGER, source TEXT)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", pdf[["doc_id", "source"]].astype(object).values.tolist())
+        db.commit()
+        return pd.DataFrame({"path": [f"/in/{pdf['lang'].iloc[0]}.db"], "content": [db.serialize()]})
+
+    def files(rows):
+        by = ["lang", F.floor(F.col("doc_id") / 5000)]
+        return rows.select("doc_id", "source", F.coalesce("lang", F.lit("-")).alias("lang")).groupBy(*by).applyInPandas(pack, "path string, content binary")
 
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    old, new = (stores.parse_sqlite(files(x), "documents", "doc_id long, source string").drop("path") for x in (docs.filter("n_chars < 2000").withColumn("source", F.lit("alt")), docs))
+    known = stage(old.select(F.col("doc_id").alias("_known")), "known")
+    return stores.upsert(old, new, "doc_id").join(known, F.col("doc_id") == F.col("_known"), "left").select("doc_id", "source", F.when(F.col("_known").isNull(), "inserted").otherwise("updated").alias("how"))
 
-@C.add("SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1")
+
+@C.add("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings WHERE vec_id % 2 = 1")
 def src_npy(spark, d):
-    """The vector cache is keyed by a hash of the text: what is missing is an anti join."""
-    t = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"))
+    """A vector cache in .npy files is read; it is keyed by a hash of the text, so what a second list lacks is an anti join."""
+
+    def pack(pdf):
+        import io
+
+        pdf = pdf.sort_values("vec_id")
+        buf = io.BytesIO()
+        np.save(buf, np.stack(pdf["v"].to_numpy()))
+        return pd.DataFrame({"path": [f"/in/{int(pdf['vec_id'].iloc[0]) // 256}.npy"], "content": [buf.getvalue()]})
+
+    blocks = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).groupBy(F.floor(F.col("vec_id") / 256)).applyInPandas(pack, "path string, content binary")
+    ids = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 256).alias("_b")).withColumn("row", F.row_number().over(Window.partitionBy("_b").orderBy("vec_id")) - 1)
+    rows = stores.parse_npy(blocks).withColumn("_b", F.regexp_extract("path", r"(\d+)\.npy", 1).cast("long")).join(ids, ["_b", "row"])
+    t = rows.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"))
     cache = stage(t.filter("vec_id % 2 = 0").select(F.sha2("text", 256).alias("key")), "cache")
-    return articles.missing_embeddings(t, cache).select("vec_id")
+    return articles.missing_embeddings(t, cache).select("vec_id", "first", "last")
 
 
 @C.add("SELECT '/new/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 3 > 0")
-def inc_checkpoint(spark, d):
+def inc_basename(spark, d):
     files = table(spark, d, "documents").select(F.concat(F.lit("/new/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     done = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("/old/vault/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     return articles.new_files(files, done)
 
 
+@C.add(_VAULT)
+def inc_checkpoint(spark, d):
+    """A vault grows between two runs of the streaming ingest; every file is read once."""
+    from annalist.streaming.ingest import ingest_vault
+
+    vault, out, done = new_path(spark, "vault"), new_path(spark, "ingested"), new_path(spark, "ingestlog")
+    docs = table(spark, d, "documents")
+    for part in (docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 <> 0")):
+        write_vault(part, f"{vault}/{new_path(spark, 'part').rsplit('/', 1)[-1]}")
+        ingest_vault(spark, vault, out, done, pattern="*.txt")
+    return _vault_rows(spark.read.parquet(out))
+
+
 @C.add("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st_event_counts(spark, d):
     from annalist.streaming.ingest import event_counts
@@ -209,7 +300,7 @@ def v_assign_dual(spark, d):
 @C.add()
 def v_refine_loop(spark, d):
     v = vectors(spark, d).withColumn("text", F.concat(F.lit("cluster word"), F.translate(F.col("label").cast("string"), "0123456789", "abcdefghij"), F.lit(" and more")))
-    got, _ = P.refine(v, _unit_labels(spark, d), "vec_id", "text", P.HashingEmbedder(), steps=4, every=2)
+    got, _ = P.refine(v, _unit_labels(spark, d), "vec_id", "text", P.HashingEmbedder(), steps=20, every=5)
     return got
 
 
@@ -226,20 +317,43 @@ def v_pca(spark, d):
     return pc.select("vec_id", F.round(F.abs(F.col("pc")[0]), 6).alias("pc1"))
 
 
+@C.add()
+def v_hdbscan(spark, d):
+    """Density clusters of the vectors on their principal components."""
+    pc, _ = P.principal_components(vectors(spark, d), "vec_id", 50)
+    return hierarchical_density(pc.select("vec_id", V.normalised(F.col("pc")).alias("v")), "vec_id")
+
+
 @C.add()
 def v_linear_probe(spark, d):
-    return P.linear_probe(vectors(spark, d).filter("label < 3"), "label", folds=2)
+    return P.linear_probe(vectors(spark, d), "label")
+
+
+@C.add()
+def v_probe_confusion(spark, d):
+    return P.probe_predictions(vectors(spark, d), "label").groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 @C.add()
 def v_stable_dims(spark, d):
-    dims = P.stable_dimensions(vectors(spark, d).filter("label < 3"), "label", top=20, splits=2)
+    dims = P.stable_dimensions(vectors(spark, d), "label")
     return spark.createDataFrame([(x,) for x in dims], "dim int")
 
 
 @C.add()
 def v_gap(spark, d):
-    return P.gap_statistic(vectors(spark, d).withColumn("v", F.slice("v", 1, 4)), (2, 3), refs=2)
+    return P.gap_statistic(vectors(spark, d), GAP_KS)
+
+
+@C.add()
+def v_k_vote(spark, d):
+    """Numbers of clusters by elbow, silhouette and gap, and the vote."""
+    v = vectors(spark, d)
+    by_elbow = V.elbow(V.inertia_curve(v, GAP_KS)).select("k")
+    scored = [(k, V.silhouette(v.drop("label").join(V.kmeans(v, "vec_id", k), "vec_id"), "cluster", "vec_id").first()["silhouette"]) for k in GAP_KS]
+    by_shape = spark.createDataFrame(scored, "k int, s double").orderBy(F.desc("s"), "k").limit(1).select("k")
+    by_gap = P.gap_statistic(v, GAP_KS).orderBy(F.desc("gap"), "k").limit(1).select("k")
+    return V.k_vote(by_elbow.unionByName(by_shape).unionByName(by_gap))
 
 
 @C.add()

@@ -303,14 +303,21 @@ def p_group_blocks(spark, d):
     return group_blocks(table(spark, d, "part").select("p_partkey", answer.alias("answer")), "answer", 3).select("p_partkey", "n", "title", "body")
 
 
-@C.add()
+@C.add(r"""WITH RECURSIVE c(doc_id, i, chunk, rest) AS (SELECT doc_id, CAST(-1 AS INTEGER), '', coalesce(text, '') FROM documents
+    UNION ALL SELECT doc_id, i + 1, trim(left(rest, n), @ws), trim(substr(rest, n + 1), @ws) FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN regexp_matches(left(rest, 2000), '(?s)\. ')
+        THEN 2000 - length(regexp_extract(left(rest, 2000), '(?s)^.*\.( .*)$', 1)) ELSE 2000 END AS n FROM c WHERE rest <> ''))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS i, chunk FROM c WHERE i >= 0 AND chunk <> ''""".replace("@ws", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"))
 def s_chunk_sentences(spark, d):
     from annalist.functions.parsers import chunk_sentences
 
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunk_sentences("text", 2000)).alias("i", "chunk"))
 
 
-@C.add()
+_ESC = """replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')"""
+
+
+@C.add(rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: CASE lower(w) WHEN 'the' THEN '<span class="entity-focus" data-typ="Konzept" data-norm="Artikel">' || w || '</span>'
+    WHEN 'and' THEN '<span class="entity" data-typ="Konzept" data-norm="Und">' || w || '</span>' WHEN 'with' THEN '<mark>' || w || '</mark>' ELSE {_ESC} END), '') AS html FROM documents""")
 def s_highlight(spark, d):
     from annalist.functions.parsers import highlight
 

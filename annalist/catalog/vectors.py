@@ -126,9 +126,13 @@ def v_cluster_merge(spark, d):
     return V.merge_cluster_names(m).select("component", "normalform", "score", "typ")
 
 
-@C.add()
+# greedy by a fold over all pairs in order: the state is what is used up and what is chosen
+@C.add(f"""{W}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, {DOT}(a.v, b.v) AS sim FROM vec a JOIN vec b ON a.vec_id < b.vec_id WHERE {DOT}(a.v, b.v) BETWEEN 0.35 AND 0.5),
+    l AS (SELECT list({{'used': [a, b], 'got': [{{'a': a, 'b': b, 'sim': sim}}]}} ORDER BY sim DESC, a, b) AS x FROM p),
+    f AS (SELECT list_reduce(x, lambda s, e: CASE WHEN list_has_any(s.used, e.used) THEN s ELSE {{'used': list_concat(s.used, e.used), 'got': list_concat(s.got, e.got)}} END) AS r FROM l WHERE x IS NOT NULL)
+    SELECT g.a AS a, g.b AS b, round(g.sim, 6) AS sim FROM (SELECT unnest(r.got) AS g FROM f)""")
 def o_greedy_match(spark, d):
-    return E.greedy_pairs(V.close_pairs(vectors(spark, d), "vec_id", 0.35, 0.5))
+    return E.greedy_pairs(V.close_pairs(vectors(spark, d), "vec_id", 0.35, 0.5)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @C.add(f"""{W}, c AS (SELECT vec_id AS ord, v AS c FROM vec WHERE vec_id < 7), s AS (SELECT vec_id, ord, round(list_distance(v, c), 9) AS dist FROM vec CROSS JOIN c) SELECT vec_id, arg_min(ord, (dist, ord)) AS cluster FROM s GROUP BY vec_id""")
@@ -147,11 +151,6 @@ def v_elbow(spark, d):
     return V.elbow(V.inertia_curve(vectors(spark, d), range(3, 8)))
 
 
-@C.add("SELECT 3 AS k, CAST(2 AS BIGINT) AS n")
-def v_k_vote(spark, d):
-    return V.k_vote(spark.createDataFrame([(5,), (3,), (3,)], "k int"))
-
-
 @C.add(f"""{W}, p AS (SELECT a.vec_id, a.label AS own, b.label, avg(list_distance(a.v, b.v) ** 2) FILTER (WHERE a.vec_id <> b.vec_id) AS d FROM vec a CROSS JOIN vec b GROUP BY ALL),
     s AS (SELECT vec_id, max(d) FILTER (WHERE own = label) AS a, min(d) FILTER (WHERE own <> label) AS b FROM p GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""")
 def v_silhouette(spark, d):

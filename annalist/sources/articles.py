@@ -21,9 +21,9 @@ def full_segments(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
+def read_vault(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """All Markdown files below ``path``, each whole: ``path``, ``text``."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True, recursiveFileLookup=True)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -57,6 +57,11 @@ def article_segments(files: DataFrame, doc_type: str = "presseartikel") -> DataF
     )
 
 
+def snapshot_texts(items: DataFrame) -> DataFrame:
+    """Reference manager items with ``html_text``, the main text of their stored page (``html``) without tables and comments."""
+    return items.withColumn("html_text", T.plain_html_text(F.col("html"))).drop("html")
+
+
 def reference_segments(items: DataFrame) -> DataFrame:
     """Segments of reference manager items; attachments and notes are no items.
 

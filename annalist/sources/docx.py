@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
+from annalist.sources.stores import binary_files
 
 _NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Top-level headings that organise a file of notes and name no source.
@@ -31,7 +32,11 @@ def paragraphs_of(content: bytes) -> list[tuple[str, str]]:
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of all DOCX files below ``path``: ``doc_id`` (file name), ``pos``, ``style``, ``text`` (trimmed, not empty)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
+    return parse_docx(binary_files(spark, path, "*.docx"))
+
+
+def parse_docx(files: DataFrame) -> DataFrame:
+    """Paragraphs of DOCX files (``path``, ``content``): ``doc_id`` (file name), ``pos``, ``style``, ``text`` (trimmed, not empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

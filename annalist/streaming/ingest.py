@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from annalist.sources.articles import article_segments
 
 
-def ingest_vault(spark: SparkSession, vault: str, out: str, checkpoint: str, doc_type: str = "presseartikel") -> int:
+def ingest_vault(spark: SparkSession, vault: str, out: str, checkpoint: str, doc_type: str = "presseartikel", pattern: str = "*.md") -> int:
     """Read Markdown files that earlier calls have not read, append their segments to ``out``, return how many came.
 
     What is done is in the checkpoint; a call processes all that is there and ends. Exactly once: the file sink's log and the
     checkpoint agree on each batch.
     """
-    files = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(vault)
+    files = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(vault)
     rows = article_segments(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), doc_type)
     query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
