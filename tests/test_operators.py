@@ -117,7 +117,7 @@ def test_match_beyond_the_broadcast_bound(spark, monkeypatch):
     ents = spark.createDataFrame([(0, "BER", "Ort", ["Flughafen Berlin"]), (1, "SPD", "Org", [])], "ord int, normalform string, typ string, aliases array<string>")
     rows = spark.createDataFrame([("SPD am Flughafen Berlin",), ("nichts",)], "text string")
     want = [r["actors"] for r in entities.match_entities(rows, ents).orderBy("text").collect()]
-    monkeypatch.setattr(entities, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(entities, "PATTERNS", 0)
     assert [r["actors"] for r in entities.match_entities(rows, ents).orderBy("text").collect()] == want == [["BER", "SPD"], []]
 
 
@@ -239,7 +239,13 @@ def test_vectors(spark):
 def test_merge_fold_and_greedy(spark):
     rows = [Row(project="p", ord=0, normalform="A", typ="Ort", score=0.1, source="spacy", aliases=["a1"]), Row(project="p", ord=1, normalform="A1", typ="Org", score=0.9, source="llm_full", aliases=["x"]), Row(project="p", ord=2, normalform="B", typ="Org", score=0.2, source="llm_full", aliases=[])]
     got = sorted((r["normalform"], r["typ"], r["score"], sorted(r["aliases"])) for r in entities.merge_entities(spark.createDataFrame(rows)).collect())
-    assert got == [("A1", "Ort", 0.9, ["A", "a1", "x"]), ("B", "Org", 0.2, [])]
+    assert got == [("A1", "Ort", 0.9, ["a1", "x"]), ("B", "Org", 0.2, [])]
+    more = [("p", 3, "A", "Org", 0.1, "spacy", ["q"]), ("p", 4, "X", "Org", None, "spacy", ["y"]), ("q", 0, "A", "Ort", 0.1, "spacy", None), (None, 9, "A", "Ort", 0.1, "spacy", ["A"]), ("p", 5, " ", "Ort", 0.1, "spacy", ["A"])]
+    kind = "project string, ord long, normalform string, typ string, score double, source string, aliases array<string>"
+    both = spark.createDataFrame([tuple(r) for r in rows] + more, kind)
+    got = {(r["project"], r["ord"]): (r["normalform"], r["aliases"]) for r in entities.merge_entities(both).collect()}
+    # the old normal form "A" of the first is no name any more, "x" is
+    assert got == {("p", 0): ("A1", ["a1", "x", "y"]), ("p", 1): ("B", []), ("p", 2): ("A", ["q"]), ("q", 0): ("A", []), (None, 0): ("A", ["A"])}
     ents = lambda *r: spark.createDataFrame([(i, n, "Ort", a) for i, (n, a) in enumerate(r)], "ord long, normalform string, typ string, aliases array<string>")
     fate = entities.merge_proposal(ents(("Neu", ["n1"]), ("n1", ["n2"]), ("n2", []), ("Alt", []), ("Weg", []), ("x", ["r"])), ents(("alt", ["Weg2"])), ents(("WEG", ["R"])))
     assert [(r["status"], r["into"]) for r in fate.orderBy("ord").collect()] == [("new", None), ("confirmed", "Neu"), ("confirmed", "Neu"), ("confirmed", "alt"), ("skipped", None), ("skipped", None)]
@@ -247,6 +253,155 @@ def test_merge_fold_and_greedy(spark):
     assert {(r["a"], r["b"]) for r in entities.greedy_pairs(pairs).collect()} == {(2, 3), (1, 4)}
 
 
+def test_proposals_against_a_plain_scan(spark):
+    import random
+
+    r = random.Random(3)
+    name = lambda: r.choice("abcdefghijklmnop") * r.randint(1, 2)
+    ents = lambda n: [(i, name(), "Ort", [name() for _ in range(r.randint(0, 2))]) for i in range(n)]
+    names = lambda e: {e[1], *e[3]}
+    df = lambda x: spark.createDataFrame(x, "ord long, normalform string, typ string, aliases array<string>")
+    for _ in range(2):
+        seed, rejected, props = ents(4), ents(2), ents(25)
+        refused = set().union(*map(names, rejected))
+        held, want = [[e[1], names(e)] for e in seed], {}
+        for p in props:
+            if names(p) & refused:
+                want[p[0]] = ("skipped", None)
+            elif hit := next((h for h in held if h[1] & names(p)), None):
+                hit[1] |= set(p[3])
+                want[p[0]] = ("confirmed", hit[0])
+            else:
+                held.append([p[1], names(p)])
+                want[p[0]] = ("new", None)
+        assert {x["ord"]: (x["status"], x["into"]) for x in entities.merge_proposal(df(props), df(seed), df(rejected)).collect()} == want
+
+
+def test_wide_dictionary_finds_the_same(spark, monkeypatch):
+    ents = spark.createDataFrame([(0, "§§", []), (1, "BER", ["Flughafen BER"]), (2, "a-b", ["$"]), (3, "12", [])], "ord long, normalform string, aliases array<string>")
+    rows = spark.createDataFrame([("Nach §§ 12 und BER.",), ("a-b kostet 5 $",), ("§ a b Berlin",), ("",), (None,)], "text string")
+    want = {r["text"]: r["actors"] or [] for r in entities.match_entities(rows, ents).collect()}
+    monkeypatch.setattr(entities, "PATTERNS", 0)
+    assert {r["text"]: r["actors"] or [] for r in entities.match_entities(rows, ents).collect()} == want and want["Nach §§ 12 und BER."] == ["§§", "BER", "12"]
+
+
+def test_close_pairs_against_all(spark, monkeypatch):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    centres = g.normal(size=(6, 12))
+    v = np.concatenate([c + 0.2 * g.normal(size=(60, 12)) for c in centres])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"k{i:03d}", x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist())], "k string, v array<double>").repartition(5)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 25)
+    s = v @ v.T
+    for low, high in ((0.9, 2.0), (0.3, 0.6), (-1.0, -0.2)):
+        want = {(f"k{i:03d}", f"k{j:03d}") for i in range(len(v)) for j in range(i + 1, len(v)) if low <= s[i, j] <= high}
+        assert {(r["a"], r["b"]) for r in vectors.close_pairs(df, "k", low, high).collect()} == want
+
+
+def test_stores(spark, tmp_path):
+    import sqlite3
+
+    import numpy as np
+
+    from annalist.sources import stores
+
+    np.save(tmp_path / "a.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
+    assert sorted((r["row"], r["v"]) for r in stores.read_npy(spark, str(tmp_path)).collect()) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("CREATE TABLE documents (doc_id INTEGER, source TEXT)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(1, "a"), (2, None)])
+    db.commit()
+    db.close()
+    got = stores.read_sqlite(spark, str(tmp_path), "documents", "doc_id long, source string, title string").collect()
+    assert sorted((r["doc_id"], r["source"], r["title"]) for r in got) == [(1, "a", None), (2, None, None)]
+    assert stores.read_sqlite(spark, str(tmp_path), "other", "x long").count() == 0
+    both = stores.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, s string"), "k")
+    assert sorted(map(tuple, both.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from annalist.plans import staging
+
+    bare = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: bare))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(far)
+    held = staging.stage(spark.range(3), "three")
+    assert held.count() == 3
+    staging.discard(held)
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(held._staged_at)
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_LABELS", 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "k int, v array<double>")
+    labels = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "ord int, c array<double>")
+    with pytest.raises(ValueError, match="labels"):
+        vectors.ranked_labels(rows, labels, "k")
+    assert vectors.ranked_labels(rows, labels.limit(2), "k").count() == 1
+
+
+def test_hierarchical_density_against_plain_python(spark):
+    import numpy as np
+
+    from annalist.operators.density import hierarchical_density
+
+    g = np.random.default_rng(11)
+    centres = [np.eye(6)[0], np.eye(6)[0] + 0.45 * np.eye(6)[1], np.eye(6)[3], np.eye(6)[5]]
+    v = np.concatenate([c + s * g.normal(size=(n, 6)) for c, s, n in zip(centres, (0.06, 0.06, 0.2, 0.02), (20, 15, 25, 3), strict=True)] + [g.normal(size=(6, 6))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    n, low, least, samples, levels = len(v), 0.3, 8, 3, 6
+    s = v @ v.T
+    d = np.where((s >= low) & ~np.eye(n, dtype=bool), np.sqrt(np.maximum(2 - 2 * s, 0)), np.inf)
+    core = np.sort(d, axis=1)[:, samples - 1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    eps = sorted(set(np.percentile(w[np.triu_indices(n, 1)][np.isfinite(w[np.triu_indices(n, 1)])], [100 * (i + 1) / levels for i in range(levels)])))
+
+    def parts(rows, e):
+        left, out = set(rows), []
+        while left:
+            todo, comp = [left.pop()], set()
+            while todo:
+                x = todo.pop()
+                comp.add(x)
+                near = {y for y in left if w[x, y] <= e}
+                left -= near
+                todo += near
+            out.append(comp)
+        return [p for p in out if len(p) >= least]
+
+    def grow(comp, i):
+        """Stability of the cluster from this level on, what its descendants give, and whom they take."""
+        own = len(comp) * (1 / eps[i] - (1 / eps[i + 1] if i + 1 < len(eps) else 1 / eps[i]))
+        kids = [(k, *grow(k, i - 1)) for k in parts(comp, eps[i - 1])] if i else []
+        if len(kids) == 1:
+            return own + kids[0][1], kids[0][2], kids[0][3]
+        best = [(max(a, b), [k] if a >= b else taken) for k, a, b, taken in kids]
+        return own, sum(x for x, _ in best), [t for _, x in best for t in x]
+
+    want = set()
+    for comp in parts(range(n), eps[-1]):
+        a, b, taken = grow(comp, len(eps) - 1)
+        want |= {frozenset(x) for x in ([comp] if a >= b else taken)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    got = {}
+    for r in hierarchical_density(df, "k", low, least, samples, levels).collect():
+        got.setdefault(r["cluster"], set()).add(r["k"])
+    noise = got.pop(None, set())
+    assert {frozenset(x) for x in got.values()} == want and len(want) >= 2 and sum(map(len, want)) + len(noise) == n
+    assert all(min(x) == k for k, x in got.items()) and hierarchical_density(df.limit(0), "k").count() == 0
+
+
+def test_k_vote(spark):
+    assert tuple(vectors.k_vote(spark.createDataFrame([(5,), (3,), (3,)], "k int")).first()) == (3, 2)
+    assert tuple(vectors.k_vote(spark.createDataFrame([(5,), (3,), (4,)], "k int")).first()) == (3, 1)
+
+
 def test_docx(spark, tmp_path):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     para = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
