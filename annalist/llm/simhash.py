@@ -21,13 +21,13 @@ from annalist.plans.staging import stage
 WIDE_POSTINGS = 30_000_000
 #: Posting lists up to this length are compared pair by pair in bulk; longer ones by growing components.
 SMALL_LIST = 24
-#: Posting sets for limits under which no shared byte is certain. Of 384-bit fingerprints at a similarity of 0.8, 0.82, 0.85 and
-#: 0.9 some 92, 95, 98 and 100 % of pairs meet in one of 256 triples and are within the limit (by simulation of independent bits).
-LOOSE_SETS = 256
+#: Posting sets for limits under which no shared byte is certain. Of 512-bit fingerprints at a similarity of 0.8, 0.82, 0.85 and
+#: 0.9 some 92, 95, 98 and 100 % of pairs meet in one of 216 triples and are within the limit (by simulation of independent bits).
+LOOSE_SETS = 216
 #: Posting sets of the first round where there are more; what it joins need not be linked again in the second.
 FIRST_SETS = 8
 #: Posting sets that are exchanged at a time where every candidate pair is wanted.
-SETS_AT_ONCE = 16
+SETS_AT_ONCE = 24
 #: Classes of shingles whose parities are kept of a set; candidates are held against them before texts are fetched.
 PARITY_BITS = 256
 
@@ -349,7 +349,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return whole.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 6) -> DataFrame:
+def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
     """Components of texts whose sets of ``shingle`` words have at least this Jaccard similarity: one row per input row with
     the id, ``component_id``, ``digest`` (:func:`text_digest`) and ``kept``, whether it is the component's one
     document that stays: that with the smallest id (null last), of several texts under it that with the smallest digest.
@@ -383,11 +383,12 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
 
     for most, part in ((near_limit((1 + similarity) / 2, bits, 0), sets[::few]), (near_limit(similarity, bits, 0), sets[few // 2 :: few]), (differ, sets[more // 2 :: more])):
         nodes = joined(nodes, stage(links(nodes, most, words, part, "some", similarity), "pairs"))
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged files of what has ended, and what the driver keeps of it
     pairs = None
     for i in range(0, len(sets), SETS_AT_ONCE):
         found = stage(links(nodes, differ, words, sets[i : i + SETS_AT_ONCE], "all", similarity), "pairs")
         pairs = found if pairs is None else pairs.unionByName(found)
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged files of what has ended
+        spark.sparkContext._jvm.System.gc()
     nodes = joined(nodes, stage(pairs.distinct(), "pairs"))
     lowest = nodes.groupBy("key").agg(F.min("low").alias("component_id"), F.min("one").alias("stays"), F.count("*").alias("_members"))
     lowest = stage(lowest.withColumnRenamed("key", "_key"), "lowest")

@@ -243,11 +243,11 @@ def test_width_of_postings_loses_nothing(spark, monkeypatch):
 
 def test_loose_sets_find_most_pairs():
     r = np.random.default_rng(5)
-    limit = simhash.near_limit(0.8, 384, 3)
-    sets = simhash.posting_sets(48, 3, limit)
+    limit = simhash.near_limit(0.8, 512, 3)
+    sets = simhash.posting_sets(64, 3, limit)
     for similarity, least in ((0.8, 0.9), (0.85, 0.97)):
         p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        differ = r.random((4000, 48, 8)) < p
+        differ = r.random((4000, 64, 8)) < p
         met = np.any([(~differ.any(2))[:, list(s)].all(1) for s in sets], axis=0)
         assert np.mean(met & (differ.sum((1, 2)) <= limit)) >= least
 
