@@ -17,8 +17,8 @@ from annalist.plans.tables import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A prediction that is ambiguous and scores less is a rejection.
 LEAST_SCORE = 0.5
-#: Near copies: Jaccard similarity of five-word shingles; candidates by 384-bit fingerprints.
-SIMILARITY, SHINGLE, FINGERPRINT_WORDS = 0.8, 5, 6
+#: Near copies: Jaccard similarity of five-word shingles; candidates by 512-bit fingerprints.
+SIMILARITY, SHINGLE, FINGERPRINT_WORDS = 0.8, 5, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
