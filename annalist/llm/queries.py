@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.llm.centroids import centroid_clusters
 from annalist.llm.chat import perspectives
 from annalist.llm.decontaminate import benchmark_overlap, items_digest
 from annalist.llm.exact_dedup import exact_dedup
 from annalist.llm.html_text import extract_main_text
 from annalist.llm.langid import held_out, identify, train
 from annalist.llm.mixing import mix_sources
+from annalist.llm.packing import pack_documents
+from annalist.llm.periodic import periodic_runs
 from annalist.llm.simhash import simhash_components
 from annalist.llm.substring_dedup import substring_dedup
 from annalist.llm.suffix_dedup import suffix_dedup
@@ -78,9 +81,59 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of all vectors after five rounds; the final centroid as a digest of its numbers."""
+    found = centroid_clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the documents, by the CRC of the id, the words from the ``a``-th on repeat with period ``p``."""
+    words = F.when((F.expr("_h % 10") == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h")).withColumn("_w", words)
+    rows = rows.withColumns({"_n": F.size("_w").cast("long"), "_g": F.expr("_h div 10")}).withColumn("_a", F.expr("CASE WHEN _n > 0 THEN _g % _n END"))
+    rows = rows.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    planted = F.expr("array_join(transform(sequence(0L, _n - 1), i -> element_at(_w, CAST(1 + CASE WHEN i < _a THEN i ELSE _a + (i - _a) % _p END AS INT))), ' ')")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, some of them planted."""
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.expr("""array_sort(runs, (x, y) -> CASE
+        WHEN CAST(x.length AS DECIMAL(18,0)) * y.period <> CAST(y.length AS DECIMAL(18,0)) * x.period THEN CASE WHEN CAST(x.length AS DECIMAL(18,0)) * y.period > CAST(y.length AS DECIMAL(18,0)) * x.period THEN -1 ELSE 1 END
+        WHEN x.start <> y.start THEN CASE WHEN x.start < y.start THEN -1 ELSE 1 END
+        WHEN x.period < y.period THEN -1 WHEN x.period > y.period THEN 1 ELSE 0 END)""")
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    top = found.withColumn("_b", F.get(best, F.lit(0)))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_b.start").alias("start"), F.col("_b.length").alias("length"), F.col("_b.period").alias("period"),
+        F.expr("1000 * _b.length div _b.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; the ids of a piece as a checksum."""
+    import public_tokenizers
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_chat_perspectives, op4_simhash, op5_substring_dedup, op6_decontamination, op7_warc, op8_language_id, op9_suffix_dedup, op10_html_extraction)
-}
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_exact_dedup, op3_chat_perspectives, op4_simhash, op5_substring_dedup, op6_decontamination, op7_warc, op8_language_id, op9_suffix_dedup, op10_html_extraction,
+        op11_centroid_clusters, op12_periodic_runs, op13_packing,
+    )
+}
+
+#: One round of exact Lloyd steps in SQL: vectors of ``q`` to centroids of ``c{i}``, and their floored means.
+_ROUND = """a{i} AS MATERIALIZED (SELECT vec_id, v, arg_min(cid, d) AS cid, min(d)[1] AS d FROM
+        (SELECT vec_id, v, cid, [list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, cid] AS d FROM q CROSS JOIN c{i}) GROUP BY vec_id, v),
+    m{i} AS (SELECT cid, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i} CROSS JOIN range(1, 65) t(j) GROUP BY cid, j),
+    c{k} AS MATERIALIZED (SELECT cid, coalesce(f, c) AS c FROM c{i} LEFT JOIN (SELECT cid, list((s - ((s % n) + n) % n) // n ORDER BY j) AS f FROM m{i} GROUP BY cid) USING (cid))"""
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -139,6 +192,13 @@ ORACLES: dict[str, str] = {
         p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM r),
         k AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS l FROM p JOIN t USING (doc_id) GROUP BY doc_id)
         SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(l, h))) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id""",
+    "op11_centroid_clusters": f"""
+        WITH q AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cid, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM q ORDER BY h, v LIMIT 40)),
+    {", ".join(_ROUND.format(i=i, k=i + 1) for i in range(6))}
+        SELECT vec_id, CAST(cid AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cid) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a5 JOIN c5 USING (cid)""",
     # on these pages the main text is the article element; SQL takes just that
     "op10_html_extraction": r"""
         WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?p>|</?h1>') AS parts FROM pages),
