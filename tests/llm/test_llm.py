@@ -586,6 +586,62 @@ def test_html_cues_are_whole_words():
     assert main_text(f"<p>{body}\n      <a href=x>\n        one\n        link   </a></p>").startswith(body)
 
 
+def test_html_cues_name_the_element_itself():
+    b = "The text of the page is in a plain element and it has the words of the language in it, so that it is long enough to be judged well."
+    for around in ('class="site has-sidebar"', 'class="single no-sidebar"', 'class="page menu-open"', 'class="sidebar"', 'id="with-footer"', 'class="newsletter-issue"', 'class="comments-open"'):
+        assert main_text(f"<div {around}><article><p>{b}</p></article></div>") == main_text(f"<main><section {around}><p>{b}</p></section></main>") == b
+    for attrs in ('title="the hidden truth"', 'data-hidden="x"', 'data-role="menu"', "data-class='nav'", "title='class=\"ad\"'", 'class="text" class="ad"'):
+        assert main_text(f"<p {attrs}>{b}") == b
+    for attrs in ('class="adsbygoogle"', 'class="ad1"', 'class="comment-body"', 'class="user-comment"', 'style="color:red; display:none"', "hidden", "aria-hidden=true", "role=navigation", "id=footer-inner", 'class="ad-300x250"', 'class="side__nav"'):
+        assert main_text(f"<p>{b}</p><p>{b}</p><div {attrs}><p>{b}</p></div>") == f"{b}\n\n{b}"
+    assert main_text(f'<div class="comments"><p>{b * 3}</p></div><p>{b}</p>') == b  # comments are none however long they are
+
+
+def test_html_keeps_links_figures_and_short_blocks_of_the_article():
+    b = "The text of the page is in a plain element and it has the words of the language in it, so that it is long enough to be judged well."
+    page = f'<article><h2><a href="#s">Section title</a></h2><p>{b}</p><p><a href=x>{b}</a></p><ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul></article>'
+    assert main_text(page) == f"Section title\n\n{b}\n\n{b}\n\nSource one\n\nSource two"
+    assert main_text("<h1>Rezept</h1><p>Zwei Eier.</p><p>Mehl und Zucker.</p><p>Backen.</p>") == "Rezept\n\nZwei Eier.\n\nMehl und Zucker.\n\nBacken."
+    figures = "12 45 1999 2003 2004 55.1 66.2 77.3 88.4 99.5 100 1200 1300 1400 1500 1600 1700 1800"
+    assert main_text(f"<p>{b}</p><p>{figures}</p><p>{b}</p>") == f"{b}\n\n{figures}\n\n{b}"
+
+
+def test_html_unclosed_and_inline_elements():
+    b = "The text of the page is in a plain element and it has the words of the language in it, so that it is long enough to be judged well."
+    assert main_text(f'<p class="ad">Buy now<div><h1>Head</h1><p>{b}</p></div>') == f"Head\n\n{b}"
+    assert main_text(f'<table><tr><td class="sidebar">menu<td>{b}</table>') == main_text(f"<dl><dt class=nav>a<dd>{b}</dl>") == b
+    assert main_text(f'<article><p>One <span class="ad">Buy now</span> two {b}</p></article>') == f"One two {b}"
+    assert main_text(f'<article><p>One <span class="ad">Buy now</p><p>{b}</p></article>') == f"One\n\n{b}"
+    assert main_text(f"<ul><li>eins<li>zwei<ul><li>drei</ul><li>vier</ul><p>{b}</p>") == f"eins\n\nzwei\n\ndrei\n\nvier\n\n{b}"
+
+
+def test_html_pages_without_an_article_element():
+    """Generated pages whose true text is known: text in plain elements between menus, adverts, notices, comments and footers."""
+    r = random.Random(12)
+    words = "the of and to in is that it was for on with as by at from this which had not are but his they were her she there would their".split()
+    nouns = "river library council museum engine harvest letter border market winter archive bridge village harbour teacher season".split()
+    sentence = lambda n: " ".join(r.choice(words) if r.random() < 0.55 else r.choice(nouns) for _ in range(n)).capitalize() + "."
+    junk = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href='/{x}'>{x.title()}</a>" for x in r.sample(nouns, 4)) + "</ul></nav>",
+        lambda: f"<div class='{r.choice(['sidebar', 'widget', 'related-posts', 'social-links', 'newsletter-signup'])}'><p>{sentence(20)}</p><a href=x>More</a></div>",
+        lambda: f"<div class='{r.choice(['ad-slot', 'adsbygoogle', 'advert', 'ad-300x250'])}'>{sentence(15)}</div>",
+        lambda: f"<div id=cookie-notice><p>{sentence(25)}</p><button>OK</button></div>",
+        lambda: f"<section class='comments'><div class='comment'><p>{sentence(30)}</p></div></section>",
+        lambda: f"<footer><p>{sentence(18)}</p></footer>",
+        lambda: f"<script>var x = '<p>{sentence(9)}</p>';</script><!-- {sentence(6)} -->",
+        lambda: f"<form><label>{sentence(4)}</label><input name=q></form>",
+    ]
+    for _ in range(150):
+        paragraphs = [sentence(r.randint(16, 60)) for _ in range(r.randint(3, 8))]
+        for _ in range(r.randint(0, 2)):
+            paragraphs.insert(r.randint(1, len(paragraphs) - 1), r.choice(["A short aside.", "Part two", "1999, 2004, 2011"]))
+        end = r.choice(["</p>", ""])
+        inner = [f"<p class='{r.choice(['text', 'lead', 'no-menu', 'x'])}'>{p}{end}" for p in paragraphs]
+        body = f"<div class='{r.choice(['content', 'page has-sidebar', 'post menu-open', 'wrapper'])}'>{''.join(inner)}</div>"
+        before, after = "".join(j() for j in r.sample(junk, r.randint(0, 4))), "".join(j() for j in r.sample(junk, r.randint(0, 4)))
+        assert main_text(f"<html><body class='{r.choice(['home', 'has-footer'])}'>{before}{body}{after}</body></html>") == "\n\n".join(paragraphs)
+
+
 def test_html_is_linear_in_hostile_pages():
     import time
 
