@@ -11,62 +11,139 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from annalist.plans.staging import discard, stage
 
-#: Chunks of text whose ids a Python worker remembers (some 200 bytes each); when they are as many, it starts anew.
-CACHED_CHUNKS = 1 << 20
-#: A place where a byte-level tokenizer always cuts: one blank between a visible ASCII sign and an ASCII letter.
-_CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
-_PLAIN_WORD = re.compile(r"[A-Za-z]+")
+# Fixed value: how byte-level tokenizers cut texts before they merge.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+#: Words whose ids a Python worker remembers (some 200 bytes each); when they are as many, it keeps them until they are as many again.
+CACHED_CHUNKS = 1 << 18
+#: Text that is encoded at once.
+PORTION_BYTES = 1 << 23
+#: A blank beside other white space.
+_TOUCHING = r"[\s\v\x{85}\p{Z}] | [\s\v\x{85}\p{Z}]"
+#: A single blank between two other signs.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _by_rank(model: dict) -> tiktoken.Encoding | None:
+    """The same vocabulary for the faster library, which merges the pair with the smallest id first; none if merges are not in the order of ids."""
+    signs, vocab = _byte_signs(), model["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocab.get(a + b, -1) for a, b in merges]
+    if model["type"] != "BPE" or model.get("ignore_merges") or ids != sorted(set(ids)) or any(c not in signs for x, _ in merges for c in x):
+        return None
+    if any(max(vocab[a], vocab[b]) >= i for (a, b), i in zip(merges, ids, strict=True)) or not all(c in vocab and vocab[c] < ids[0] for c in signs):
+        return None
+    ranks = {bytes([b]): vocab[c] for c, b in signs.items()} | {bytes(signs[c] for c in a + b): i for (a, b), i in zip(merges, ids, strict=True)}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers, equal to encoding each whole text at once.
+    """Token ids of texts as little-endian 32-bit numbers, equal to encoding each whole text by the tokenizer file.
 
-    Byte-level tokenizers cut texts before they merge, and always at a blank between a visible ASCII sign and an ASCII letter;
-    what lies between such places is encoded once and remembered. A tokenizer of another kind gets whole texts.
+    Byte-level tokenizers cut texts into words before they merge, and always in front of a blank that is alone between two
+    other signs; what lies between such places is encoded once and remembered for a while. Words are merged by ranks where the file's
+    merges are in the order of their ids, else by the file's own library, which also takes texts with added tokens. A
+    tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         pre = made["pre_tokenizer"] or {}
-        apart = all(not x["lstrip"] and not x["rstrip"] and " " not in x["content"] for x in made["added_tokens"])
-        self.in_chunks = apart and not made["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.plain_words = self.in_chunks and made["model"]["type"] == "BPE" and not any(x["content"].isalpha() for x in made["added_tokens"])
-        self.chunks: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [x["content"] for x in made["added_tokens"]]
+        apart = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in made["added_tokens"])
+        self.in_chunks = bool(apart and not made["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        self.ranked = _by_rank(made["model"]) if self.in_chunks else None
+        self.sizes = np.zeros(self.ranked.max_token_value + 1, np.int64) if self.ranked else None
+        if self.ranked:
+            for token in self.ranked.token_byte_values():
+                self.sizes[self.ranked.encode_single_token(token)] = len(token)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        if self.ranked and not any(x in text for x in self.added):
+            return np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a blank in front, by one call for those that can stand side by side."""
+        odd = [x for x in self.added if any(x in w for w in words)]
+        beside = [w and not w[0].isspace() and not w[-1].isspace() and not any(x in w for x in odd) for w in words] if self.ranked else [False] * len(words)
+        row = [w for w, b in zip(words, beside, strict=True) if b]
+        if not row:
+            return [self._alone(f" {w}") for w in words]
+        ids = self.ranked.encode_to_numpy(f" {' '.join(row)}").astype("<u4")
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in row])) + 1
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        own = iter([raw[a:b] for a, b in pairwise(at)])
+        return [next(own) if b else self._alone(f" {w}") for w, b in zip(words, beside, strict=True)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a blank in front. Those asked for lately are remembered."""
+        out = list(map(self.young.get, words))
+        missing = [i for i, known in enumerate(out) if known is None]
+        for a in range(0, len(missing), CACHED_CHUNKS):
+            part = missing[a : a + CACHED_CHUNKS]
+            if len(self.young) + len(part) > CACHED_CHUNKS:
+                self.old, self.young = self.young, {}
+            new = []
+            for i in part:
+                out[i] = self.old.get(words[i])
+                if out[i] is None:
+                    new.append(i)
+            for i, ids in zip(new, self._new([words[i] for i in new]), strict=True):
+                out[i] = ids
+            self.young.update((words[i], out[i]) for i in part)
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, without special ones."""
         if not self.in_chunks:
-            return self._ids([text])[0]
+            return self._alone(text)
         first, *rest = _CUT.split(text)
-        known = self.chunks
-        missing = [x for x in set(rest) if x not in known]
-        if missing:
-            if len(known) + len(missing) > CACHED_CHUNKS:
-                known.clear()
-                missing = list(set(rest))
-            if self.plain_words:  # one piece for the model: merged without the steps around it
-                model, others = self.tokenizer.model, []
-                for x in missing:
-                    if _PLAIN_WORD.fullmatch(x):
-                        known[x] = np.array([t.id for t in model.tokenize(f"Ġ{x}")], "<u4").tobytes()
-                    else:
-                        others.append(x)
-                missing = others
-            known.update(zip(missing, self._ids([f" {x}" for x in missing]), strict=True))
-        return (self._ids([first])[0] if first else b"") + b"".join(map(known.__getitem__, rest))
+        return (self._alone(first) if first else b"") + b"".join(self._of_words(rest))
+
+    def encode_all(self, texts: pa.StringArray, last: bytes) -> pa.LargeBinaryArray:
+        """The ids of each text (null: none) and then ``last``; words are looked up once for all texts."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(texts, _TOUCHING)).to_numpy(zero_copy_only=False) if self.in_chunks else np.zeros(len(texts), bool)
+        odd = np.flatnonzero(~plain)
+        single = pa.array([self.encode(t) + last for t in texts.take(pa.array(odd)).to_pylist()], pa.large_binary())
+        words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        flat, starts = words.flatten(), words.offsets.to_numpy()
+        starts = starts - starts[0] if len(starts) else starts
+        coded = flat.dictionary_encode()
+        firsts = flat.take(pa.array(starts[:-1])).to_pylist() if len(starts) > 1 else []
+        values = pa.array([*self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), *(self._alone(x) if x else b"" for x in firsts), last], pa.large_binary())
+        n, known = len(firsts), len(coded.dictionary)
+        picks = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        picks[starts[:-1]] = known + np.arange(n)
+        picks = np.insert(picks, starts[1:], known + n)  # the end of each text
+        joined = values.take(pa.array(picks))
+        ends = joined.buffers()[1]
+        at = np.frombuffer(ends, np.int64)[joined.offset : joined.offset + len(joined) + 1][starts + np.arange(n + 1)] if n else np.zeros(1, np.int64)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(at)), joined.buffers()[2]])
+        place = np.empty(len(texts), np.int64)
+        place[np.flatnonzero(plain)], place[odd] = np.arange(n), n + np.arange(len(odd))
+        return pa.concat_arrays([whole, single]).take(pa.array(place))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -208,6 +285,16 @@ def patterns_by_rank(packs: list[Packs]) -> list[tuple[int, int, int, list[tuple
     return out
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of some ``PORTION_BYTES`` of text, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + PORTION_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def tokenised(docs: DataFrame, path: str, end: int | None, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: ``id``, ``ids`` (little-endian 32-bit), ``n`` tokens, the ``part`` of the table it is written in, and in that part the
     number of earlier documents with the same rest (``at``) and of earlier full sequences (``full_at``)."""
@@ -217,18 +304,17 @@ def tokenised(docs: DataFrame, path: str, end: int | None, capacity: int, id_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, full = TaskContext.get().partitionId(), Counter(), 0
         for batch in batches:
-            ids, n, at, before = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                own = (encoder(path).encode(text) if text else b"") + last
-                size = len(own) // 4
-                ids.append(own)
-                n.append(size)
-                at.append(seen[size % capacity])
-                before.append(full)
-                seen[size % capacity] += 1
-                full += size // capacity
-            arrays = [batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(before, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "ids", "n", "part", "at", "full_at"])
+            for rows in _portions(batch):
+                ids = encoder(path).encode_all(rows.column(1), last)
+                n = pc.divide(pc.binary_length(ids), 4).to_pylist()
+                at, before = [], []
+                for size in n:
+                    at.append(seen[size % capacity])
+                    before.append(full)
+                    seen[size % capacity] += 1
+                    full += size // capacity
+                arrays = [rows.column(0), ids.cast(pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(before, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "ids", "n", "part", "at", "full_at"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, n long, part int, at long, full_at long")
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -132,14 +133,29 @@ def test_op12_on_the_smallest_table(spark):
 
 
 def test_encoder_equals_whole_texts(spark, monkeypatch):
-    r, whole, own = random.Random(2), Tokenizer.from_file(VOCAB), Encoder(VOCAB)
-    signs = ["a", "B", "ß", "é", "中", " ", " ", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", "—", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "word", "\x00"]
-    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)]
-    texts += [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    ids = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    assert own.in_chunks and all(own.encode(t) == ids(t) for t in texts)
+    r, whole = random.Random(2), Tokenizer.from_file(VOCAB)
+    signs = ["a", "B", "ß", "é", "中", " ", " ", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", "—", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "word", "\x00", "\x0b", "\u3000", "\u2028", "²"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 50))) for _ in range(3000)] + [None, "", " ", "a " * 3000]
+    texts += [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    want = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    end = np.array([1], "<u4").tobytes()
+    own = Encoder(VOCAB)
+    assert own.in_chunks and own.ranked and own.encode_all(pa.array(texts, pa.string()), end).to_pylist() == want
+    assert [own.encode(t or "") + end for t in texts] == want
     monkeypatch.setattr(packing, "CACHED_CHUNKS", 3)
-    assert all(own.encode(t) == ids(t) for t in texts[:300])
+    assert own.encode_all(pa.array(texts, pa.string()), end).to_pylist() == want
+    own.ranked = None  # as for a file whose merges are not in the order of its ids
+    own.young, own.old = {}, {}
+    assert own.encode_all(pa.array(texts[:400], pa.string()), end).to_pylist() == want[:400]
+    own.in_chunks = False
+    assert own.encode_all(pa.array(texts[:400], pa.string()), end).to_pylist() == want[:400] and len(own.encode_all(pa.array([], pa.string()), end)) == 0
+
+
+def test_encoder_of_another_kind_takes_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = Encoder(path), Tokenizer.from_file(path)
+    texts = ["Ein  Wort, zwei", "Ünd DREI\n vier", ""]
+    assert not own.in_chunks and own.encode_all(pa.array(texts), b"").to_pylist() == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_packs_hold_every_document_once():
