@@ -9,22 +9,39 @@ from annalist.catalog.corpus import CATEGORIES, ENTRIES_SQL, Catalog, actor_rows
 from annalist.functions import text as T
 from annalist.operators import entities as E
 from annalist.operators import facts
+from annalist.plans.numbering import numbered
 from annalist.plans.tables import table
 
 C = Catalog()
 SID = "doc_id || '-' || pos"
 
-# Fixed inputs: a dictionary of words that the documents hold, and lists to merge with it.
+# Fixed inputs: a dictionary of words that the documents hold.
 ENTITIES = [(0, "The", "Konzept", ["and", "AND"]), (1, "en", "Ort", ["Ble"]), (2, "von", "Person", []), (3, "Les", "Organisation", ["des", "la"]), (4, "qui", "Person", ["que", "The"])]
-REJECTED = [(0, "Von", "Person", []), (1, "xyz", "Ort", ["qui"])]
-PROPOSED = [(0, "der", "Ort", ["and", "neu"]), (1, "zzz", "Person", ["yyy"]), (2, "Les", "Ort", ["une"]), (3, "que", "Person", ["xyz"])]
 _ROWS = "ord long, normalform string, typ string, aliases array<string>"
 ENT_SQL = "ent(ord, normalform, typ, aliases) AS (VALUES (0, 'The', 'Konzept', ['and', 'AND']), (1, 'en', 'Ort', ['Ble']), (2, 'von', 'Person', CAST([] AS VARCHAR[])), (3, 'Les', 'Organisation', ['des', 'la']), (4, 'qui', 'Person', ['que', 'The']))"
 
 
-def entity_list(spark, rows=ENTITIES):
+def entity_list(spark):
     """A fixed entity list."""
-    return spark.createDataFrame(rows, _ROWS)
+    return spark.createDataFrame(ENTITIES, _ROWS)
+
+
+#: Entities of the documents: words with a capital, as many as there are; those of one language are the known ones, of another the proposed, and
+#: the long ones of a third the rejected. Each has its lower-case form and its first five letters as aliases.
+_TOKENS = "SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents"
+_NAMED = """SELECT row_number() OVER (ORDER BY w) - 1 AS ord, w AS normalform, ['Person', 'Ort', 'Organisation', 'Konzept'][1 + length(w) % 4] AS typ, [lower(w), substr(w, 1, 5)] AS aliases FROM (SELECT DISTINCT w FROM tok WHERE {where} AND regexp_matches(w, '^[A-Z][a-z]{{3,}}$'))"""
+_KNOWN, _ASKED, _REFUSED = "lang = 'en'", "lang = 'de'", "lang = 'fr' AND length(w) > 8"
+TOKEN_SQL = f"WITH tok AS ({_TOKENS}), known AS ({_NAMED.format(where=_KNOWN)}), asked AS ({_NAMED.format(where=_ASKED)}), refused AS ({_NAMED.format(where=_REFUSED)})"
+
+
+def named_tokens(spark, d, where):
+    """Entities that the documents name."""
+    w = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    w = w.filter(F.expr(where) & F.col("w").rlike("^[A-Z][a-z]{3,}$")).select("w").distinct()
+    kinds = F.array(*[F.lit(x) for x in ("Person", "Ort", "Organisation", "Konzept")])
+    typ = F.element_at(kinds, (1 + F.length("w") % 4).cast("int"))
+    rows = numbered(w, ["w"], "_at")
+    return rows.select((F.col("_at") - 1).alias("ord"), F.col("w").alias("normalform"), typ.alias("typ"), F.array(F.lower("w"), F.substring("w", 1, 5)).alias("aliases"))
 
 
 def identified(df):
@@ -120,14 +137,30 @@ def j_dict_match(spark, d):
     return E.match_entities(s, entity_list(spark)).select("doc_id", "pos", F.array_join("actors", "|").alias("actors"))
 
 
-@C.add("SELECT * FROM (VALUES (0, 0, 1), (2, 3, 1), (3, 4, 1)) t(p_ord, k_ord, shared)")
+@C.add(f"""{TOKEN_SQL}, a AS (SELECT DISTINCT ord, lower(unnest(list_prepend(normalform, aliases))) AS alias FROM asked), k AS (SELECT DISTINCT ord, lower(unnest(list_prepend(normalform, aliases))) AS alias FROM known)
+    SELECT a.ord AS p_ord, k.ord AS k_ord, count(*) AS shared FROM a JOIN k USING (alias) GROUP BY ALL""")
 def j_alias_overlap(spark, d):
-    return E.overlapping(entity_list(spark, PROPOSED), entity_list(spark))
+    return E.overlapping(named_tokens(spark, d, _ASKED), named_tokens(spark, d, _KNOWN))
 
 
-@C.add("SELECT * FROM (VALUES (0, 'der', 'confirmed'), (1, 'zzz', 'new'), (2, 'Les', 'confirmed'), (3, 'que', 'skipped')) t(ord, normalform, status)")
+# the aliases hold the name itself, so a proposal's names count as known ones whether it is new or confirmed
+@C.add(f"""{TOKEN_SQL}, n AS (SELECT ord, normalform, lower(unnest(list_prepend(normalform, aliases))) AS alias FROM asked), no AS (SELECT DISTINCT lower(unnest(list_prepend(normalform, aliases))) AS alias FROM refused),
+    yes AS (SELECT DISTINCT lower(unnest(list_prepend(normalform, aliases))) AS alias FROM known), s AS (SELECT DISTINCT ord FROM n WHERE alias IN (FROM no)),
+    f AS (SELECT alias, min(ord) AS first FROM n WHERE ord NOT IN (FROM s) GROUP BY alias)
+    SELECT ord, normalform, CASE WHEN ord IN (FROM s) THEN 'skipped' WHEN bool_or(alias IN (FROM yes) OR first < ord) THEN 'confirmed' ELSE 'new' END AS status FROM n LEFT JOIN f USING (alias) GROUP BY ord, normalform""")
 def a_merge_proposal(spark, d):
-    return E.merge_proposal(entity_list(spark, PROPOSED), entity_list(spark), entity_list(spark, REJECTED)).select("ord", "normalform", "status")
+    return E.merge_proposal(*(named_tokens(spark, d, x) for x in (_ASKED, _KNOWN, _REFUSED))).select("ord", "normalform", "status")
+
+
+@C.add(with_segments("""t AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents),
+    ent AS (SELECT row_number() OVER (ORDER BY w) - 1 AS ord, w FROM (SELECT DISTINCT w FROM t WHERE lang = 'en' AND regexp_matches(w, '^[A-Z][a-z]{3,}$'))),
+    nm AS (SELECT ord, w, lower(w) AS name FROM ent UNION SELECT ord, w, lower(substr(w, 1, 5)) FROM ent),
+    hit AS (SELECT DISTINCT doc_id, pos, ord, w FROM (SELECT DISTINCT doc_id, pos, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS name FROM seg) JOIN nm USING (name))
+    SELECT seg.doc_id, seg.pos, coalesce(string_agg(w, '|' ORDER BY ord), '') AS actors FROM seg LEFT JOIN hit ON hit.doc_id = seg.doc_id AND hit.pos = seg.pos GROUP BY seg.doc_id, seg.pos""").replace(") t AS (", "), t AS (", 1))
+def j_dict_match_many(spark, d):
+    """All segments against every name of the documents, by one automaton."""
+    s = segments(spark, d).select("doc_id", "pos", "text")
+    return E.match_entities(s, named_tokens(spark, d, _KNOWN)).select("doc_id", "pos", F.array_join("actors", "|").alias("actors"))
 
 
 _INITCAP = "array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
@@ -245,9 +278,9 @@ def a_summary_candidates(spark, d):
     return s.select("actor", "n", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids"))
 
 
-@C.add(f"WITH {ENT_SQL} SELECT typ, count(*) AS n FROM ent GROUP BY typ")
+@C.add(f"{TOKEN_SQL} SELECT typ, count(*) AS n FROM known GROUP BY typ")
 def a_entity_types(spark, d):
-    return entity_list(spark).groupBy("typ").agg(F.count("*").alias("n"))
+    return named_tokens(spark, d, _KNOWN).groupBy("typ").agg(F.count("*").alias("n"))
 
 
 @C.add("SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents) WHERE w <> '' GROUP BY w HAVING count(*) >= 5")
@@ -333,9 +366,9 @@ def a_list_sources(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("first_seen")).orderBy("first_seen")
 
 
-@C.add(f"WITH {ENT_SQL}, a AS (SELECT ord, normalform, typ, unnest(list_prepend(normalform, aliases)) AS alias, generate_subscripts(list_prepend(normalform, aliases), 1) - 1 AS i FROM ent) SELECT ord, i, alias, normalform, typ FROM a QUALIFY row_number() OVER (PARTITION BY ord, lower(alias) ORDER BY i) = 1")
+@C.add(f"{TOKEN_SQL}, a AS (SELECT ord, normalform, typ, unnest(list_prepend(normalform, aliases)) AS alias, generate_subscripts(list_prepend(normalform, aliases), 1) - 1 AS i FROM known) SELECT ord, i, alias, normalform, typ FROM a QUALIFY row_number() OVER (PARTITION BY ord, lower(alias) ORDER BY i) = 1")
 def snk_alias_csv(spark, d):
-    return E.alias_csv(entity_list(spark))
+    return E.alias_csv(named_tokens(spark, d, _KNOWN))
 
 
 @C.add("SELECT n_nationkey, lower(n_name) AS alias, n_name || ', land, x' AS normalform, 'Ort' AS typ FROM nation")

@@ -202,6 +202,37 @@ def o_kw_segments(spark, d):
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("source", "doc_id", "pos", "score", "rank")
 
 
+_indexes: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def text_index(spark, d):
+    """The index over all segments; written once in a session and folder, and used by every query that asks for it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        _indexes[at] = search.build_index(segments(spark, d).select("source", "doc_id", "pos", "text"), ["doc_id", "pos"])
+    return _indexes[at]
+
+
+RARE = ("nicht im jahr", "balkan", "titel (19", "ß", "zzz")
+_RARE = " + ".join(f"contains(lower(text), '{w}')::INT" for w in RARE)
+
+
+@C.add(with_segments(f"SELECT doc_id, pos, {_RARE} AS score FROM seg WHERE {_RARE} > 0 ORDER BY score DESC, doc_id, pos LIMIT 20"))
+def ix_search_topk(spark, d):
+    return text_index(spark, d).matching(RARE).orderBy(F.desc("score"), "doc_id", "pos").limit(20).select("doc_id", "pos", "score")
+
+
+@C.add(with_segments(f"SELECT doc_id, pos FROM seg WHERE {_RARE} > 0"))
+def ix_search_or(spark, d):
+    return text_index(spark, d).matching(RARE).select("doc_id", "pos")
+
+
+@C.add(with_segments(f"SELECT source, doc_id, pos, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id, pos) AS rank FROM (SELECT *, {_SCORE} AS score FROM seg) WHERE score > 0 QUALIFY rank <= 3"))
+def ix_kw_segments(spark, d):
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id", "pos")
+    return text_index(spark, d).matching(WORDS).withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("source", "doc_id", "pos", "score", "rank")
+
+
 @C.add(with_segments(f"SELECT doc_id, count(*) AS n FROM (SELECT *, {_SCORE} AS score FROM seg) WHERE score > 0 GROUP BY doc_id"))
 def t_kw_count(spark, d):
     return segments(spark, d).filter(search.score(F.col("text"), WORDS) > 0).groupBy("doc_id").agg(F.count("*").alias("n"))

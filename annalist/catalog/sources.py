@@ -8,11 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.catalog.corpus import CATEGORIES, Catalog, segments, vectors, with_segments
+from annalist.catalog.facts import TOKEN_SQL, named_tokens
 from annalist.catalog.vectors import CEN
-from annalist.functions import text as T
+from annalist.functions.pages import main_page_text
 from annalist.operators import providers as P
 from annalist.operators import vectors as V
 from annalist.operators.density import hierarchical_density
+from annalist.operators.ner_stages import entities_by_model
 from annalist.plans.staging import new_path, stage
 from annalist.plans.tables import table
 from annalist.sources import articles, docx, stores
@@ -122,8 +124,9 @@ def src_markdown_vault(spark, d):
     return _vault_rows(articles.article_segments(articles.read_vault(spark, path, "*.txt")))
 
 
-_CUT = r"<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>|<form\b.*?</form>|<table\b.*?</table>|" + "|".join(rf"<{t}\b[^>]*\b(?:class|id)=.comments?\b.*?</{t}>" for t in ("section", "div", "ol", "ul")) + "|<[^>]*>"
-_PLAIN = rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is){_CUT}', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+# on these pages the main text is the article element
+_ARTICLE = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g')"
+_PLAIN = rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace({_ARTICLE}, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
 @C.add(f"""SELECT page_id AS key, md5(coalesce(nullif(CASE WHEN page_id % 5 < 3 THEN {_PLAIN} END, ''), CASE WHEN page_id % 5 = 3 THEN 'von url' END, CASE WHEN page_id % 10 = 4 THEN 'kurz' END)) AS text_md5,
@@ -140,7 +143,7 @@ def src_reference_manager(spark, d):
 
 @C.add(f"SELECT page_id, md5({_PLAIN}) AS text_md5 FROM pages")
 def src_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(T.plain_html_text(F.col("html"))).alias("text_md5"))
+    return table(spark, d, "pages").select("page_id", F.md5(main_page_text(F.col("html"))).alias("text_md5"))
 
 
 @C.add("SELECT doc_id, lang, length(text) AS n FROM documents")
@@ -304,24 +307,59 @@ def v_refine_loop(spark, d):
     return got
 
 
+@C.add()
+def v_assign_dual_loop(spark, d):
+    """Documents by their vectors and words, from their sources on, until none moves."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("label"))
+    v = P.encode(docs, "doc_id", "text", P.HashingEmbedder()).join(docs.select("doc_id", "text"), "doc_id")
+    got, _ = P.assign_dual_loop(v, docs.select("doc_id", "label"), "doc_id", "text")
+    return got
+
+
+#: Refinement: two labels, until it converges, as published (means in between), longer, and with momentum.
+VARIANTS = {
+    "fixed": {"steps": 2, "every": 1}, "convergence": {"steps": 10, "every": 1, "change": 0.02, "stability": 0.97}, "paper": {"steps": 20, "every": 5, "change": 0.02, "stability": 0.97, "between": True},
+    "long": {"steps": 120, "every": 20, "change": 0.02, "stability": 0.97, "between": True}, "momentum": {"steps": 2, "every": 1, "alpha": 0.5},
+}
+
+
 @C.add()
 def v_refine_variants(spark, d):
     v = vectors(spark, d).withColumn("text", F.concat(F.lit("word"), F.translate(F.col("label").cast("string"), "0123456789", "abcdefghij"), F.lit(" more")))
-    got, _ = P.refine(v, _unit_labels(spark, d), "vec_id", "text", P.HashingEmbedder(), steps=2, every=1, alpha=0.5)
-    return got
+    out = None
+    for name, how in VARIANTS.items():
+        got, _ = P.refine(v, _unit_labels(spark, d), "vec_id", "text", P.HashingEmbedder(), **how)
+        got = got.withColumn("variant", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @C.add()
 def v_pca(spark, d):
-    pc, _ = P.principal_components(vectors(spark, d), "vec_id", 2)
-    return pc.select("vec_id", F.round(F.abs(F.col("pc")[0]), 6).alias("pc1"))
+    """Means of the labels on ten principal components."""
+    v = vectors(spark, d)
+    pc, _ = P.principal_components(v, "vec_id", 10)
+    each = pc.join(v.select("vec_id", "label"), "vec_id").select("label", F.posexplode("pc").alias("component", "x"))
+    return each.groupBy("label", "component").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@C.add()
+def v_pca_variance(spark, d):
+    """Share of the variance that each of 50 components explains."""
+    _, shares = P.principal_components(vectors(spark, d), "vec_id", 50)
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(shares)], "component int, share double")
+
+
+@C.add()
+def v_probe_top(spark, d):
+    return P.probe_top(vectors(spark, d), "label", "vec_id").select("label", "rank", "vec_id")
 
 
 @C.add()
 def v_hdbscan(spark, d):
     """Density clusters of the vectors on their principal components."""
     pc, _ = P.principal_components(vectors(spark, d), "vec_id", 50)
-    return hierarchical_density(pc.select("vec_id", V.normalised(F.col("pc")).alias("v")), "vec_id")
+    return hierarchical_density(pc.select("vec_id", F.col("pc").alias("v")), "vec_id")
 
 
 @C.add()
@@ -358,8 +396,10 @@ def v_k_vote(spark, d):
 
 @C.add()
 def v_ner_llm(spark, d):
-    got = P.extract_by_completion(table(spark, d, "benchmark"), "item_id", "text", "Nenne alle:", P.CapitalLister())
-    return got.select("item_id", "ord", "typ", "normalform", F.array_join("aliases", "|").alias("aliases"))
+    """Sample, all texts, variants and clean names; the stand-in for a model lists capitalised words."""
+    prompts = {"extract": "Nenne alle:", "group": "Fasse zusammen:", "normalise": "Bereinige:"}
+    got = entities_by_model(table(spark, d, "benchmark"), ["item_id"], "text", P.CapitalLister(), prompts)
+    return got.select("ord", "typ", "normalform", F.array_join("aliases", "|").alias("aliases"))
 
 
 @C.add("SELECT vec_id, label, round(embedding[1]::DOUBLE, 4) AS x FROM embeddings")
@@ -370,9 +410,9 @@ def snk_experiment_csv(spark, d):
     return spark.read.schema("vec_id long, label int, x double").option("header", "true").csv(path)
 
 
-@C.add("SELECT '# Konzept' || chr(10) || 'The, and, AND' || chr(10) || '# Organisation' || chr(10) || 'Les, des, la' || chr(10) || '# Ort' || chr(10) || 'en, Ble' || chr(10) || '# Person' || chr(10) || 'von' || chr(10) || 'qui, que, The' AS block")
+@C.add(f"""{TOKEN_SQL}, l AS (SELECT typ, ord, normalform || ', ' || aliases[1] || ', ' || aliases[2] AS l FROM known QUALIFY row_number() OVER (PARTITION BY typ ORDER BY ord) <= 3)
+    SELECT string_agg(b, chr(10) ORDER BY b) AS block FROM (SELECT '# ' || typ || chr(10) || string_agg(l, chr(10) ORDER BY ord) AS b FROM l GROUP BY typ)""")
 def p_few_shot(spark, d):
-    from annalist.catalog.facts import entity_list
     from annalist.functions.parsers import few_shot_block
 
-    return few_shot_block(entity_list(spark))
+    return few_shot_block(named_tokens(spark, d, "lang = 'en'"))

@@ -9,6 +9,7 @@ from annalist.catalog.corpus import VECTORS_SQL, Catalog, segments, vectors, wit
 from annalist.operators import entities as E
 from annalist.operators import tfidf
 from annalist.operators import vectors as V
+from annalist.operators.density import best_distance, density_sweep, mutual_reach
 from annalist.plans.tables import table
 
 C = Catalog()
@@ -148,21 +149,53 @@ def v_kmeans(spark, d):
 
 @C.add()
 def v_elbow(spark, d):
-    return V.elbow(V.inertia_curve(vectors(spark, d), range(3, 8)))
+    return V.elbow(V.inertia_curve(vectors(spark, d), range(3, 13)))
 
 
-@C.add(f"""{W}, p AS (SELECT a.vec_id, a.label AS own, b.label, avg(list_distance(a.v, b.v) ** 2) FILTER (WHERE a.vec_id <> b.vec_id) AS d FROM vec a CROSS JOIN vec b GROUP BY ALL),
-    s AS (SELECT vec_id, max(d) FILTER (WHERE own = label) AS a, min(d) FILTER (WHERE own <> label) AS b FROM p GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""")
+_SILHOUETTE = """{w}, p AS (SELECT a.vec_id, a.label AS own, b.label, avg({dist}) FILTER (WHERE a.vec_id <> b.vec_id) AS d FROM vec a CROSS JOIN vec b GROUP BY ALL),
+    s AS (SELECT vec_id, max(d) FILTER (WHERE own = label) AS a, min(d) FILTER (WHERE own <> label) AS b FROM p GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s"""
+
+
+@C.add(_SILHOUETTE.format(w=W, dist="list_distance(a.v, b.v)"))
 def v_silhouette(spark, d):
     return V.silhouette(vectors(spark, d), "label", "vec_id").select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@C.add(_SILHOUETTE.format(w=W, dist="list_cosine_distance(a.v, b.v)"))
+def v_silhouette_cosine(spark, d):
+    return V.silhouette(vectors(spark, d), "label", "vec_id", "cosine").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@C.add()
+def v_silhouette_guard(spark, d):
+    """The number of clusters at which the cosine silhouette stops gaining."""
+    v = vectors(spark, d).drop("label")
+    scored = [(k, V.silhouette(v.join(V.kmeans(v, "vec_id", k), "vec_id"), "cluster", "vec_id", "cosine").first()["silhouette"]) for k in range(2, 7)]
+    return V.guarded_elbow(spark.createDataFrame(scored, "k int, score double"))
+
+
 @C.add(f"""WITH RECURSIVE vec AS ({VECTORS_SQL}), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND {DOT}(a.v, b.v) >= {THETA}), r(a, b) AS (SELECT vec_id, vec_id FROM vec UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
     SELECT a AS vec_id, CASE WHEN count(*) > 1 THEN min(b) END AS cluster FROM r GROUP BY a""")
 def v_dbscan(spark, d):
     return V.dbscan(vectors(spark, d), "vec_id", THETA)
 
 
+EPS = (0.1, 0.15, 0.2, 0.25, 0.5, 0.6, 0.7)
+
+
+@C.add(f"""WITH RECURSIVE vec AS ({VECTORS_SQL}), eps AS (SELECT unnest([{', '.join(f'{e}::DOUBLE' for e in EPS)}]) AS eps), p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_distance(a.v, b.v) AS dist FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND {DOT}(a.v, b.v) >= 0.29),
+    r(eps, a, b) AS (SELECT eps, vec_id, vec_id FROM vec CROSS JOIN eps UNION SELECT r.eps, r.a, p.b FROM r JOIN p ON r.b = p.a AND p.dist <= r.eps),
+    c AS (SELECT eps, a, CASE WHEN count(*) > 1 THEN min(b) END AS cluster FROM r GROUP BY eps, a), s AS (SELECT eps, count(DISTINCT cluster) AS clusters, avg((cluster IS NULL)::INT) AS noise FROM c GROUP BY eps),
+    best AS (SELECT arg_max(eps, (clusters, -noise, -eps)) FILTER (WHERE clusters >= 2 AND noise < 0.3) AS best FROM s)
+    SELECT eps, clusters, round(noise, 6) AS noise, best IS NOT NULL AND eps = best AS chosen FROM s CROSS JOIN best""")
+def v_dbscan_sweep(spark, d):
+    """Clusters and noise at several cosine distances, from one tree, and the distance that is chosen."""
+    unit = vectors(spark, d).select("vec_id", V.normalised(F.col("v")).alias("v"))
+    reach = mutual_reach(unit, "vec_id", 1)
+    sweep = density_sweep(reach, [(2 * e) ** 0.5 for e in EPS], 2)
+    return best_distance(sweep).select(F.round(F.col("eps") * F.col("eps") / 2, 6).alias("eps"), "clusters", F.round("noise", 6).alias("noise"), "chosen")
+
+
 @C.add(f"{W} SELECT vec_id, round(v[3] / n, 6) AS x FROM (SELECT vec_id, v, sqrt(v[3] * v[3] + v[11] * v[11] + v[50] * v[50]) AS n FROM vec)")
 def v_subspace(spark, d):
     return vectors(spark, d).select("vec_id", F.round(V.subspace(F.col("v"), [2, 10, 49])[0], 6).alias("x"))

@@ -303,12 +303,3 @@ def entity_pattern(names: Column) -> Column:
     quoted = F.transform(names, lambda n: F.regexp_replace(n, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1"))
     ordered = F.array_sort(quoted, lambda a, b: F.length(b) - F.length(a))
     return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-
-
-def plain_html_text(html: Column) -> Column:
-    """Main text of a page: scripts, styles, menus, headers, footers, asides, forms, tables, comment sections and tags cut
-    out, the common references decoded, blanks joined. An element ends at the first end tag of its name."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|title|nav|footer|aside|form|table)\b.*?</\1>|<(section|div|ol|ul)\b[^>]*\b(?:class|id)=.comments?\b.*?</\2>|<[^>]*>", " ")
-    for name, ch in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
+from annalist.plans.scan import known_around
 
 
 def _so_far():
@@ -76,22 +77,27 @@ def apply_overrides(segments: DataFrame, overrides: DataFrame) -> DataFrame:
     ).drop("o")
 
 
-def interpolate(segments: DataFrame, source: str = "source") -> DataFrame:
+def interpolate(segments: DataFrame, source: str = "source", spread: bool = False) -> DataFrame:
     """Date undated rows from dated neighbours of the same source and document.
 
     Between two dated rows the span from the earlier to the later one's year, after the last one its year, before the first
     nothing. Rows dated by a decade only have no year and give none. Rows flagged ``undatable`` (if there is such a column)
-    neither receive nor provide; the flag is removed.
+    neither receive nor provide; the flag is removed. ``spread`` is for documents that a task can't sort: their rows are dealt out by
+    ranges, at the price of a written table.
     """
     rows = segments if "undatable" in segments.columns else segments.withColumn("undatable", F.lit(False))
     year = F.when(~F.col("undatable"), T.representative_year(F.col("time_from"), F.col("time_to")))
-    w = Window.partitionBy("doc_id", F.coalesce(F.col(source), F.lit(""))).orderBy("pos")
-    rows = rows.withColumn("_y", year).withColumns(
-        {
-            "_prev": F.last("_y", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "_next": F.first("_y", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
+    rows = rows.withColumn("_y", year).withColumn("_in", F.coalesce(F.col(source), F.lit("")))
+    if spread:
+        rows = known_around(rows, ["doc_id", "_in"], ["pos"], F.col("_y"), "_prev", "_next")
+    else:
+        w = Window.partitionBy("doc_id", "_in").orderBy("pos")
+        rows = rows.withColumns(
+            {
+                "_prev": F.last("_y", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                "_next": F.first("_y", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            }
+        )
     fill = F.col("_y").isNull() & ~F.col("undatable") & F.col("_prev").isNotNull()
     return rows.withColumns(
         {
@@ -99,7 +105,7 @@ def interpolate(segments: DataFrame, source: str = "source") -> DataFrame:
             "time_to": F.when(fill, F.coalesce("_next", "_prev")).otherwise(F.col("time_to")),
             "precision": F.when(fill, "interpolated").otherwise(F.col("precision")),
         }
-    ).drop("_y", "_prev", "_next", "undatable")
+    ).drop("_y", "_in", "_prev", "_next", "undatable")
 
 
 def interpolate_by_type(segments: DataFrame, doc_type: str = "doc_type") -> DataFrame:

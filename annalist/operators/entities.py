@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from annalist.operators.components import connected_components
 from annalist.plans.numbering import numbered
 from annalist.plans.staging import discard, stage
 
-#: Entities up to this many are patterns of one expression; a longer list is matched by joining words.
+#: Entities up to this many are patterns of one expression; a longer list is an automaton.
 PATTERNS = 256
+#: Memory of an automaton's sign at most, as measured, and of the automaton that is sent to all tasks.
+NODE_BYTES, AUTOMATON_BYTES = 80, 1 << 27
 # Priorities of sources in the merge, the smallest being the strongest; others come last.
 SOURCE_PRIORITY = {
     "seed": 0,
@@ -39,24 +43,104 @@ def match_entities(rows: DataFrame, entities: DataFrame, text: str = "text") ->
     """Add ``actors``: normal forms of the entities that occur in the text as whole words, in the order of the list.
 
     Case does not count. Up to ``PATTERNS`` entities of the list (``ord``, ``normalform``, ``aliases``) are one pattern each in
-    an expression, compiled once per task, in one scan of the rows. Beyond that, names are found by an equi-join on their
-    first word (a name without letters and digits: on its first sign) and then checked with their pattern. Both find the same.
+    an expression, compiled once per task. A longer list is an automaton of all names (:class:`NameAutomaton`), in as many parts as
+    ``AUTOMATON_BYTES`` ask for; each part is sent to all tasks and reads every text once. Both find the same, and no row is shuffled.
     """
     named = entities.withColumn("_names", T.names_of(F.col("normalform"), F.col("aliases"))).filter(F.size("_names") > 0)
-    pats = named.select("ord", "normalform", T.entity_pattern(F.col("_names")).alias("_p"), "_names")
-    few = pats.select("ord", "normalform", "_p").limit(PATTERNS + 1).collect()
+    pats = named.select("ord", "normalform", T.entity_pattern(F.col("_names")).alias("_p"))
+    few = pats.limit(PATTERNS + 1).collect()
+    none = F.array().cast("array<string>")
     if len(few) <= PATTERNS:
         hits = [F.when(F.rlike(F.col(text), F.lit(r["_p"])), F.lit(r["normalform"])) for r in sorted(few, key=lambda r: r["ord"])]
-        none = F.array().cast("array<string>")
         return rows.withColumn("actors", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
-    keyed = rows.withColumn("_row", F.xxhash64(*[c for c in rows.columns]))
-    word = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    signs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[^\p{L}\p{N}_\s]"), F.lit(0)))
-    keys = lambda c: F.concat(word(c), signs(c))
-    first = pats.withColumn("_n", F.explode("_names")).select("ord", "normalform", "_p", F.get(keys(F.col("_n")), 0).alias("_w")).distinct()
-    found = keyed.select("_row", text, F.explode(keys(F.col(text))).alias("_w")).join(first, "_w").filter(F.rlike(F.col(text), F.col("_p")))
-    lists = found.select("_row", "ord", "normalform").distinct().groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "normalform"))), lambda x: x["normalform"]).alias("actors"))
-    return keyed.join(lists, "_row", "left").withColumn("actors", F.coalesce("actors", F.array().cast("array<string>"))).drop("_row")
+    names = stage(named.select("ord", "normalform", F.explode("_names").alias("name")).withColumn("_bytes", F.length("name") * NODE_BYTES), "names")
+    found = [c(F.col(text)) for c in (_finder(rows, part) for part in _name_parts(names))]
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
+    return rows.withColumn("actors", F.transform(every, lambda x: x["normalform"]))
+
+
+def _name_parts(names: DataFrame) -> Iterator[DataFrame]:
+    """Names in ranges of their first signs, each small enough for one automaton; one at a time is taken to the driver.
+
+    Names with one sign in front that are too many are cut by their next signs.
+    """
+    depth, todo = 1, [names]
+    while todo:
+        heads = [t.groupBy(F.substring("name", 1, depth).alias("head")).agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")) for t in todo]
+        later: list[DataFrame] = []
+        for t, h in zip(todo, heads, strict=True):
+            if (h.agg(F.sum("b")).first()[0] or 0) <= AUTOMATON_BYTES:
+                yield t
+                continue
+            own, size = [], 0
+            for r in h.orderBy("head").toLocalIterator():  # a row per head, read in order
+                head = F.substring("name", 1, depth) == r["head"]
+                if r["b"] > AUTOMATON_BYTES and r["n"] > 1 and len(r["head"]) == depth:
+                    later.append(t.filter(head))
+                    continue
+                if own and size + r["b"] > AUTOMATON_BYTES:
+                    yield t.filter(F.substring("name", 1, depth).isin(own))
+                    own, size = [], 0
+                own, size = [*own, r["head"]], size + r["b"]
+            if own:
+                yield t.filter(F.substring("name", 1, depth).isin(own))
+        todo, depth = later, depth + 1
+
+
+class _Fold(dict):
+    """Code point to the one that stands for it whatever the case, one for one, as in patterns that ignore case."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        up = c.upper() if len(c.upper()) == 1 else c
+        low = up.lower() if len(up.lower()) == 1 else up
+        self[code] = ord("i") if code == 0x130 else ord(low)
+        return self[code]
+
+
+class _InWord(dict):
+    """Whether a sign is a letter, a digit or an underscore."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = c == "_" or unicodedata.category(c)[0] in "LN"
+        return self[c]
+
+
+class NameAutomaton:
+    """Finds many names in one pass over a text: an Aho-Corasick automaton with a check of word boundaries."""
+
+    def __init__(self, names: Iterable[tuple[int, str, str]]):
+        """``names``: order, normal form and name of entities."""
+        self.fold, self.in_word, owners = _Fold(), _InWord(), {}
+        for order, normalform, name in names:
+            owners.setdefault(name.translate(self.fold), set()).add((order, normalform))
+        self.automaton = ahocorasick.Automaton()
+        for name, own in owners.items():
+            self.automaton.add_word(name, (len(name), sorted(own)))
+        self.automaton.make_automaton()
+
+    def find(self, text: str | None) -> list[tuple[int, str]]:
+        """Order and normal form of the entities in ``text``."""
+        if not text or not len(self.automaton):
+            return []
+        low, n, got = text.translate(self.fold), len(text), set()
+        for end, (size, own) in self.automaton.iter(low):
+            if not (end >= size and self.in_word[text[end - size]]) and not (end + 1 < n and self.in_word[text[end + 1]]):
+                got.update(own)
+        return sorted(got)
+
+
+def _finder(rows: DataFrame, names: DataFrame) -> Callable[[Column], Column]:
+    """A function that finds the entities of ``names`` in a text: ``ord``, ``normalform``."""
+    automaton = NameAutomaton((r["ord"], r["normalform"], r["name"]) for r in names.toLocalIterator())
+    sent = rows.sparkSession.sparkContext.broadcast(automaton)
+
+    @F.pandas_udf("array<struct<ord:long,normalform:string>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[{"ord": o, "normalform": f} for o, f in sent.value.find(t)] for t in texts], index=texts.index, dtype=object)
+
+    return find
 
 
 def drop_rejected(entities: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -191,14 +275,14 @@ def merge_proposal(proposals: DataFrame, seed: DataFrame, rejected: DataFrame) -
     return skipped.unionByName(every.groupBy("_group").applyInPandas(fold, "ord long, normalform string, typ string, status string, into string"))
 
 
-def greedy_pairs(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """A matching of near-duplicate pairs (``a``, ``b``, ``sim``): the most similar first, each entity once.
 
     Taking the best pair again and again is the same as taking, in each round, all pairs that are the best of both their
-    ends. Ties go to the smaller ids.
+    ends. Ties go to the smaller ids. Rounds go on until no pair is left: of those that are, the best one is always taken.
     """
     left, chosen = stage(pairs.select("a", "b", "sim"), "pairs"), None
-    for _ in range(max_rounds):
+    while True:
         ends = left.select(F.col("a").alias("x"), "sim", "a", "b").unionByName(left.select(F.col("b").alias("x"), "sim", "a", "b"))
         order = F.struct(F.col("sim"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
         best = ends.groupBy("x").agg(F.max(order).alias("m")).select("x", (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"))

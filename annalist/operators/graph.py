@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.plans.staging import stage
+from annalist.plans.staging import discard, stage
+
+#: Pairs of actors of a graph that one task takes.
+TAIL_EDGES = 1 << 20
 
 # Spans in days up to which a bin is a day, a week, a month; gaps in days that a run may have, by bin.
 BIN_DAYS = (("day", 50), ("week", 350), ("month", 1500))
@@ -37,23 +43,66 @@ def pair_totals(e: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.sum("n").alias("total"), F.countDistinct("event_type").alias("types"))
 
 
-def k_core(e: DataFrame, nodes: DataFrame, least: int = 2, max_rounds: int = 200) -> DataFrame:
+def core_numbers(e: DataFrame) -> DataFrame:
+    """Core number of each actor: the largest ``k`` such that it is in a part of the graph whose actors have ``k`` edges each: ``actor``, ``core``.
+
+    Parallel edges count separately. Every actor starts from its number of edges; then it takes the largest ``h`` for which ``h`` of
+    its edges lead to actors with at least ``h``, until nothing changes, which is the core number. Only neighbours of actors that
+    changed are counted again. Rounds end when nothing changes; as a long chain is worn off one actor a round, a graph of at
+    most ``TAIL_EDGES`` pairs is finished in a task (:func:`_peel`), which bounds the rounds that small graphs take.
+    """
+    c = F.col
+    both = e.select(c("a").alias("x"), c("b").alias("y")).unionAll(e.select(c("b").alias("x"), c("a").alias("y")))
+    pairs = stage(both.groupBy("x", "y").agg(F.count("*").alias("m")), "pairs")
+    if pairs.limit(2 * TAIL_EDGES + 1).count() <= 2 * TAIL_EDGES:
+        return stage(pairs.filter("x <= y").groupBy(F.spark_partition_id() * 0).applyInPandas(_peel, f"actor {e.schema['a'].dataType.simpleString()}, core long"), "cores")
+    now = stage(pairs.groupBy("x").agg(F.sum("m").alias("h")), "cores")
+    changed = now.select("x")
+    while not changed.isEmpty():
+        asked = pairs.join(changed.select(c("x").alias("y")), "y", "left_semi").select("x").distinct()
+        seen = pairs.join(asked, "x", "left_semi").join(now.select(c("x").alias("y"), "h"), "y")
+        falling = Window.partitionBy("x").orderBy(F.desc("h")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        grouped = seen.groupBy("x", "h").agg(F.sum("m").alias("m")).withColumn("reach", F.sum("m").over(falling))
+        new = grouped.groupBy("x").agg(F.max(F.least("h", "reach")).alias("_h"))
+        both = stage(now.join(new, "x", "left").select("x", F.least("h", F.coalesce("_h", "h")).alias("h"), (c("_h") < c("h")).alias("fell")), "cores")
+        discard(now)
+        now, changed = both.select("x", "h"), both.filter("fell").select("x")
+        now._staged_at = both._staged_at
+    return now.select(c("x").alias("actor"), c("h").alias("core"))
+
+
+def _peel(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Core numbers by taking the actors with the fewest edges away first."""
+    names, ends = pd.factorize(pd.concat([pdf["x"], pdf["y"]]))[::-1]
+    n, size = len(names), len(pdf)
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    degree = [0] * n
+    for i, j, m in zip(ends[:size].tolist(), ends[size:].tolist(), pdf["m"].tolist(), strict=True):
+        for p, q in ((i, j), (j, i)) if i != j else ((i, j),):
+            near[p].append((q, m))
+            degree[p] += m
+    heap, core, k = [(x, i) for i, x in enumerate(degree)], [-1] * n, 0
+    heapq.heapify(heap)
+    while heap:
+        x, i = heapq.heappop(heap)
+        if core[i] >= 0 or x != degree[i]:
+            continue
+        k = core[i] = max(k, x)
+        for j, m in near[i]:
+            if core[j] < 0:
+                degree[j] -= m
+                heapq.heappush(heap, (degree[j], j))
+    return pd.DataFrame({"actor": names, "core": core})
+
+
+def k_core(e: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """Nodes left when those with fewer than ``least`` visible edges are dropped again and again: ``actor``.
 
-    ``nodes`` are the candidates (by rank, type and the like); parallel edges count separately. Each round is a table in the
-    shared folder, so a lost executor costs that round only.
+    ``nodes`` are the candidates (by rank, type and the like); parallel edges count separately.
     """
-    live = stage(nodes.select("actor").distinct(), "core")
-    size = live.count()
-    for _ in range(max_rounds):
-        inside = e.join(live.select(F.col("actor").alias("a")), "a", "left_semi").join(live.select(F.col("actor").alias("b")), "b", "left_semi")
-        ends = inside.select(F.col("a").alias("actor")).unionAll(inside.select(F.col("b").alias("actor")))
-        live = stage(ends.groupBy("actor").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("actor"), "core")
-        now = live.count()
-        if now == size:
-            break
-        size = now
-    return live
+    live = nodes.select("actor").distinct()
+    inside = e.join(live.select(F.col("actor").alias("a")), "a", "left_semi").join(live.select(F.col("actor").alias("b")), "b", "left_semi")
+    return core_numbers(inside).filter(F.col("core") >= least).select("actor")
 
 
 def ego(e: DataFrame, focus: str) -> DataFrame:

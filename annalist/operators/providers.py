@@ -214,33 +214,82 @@ def label_text(strategy: str, name: Column, description: Column, keywords: Colum
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def refine(rows: DataFrame, labels: DataFrame, key: str, text: str, provider: EmbeddingProvider, steps: int = 20, every: int = 5, alpha: float = 0.0, gain: float = 0.01) -> tuple[DataFrame, list[float]]:
+def refine(
+    rows: DataFrame, labels: DataFrame, key: str, text: str, provider: EmbeddingProvider, steps: int = 20, every: int = 5, alpha: float = 0.0, gain: float = 0.01,
+    change: float | None = None, stability: float | None = None, between: bool = False,
+) -> tuple[DataFrame, list[float]]:
     """Refine label vectors: assign rows, and every ``every`` steps embed each cluster's keywords as its new label.
 
-    ``labels`` has ``ord``, ``c``; with ``alpha`` the new vector is mixed with the old. A label whose cosine to its old self
-    is within ``gain`` of 1 is frozen; the loop ends when all are or after ``steps``. Returns assignments and the share of
-    rows moved in each step. Each step's tables are written to the shared folder.
+    ``labels`` has ``ord``, ``c``; with ``alpha`` the new vector is mixed with the old. In the steps ``between``, labels become their
+    clusters' unit means. A label whose cosine to its old self is within ``gain`` of 1 is frozen, unless there is a rule of convergence: the loop
+    then ends after a new label if fewer than ``change`` of the rows moved and labels are on average closer than ``stability`` to
+    what they were when last embedded. Else it ends when all are frozen or after ``steps``. Steps that can't change anything are
+    skipped. Returns assignments and the share of rows moved in each step that was made. Each step's tables are written to the shared folder.
     """
     from annalist.operators import tfidf
 
-    now, moves, old = stage(labels.select("ord", "c").withColumn("frozen", F.lit(False)), "labels"), [], None
-    data = stage(rows.select(key, "v", text), "refine")
-    for step in range(1, steps + 1):
+    c = F.col
+    now, moves, old = stage(labels.select("ord", "c", c("c").alias("before"), F.lit(False).alias("frozen")), "labels"), [], None
+    data, rule, step = stage(rows.select(key, "v", text), "refine"), change is not None and stability is not None, 0
+    while step < steps:
+        step += 1
         got = stage(V.ranked_labels(data, now, key).select(key, "label"), "assigned")
+        moved = 1.0
         if old is not None:
-            moves.append(got.join(old.withColumnRenamed("label", "_o"), key).agg(F.avg((F.col("label") != F.col("_o")).cast("double"))).first()[0] or 0.0)
+            moved = got.join(old.withColumnRenamed("label", "_o"), key).agg(F.avg((c("label") != c("_o")).cast("double"))).first()[0] or 0.0
+            moves.append(moved)
         old = got
         if step % every == 0:
-            words = tfidf.cluster_keywords(data.join(got, key), key, "label", tfidf.words_of(F.col(text)))
+            words = tfidf.cluster_keywords(data.join(got, key), key, "label", tfidf.words_of(c(text)))
             joined = words.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("t"))
             new = encode(joined, "label", "t", provider).withColumnRenamed("v", "n")
-            mixed = now.join(new, now["ord"] == new["label"], "left").withColumn("n", F.when(F.col("n").isNull() | F.col("frozen"), F.col("c")).otherwise(V.momentum(F.col("c"), F.col("n"), alpha)))
-            now = stage(mixed.select("ord", F.col("n").alias("c"), (F.col("frozen") | (V.dot("c", "n") > 1 - gain)).alias("frozen")), "labels")
-            if now.filter(~F.col("frozen")).isEmpty():
+            mixed = now.join(new, now["ord"] == new["label"], "left").withColumn("n", F.when(c("n").isNull() | c("frozen"), c("c")).otherwise(V.momentum(c("c"), c("n"), alpha)))
+            frozen = F.lit(False) if rule else c("frozen") | (V.dot("c", "n") > 1 - gain)
+            now = stage(mixed.select("ord", c("n").alias("c"), c("n").alias("before"), V.dot("before", "n").alias("same"), frozen.alias("frozen")), "labels")
+            if rule and moved < change and (now.agg(F.avg("same")).first()[0] or 0.0) > stability:
+                break
+            if now.filter(~c("frozen")).isEmpty():
                 break
+        elif between:
+            centre = V.centroids(data.join(got, key), "label").select(c("label").alias("_l"), c("c").alias("_c"))
+            now = stage(now.join(centre, c("ord") == c("_l"), "left").select("ord", F.coalesce("_c", "c").alias("c"), "before", "frozen"), "labels")
+        if moved == 0.0 and step % every:  # nothing moves before the next label is embedded
+            step += every - step % every - 1
     return old, moves
 
 
+def assign_dual_loop(rows: DataFrame, labels: DataFrame, key: str, text: str, alpha: float = 0.7, most: int = 5, **limits: float) -> tuple[DataFrame, list[int]]:
+    """Clusters (``key``, ``label``) by ``alpha`` times the cosine to each cluster's mean vector and the rest that to its mean tf-idf weights, and the
+    rows moved in each step; until none moves, ``most`` steps at most, which is part of the method.
+
+    ``rows`` has ``v`` and a text. Weights are made once; a step is joins and aggregates on them. ``limits`` are those of
+    :func:`annalist.operators.tfidf.weights`.
+    """
+    from annalist.operators import tfidf
+
+    c = F.col
+    data = stage(rows.select(key, V.normalised(c("v")).alias("v"), text), "dual")
+    w = stage(tfidf.weights(data, key, tfidf.words_of(c(text)), **limits), "weights")
+    now, moves = stage(labels.select(key, "label"), "assigned"), []
+    for _ in range(most):
+        centre = V.centroids(data.join(now, key), "label")
+        if centre.limit(V.MOST_LABELS + 1).count() > V.MOST_LABELS:
+            raise ValueError(f"more than {V.MOST_LABELS} labels")
+        semantic = data.select(key, "v").crossJoin(F.broadcast(centre)).select(key, "label", V.dot("v", "c").alias("s"))
+        size = now.groupBy("label").agg(F.count("*").alias("_n"))
+        mean = w.join(now, key).groupBy("label", "term").agg(F.sum("w").alias("_w")).join(size, "label").select("label", "term", (c("_w") / c("_n")).alias("_w"))
+        length = mean.groupBy("label").agg(F.greatest(F.sqrt(F.sum(c("_w") * c("_w"))), F.lit(V.FLOOR)).alias("_len"))
+        unit = mean.join(length, "label").select("label", "term", (c("_w") / c("_len")).alias("_w"))
+        lexical = w.join(unit, "term").groupBy(key, "label").agg(F.sum(c("w") * c("_w")).alias("s"))
+        new = stage(assign_dual(semantic, lexical, key, alpha), "assigned")
+        moves.append(new.join(now.withColumnRenamed("label", "_o"), key).filter(c("label") != c("_o")).count())
+        discard(now)
+        now = new
+        if not moves[-1]:
+            break
+    return now, moves
+
+
 def assign_dual(semantic: DataFrame, lexical: DataFrame, key: str, alpha: float = 0.7) -> DataFrame:
     """Best label by ``alpha`` times a semantic plus the rest a lexical score (both ``key``, ``label``, ``s``), ties to the smaller label."""
     both = semantic.withColumnRenamed("s", "a").join(lexical.withColumnRenamed("s", "b"), [key, "label"], "full")
@@ -272,6 +321,17 @@ def linear_probe(rows: DataFrame, label: str, folds: int = 5, seed: int = 42) ->
     return probe_predictions(rows, label, folds, seed).groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def probe_top(rows: DataFrame, label: str, key: str, top: int = 20) -> DataFrame:
+    """The ``top`` rows of each label by the probability that a logistic regression on all rows gives it: ``label``, ``rank``, ``key``, ``probability``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = stage(rows.select(key, F.col(label).cast("double").alias("label"), "v"), "probe").withColumn("features", array_to_vector("v"))
+    got = LogisticRegression(maxIter=20).fit(data).transform(data).select(key, F.posexplode(vector_to_array("probability")).alias("label", "probability"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("probability"), key))
+    return got.withColumn("rank", rank).filter(F.col("rank") <= top).select("label", "rank", key, "probability")
+
+
 def stable_dimensions(rows: DataFrame, label: str, top: int = 50, splits: int = 5) -> list[int]:
     """Dimensions that are among the ``top`` by largest weight in every one of several random splits."""
     from pyspark.ml.classification import LogisticRegression
@@ -288,14 +348,19 @@ def stable_dimensions(rows: DataFrame, label: str, top: int = 50, splits: int =
 
 
 def principal_components(rows: DataFrame, key: str, k: int) -> tuple[DataFrame, list[float]]:
-    """Projection on ``k`` principal components of the centred vectors, and the share of variance each explains."""
+    """Projection on ``k`` principal components of the centred vectors, and the share of variance each explains.
+
+    A component's sign is arbitrary; here its largest weight is positive.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     mean = V.means(rows.withColumn("_g", F.lit(0)), ["_g"]).select(F.col("v").alias("_m"))
     data = rows.crossJoin(mean).select(key, array_to_vector(F.zip_with("v", "_m", lambda x, y: x - y)).alias("x"))
     model = PCA(k=k, inputCol="x", outputCol="y").fit(data)
-    return model.transform(data).select(key, vector_to_array("y").alias("pc")), list(model.explainedVariance)
+    axes = model.pc.toArray()
+    signs = F.array(*[F.lit(1.0 if axes[np.abs(axes[:, i]).argmax(), i] >= 0 else -1.0) for i in range(axes.shape[1])])
+    return model.transform(data).select(key, F.zip_with(vector_to_array("y"), signs, lambda x, s: x * s).alias("pc")), list(model.explainedVariance)
 
 
 def _uniform(seed: int) -> Column:

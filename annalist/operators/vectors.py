@@ -12,17 +12,25 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators import blocks as B
 from annalist.operators.components import connected_components
+from annalist.plans.scan import known_around
 from annalist.plans.staging import stage
 
 FLOOR = 1e-9
 #: Vectors of a block in the search for close pairs, and the most pivots that blocks lie around.
 BLOCK_ROWS, PIVOTS = 1024, 128
+#: Vectors from which axes are taken: a sample that decides how soon pairs are ruled out, never which are found.
+SAMPLE = 2048
+#: Shares of the axes after which pairs are ruled out, the share of pairs from which on the others are multiplied one by one, and
+#: rows and pairs that are handled at once.
+PART_DIMS, FEW_LEFT, TILE_ROWS, PAIRS_AT_ONCE = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8), 1 / 64, 256, 1 << 16
 #: Fits of clusters that run at once.
 FITS_AT_ONCE = 8
 #: Labels that every row is compared with.
@@ -86,18 +94,62 @@ def classify(rows: DataFrame, labels: DataFrame, key: str, high: float = HIGH, m
     return r.withColumn("confidence", F.when(F.col("score") > high, "high").when(F.col("score") > medium, "medium").otherwise("low"))
 
 
-def close_pairs(rows: DataFrame, key: str, low: float, high: float = 2.0) -> DataFrame:
+def _turned(sample: np.ndarray) -> np.ndarray:
+    """Axes in which the sample's vectors are longest first."""
+    return np.linalg.eigh(sample.T @ sample)[1][:, ::-1].astype(np.float32)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, axes: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs of rows of ``x`` and ``y`` with an inner product from ``low`` to ``high``: places, products, and how many were multiplied in full.
+
+    Partial products are float32 with an allowance for their rounding; what is left is multiplied as given.
+    """
+    d = x.shape[1]
+    steps = sorted({max(1, round(d * f)) for f in PART_DIMS} | {d})
+    xt, yt = x.astype(np.float32) @ axes, y.astype(np.float32) @ axes
+    rest = lambda v: [np.sqrt(np.maximum((v[:, s:].astype(float) ** 2).sum(1), 0)).astype(np.float32) for s in steps]
+    x_rest, y_rest = rest(xt), rest(yt)
+    longest = float(np.sqrt((x * x).sum(1).max(initial=0) * (y * y).sum(1).max(initial=0)))
+    slack = np.float32((4 * d + 8) * 2.0**-23 * longest)
+    found, full = [], 0
+    for a in range(0, len(x), TILE_ROWS):
+        part, at = np.zeros((len(xt[a : a + TILE_ROWS]), len(yt)), np.float32), 0
+        for i, s in enumerate(steps):
+            part += xt[a : a + TILE_ROWS, at:s] @ yt[:, at:s].T
+            more = np.outer(x_rest[i][a : a + TILE_ROWS], y_rest[i]) + slack
+            alive, at = (part + more >= low) & (part - more <= high), s
+            left = int(alive.sum())
+            if left <= FEW_LEFT * alive.size:
+                break
+        full += left if at < d else alive.size
+        r, c = np.nonzero(alive)
+        for b in range(0, len(r), PAIRS_AT_ONCE):
+            i, j = r[b : b + PAIRS_AT_ONCE] + a, c[b : b + PAIRS_AT_ONCE]
+            sim = (x[i] * y[j]).sum(1)
+            ok = (sim >= low) & (sim <= high)
+            found.append((i[ok], j[ok], sim[ok]))
+    none = np.empty(0, int)
+    i, j, sim = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (none, none, none.astype(float))
+    return i, j, sim, full
+
+
+def close_pairs(rows: DataFrame, key: str, low: float, high: float = 2.0, compared: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """Pairs (``a`` < ``b``) of unit vectors with a cosine from ``low`` to ``high``: ``sim``. Rows with a null key have none.
 
     Vectors are put into cells around pivots, which are vectors of the data, and cells into blocks of some ``BLOCK_ROWS``.
     Angles obey the triangle inequality, so a vector is sent to the blocks of a cell only if its angle to that pivot is within
-    the wanted angle plus the cell's radius; two blocks that meet are compared by matrix products. Exact. Where the data has
-    no clusters or the threshold is low, little is ruled out, each vector goes to every block and the work is quadratic.
+    the wanted angle plus the cell's radius. Two blocks that meet are compared on axes turned so that the first ones hold most of the
+    data's length: after each few axes, pairs whose inner product so far and the lengths that are left can't reach the limits are out,
+    and only what remains is multiplied in full (:func:`_meet`). Exact: the axes come from a bounded sample, and decide how soon
+    pairs are out. Where the data has no shape or the threshold is low, few blocks are ruled out and the work is quadratic.
+    ``compared`` counts the pairs that were multiplied in full and all pairs of blocks that met.
     """
     spark, c = rows.sparkSession, F.col
     data = rows.filter(c(key).isNotNull()).select(c(key).alias("k"), "v")
     n = data.count()
-    pivots = np.array([r["v"] for r in data.orderBy(F.xxhash64(F.lit(3), "k")).limit(min(PIVOTS, max(1, n // BLOCK_ROWS))).select("v").collect()], float)
+    sample = np.array([r["v"] for r in data.orderBy(F.xxhash64(F.lit(3), "k")).limit(SAMPLE).select("v").collect()], float)
+    axes = _turned(sample) if len(sample) else np.zeros((1, 1), np.float32)
+    pivots = sample[: min(PIVOTS, max(1, n // BLOCK_ROWS))]
     pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), FLOOR) if len(pivots) else np.zeros((1, 1))
     reach = math.acos(max(-1.0, min(1.0, low))) + 1e-6 if low > 0 else 4.0
     kind = rows.schema[key].dataType.simpleString()
@@ -140,9 +192,11 @@ def close_pairs(rows: DataFrame, key: str, low: float, high: float = 2.0) -> Dat
         second = np.asarray(t["second"])
         k, v = np.array(t["k"].to_pylist()), matrix(t["v"].combine_chunks())
         x, y = (np.flatnonzero(~second), np.flatnonzero(second)) if t["p"][0] != t["q"][0] else (np.arange(len(k)),) * 2
-        s = v[x] @ v[y].T
-        i, j = np.nonzero((s >= low) & (s <= high))
-        a, b, sim = k[x[i]], k[y[j]], s[i, j]
+        i, j, sim, full = _meet(v[x], v[y], axes, low, high)
+        if compared:
+            compared[0].add(full)
+            compared[1].add(len(x) * len(y))
+        a, b = k[x[i]], k[y[j]]
         keep = a != b if t["p"][0] != t["q"][0] else a < b
         a, b, sim = a[keep], b[keep], sim[keep]
         return pa.table({"a": pa.array(np.where(a < b, a, b).tolist(), t["k"].type), "b": pa.array(np.where(a < b, b, a).tolist(), t["k"].type), "sim": pa.array(sim, pa.float64())})
@@ -195,11 +249,14 @@ def intra_similarity(rows: DataFrame, by: str) -> DataFrame:
 
 
 def neighbour_mean(rows: DataFrame, by: str, order: str, short: Column) -> DataFrame:
-    """Vectors of short texts replaced by the unit mean of the previous, own and next original vector."""
-    w = Window.partitionBy(by).orderBy(order)
+    """Vectors of short texts replaced by the unit mean of the previous, own and next original vector.
+
+    A group of any size is spread over all tasks (:func:`known_around`).
+    """
     add = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
-    total = add(add(F.col("v"), F.lag("v").over(w)), F.lead("v").over(w))
-    return rows.withColumn("v", F.when(short, normalised(total)).otherwise(F.col("v")))
+    around = known_around(rows, [by], [order], F.struct("v"), "_back", "_forth")
+    total = add(add(F.col("v"), F.col("_back.v")), F.col("_forth.v"))
+    return around.withColumn("v", F.when(short, normalised(total)).otherwise(F.col("v"))).drop("_back", "_forth")
 
 
 def momentum(old: Column, new: Column, alpha: float) -> Column:
@@ -265,16 +322,71 @@ def dbscan(rows: DataFrame, key: str, low: float, least: int = 2) -> DataFrame:
     return rows.select(key).join(every, key, "left")
 
 
-def silhouette(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """Mean silhouette by squared Euclidean distance, from per-cluster sums instead of pairs: one row ``silhouette``."""
-    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.pow(norm("v"), 2)).alias("sq")).join(means(rows, [by]).withColumnRenamed("v", "m"), by)
-    one = stats.agg(F.collect_list(F.struct(F.col(by).alias("k"), "n", "sq", "m")).alias("_c"))
-    mean_d = lambda x: F.pow(norm("v"), 2) + x["sq"] - 2 * dot(F.col("v"), x["m"])
-    own = F.filter("_c", lambda x: x["k"] == F.col(by))[0]
-    a = F.when(own["n"] > 1, mean_d(own) * own["n"] / (own["n"] - 1))
-    b = F.array_min(F.transform(F.filter("_c", lambda x: x["k"] != F.col(by)), mean_d))
-    s = F.when(a.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b))
-    return rows.crossJoin(one).select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
+def _own_and_next(rows: DataFrame, by: str) -> Column:
+    """Silhouette of a row from ``_d``, its summed distances to the rows of each cluster (``c``, ``n``, ``s``), itself not among them."""
+    own = F.filter("_d", lambda x: x["c"] == F.col(by))[0]
+    a = F.when(own["n"] > 1, own["s"] / (own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("_d", lambda x: x["c"] != F.col(by)), lambda x: x["s"] / x["n"]))
+    most = F.greatest(a, b)
+    return F.when(a.isNull() | (most == 0), 0.0).otherwise((b - a) / most)
+
+
+def silhouette(rows: DataFrame, by: str, key: str, metric: str = "euclidean") -> DataFrame:
+    """Mean silhouette of the clusters ``by``: one row ``silhouette``; null for fewer than two clusters.
+
+    A row's score is (b - a) / max(a, b) for its mean distances a to the others of its cluster and b to the rows of the
+    nearest other one; 0 for a cluster of one row. By ``cosine`` distance the sums come from each cluster's sum of unit vectors.
+    Euclidean distances have no such short cut: blocks of rows are compared by matrix products, and what is shuffled is one sum
+    per row, block and cluster. Clusters are as many as people can look at, ``MOST_LABELS`` at most, which is checked.
+    """
+    c = F.col
+    data = stage(rows.filter(c(key).isNotNull() & c(by).isNotNull()).select(c(key).alias("k"), c(by).alias("by"), "v"), "silhouette")
+    sizes = data.groupBy("by").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} clusters")
+    if metric == "cosine":
+        unit = data.withColumn("v", normalised(c("v")))
+        sums = means(unit, ["by"]).join(sizes, "by").select(F.struct(c("by").alias("c"), "n", F.transform("v", lambda x: x * c("n")).alias("m")).alias("x"))
+        one = sums.agg(F.collect_list("x").alias("_c"))  # one row for all clusters
+        itself = 1 - dot("v", "v")
+        far = F.transform("_c", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), (x["n"] - dot(c("v"), x["m"]) - F.when(x["c"] == c("by"), itself).otherwise(0.0)).alias("s")))
+        scored = unit.crossJoin(F.broadcast(one)).withColumn("_d", far)
+    elif metric == "euclidean":
+        blocked, blocks = B.in_blocks(data, "k", ["by"])
+        pairs = B.each_pair(blocked, blocks, ["by"])
+        kind, cluster = data.schema["k"].dataType.simpleString(), data.schema["by"].dataType.simpleString()
+
+        def total(t: pa.Table) -> pa.Table:
+            second, k, v, by_row = np.asarray(t["second"]), B.keys(t["k"]), B.matrix(t["v"]), B.keys(t["by"])
+            same = t["p"][0].as_py() == t["q"][0].as_py()
+            x, y = (np.arange(len(k)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+            out = []
+            for own, others in ((x, y),) if same else ((x, y), (y, x)):
+                names, at = np.unique(by_row[others], return_inverse=True)
+                member = np.zeros((len(others), len(names)))
+                member[np.arange(len(others)), at] = 1
+                for i in range(0, len(own) if len(others) else 0, B.TILE_ROWS):
+                    part = own[i : i + B.TILE_ROWS]
+                    sums = B.distances(v[part], v[others], same_from=i if same else None) @ member
+                    r, j = np.nonzero(np.ones_like(sums))
+                    out.append((k[part][r], names[j], sums.ravel()))
+            keys, clusters, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else ([], [], [])
+            return pa.table({"k": pa.array(list(keys), t["k"].type), "c": pa.array(list(clusters), t["by"].type), "s": pa.array(s, pa.float64())})
+
+        sums = pairs.groupBy("p", "q").applyInArrow(total, f"k {kind}, c {cluster}, s double").groupBy("k", "c").agg(F.sum("s").alias("s"))
+        each = sums.join(F.broadcast(sizes.withColumnRenamed("by", "c")), "c").groupBy("k").agg(F.collect_list(F.struct("c", "n", "s")).alias("_d"))
+        scored = data.join(each, "k")
+    else:
+        raise ValueError(f"unknown metric {metric}")
+    many = F.size("_d") > 1
+    return scored.select(F.when(many, _own_and_next(scored, "by")).alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
+def guarded_elbow(scores: DataFrame, least: float = 0.02) -> DataFrame:
+    """Of ``k``, ``score`` the last ``k`` before the first one that gains less than ``least`` on the one before: ``k``, ``score``."""
+    w = Window.orderBy("k")  # a row per number of clusters
+    gains = scores.withColumn("low", F.coalesce(F.col("score") - F.lag("score").over(w) < least, F.lit(False)).cast("int"))
+    return gains.withColumn("stopped", F.sum("low").over(w)).filter("stopped = 0").orderBy(F.desc("k")).limit(1).select("k", "score")
 
 
 def as_array(v: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from annalist.functions import text as T
+from annalist.functions.pages import main_page_text
 
 #: Full schema of segments; readers fill in what a source lacks.
 SEGMENT = (
@@ -59,7 +60,7 @@ def article_segments(files: DataFrame, doc_type: str = "presseartikel") -> DataF
 
 def snapshot_texts(items: DataFrame) -> DataFrame:
     """Reference manager items with ``html_text``, the main text of their stored page (``html``) without tables and comments."""
-    return items.withColumn("html_text", T.plain_html_text(F.col("html"))).drop("html")
+    return items.withColumn("html_text", main_page_text(F.col("html"))).drop("html")
 
 
 def reference_segments(items: DataFrame) -> DataFrame:

@@ -346,57 +346,6 @@ def test_labels_are_bounded(spark, monkeypatch):
     assert vectors.ranked_labels(rows, labels.limit(2), "k").count() == 1
 
 
-def test_hierarchical_density_against_plain_python(spark):
-    import numpy as np
-
-    from annalist.operators.density import hierarchical_density
-
-    g = np.random.default_rng(11)
-    centres = [np.eye(6)[0], np.eye(6)[0] + 0.45 * np.eye(6)[1], np.eye(6)[3], np.eye(6)[5]]
-    v = np.concatenate([c + s * g.normal(size=(n, 6)) for c, s, n in zip(centres, (0.06, 0.06, 0.2, 0.02), (20, 15, 25, 3), strict=True)] + [g.normal(size=(6, 6))])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    n, low, least, samples, levels = len(v), 0.3, 8, 3, 6
-    s = v @ v.T
-    d = np.where((s >= low) & ~np.eye(n, dtype=bool), np.sqrt(np.maximum(2 - 2 * s, 0)), np.inf)
-    core = np.sort(d, axis=1)[:, samples - 1]
-    w = np.maximum(d, np.maximum(core[:, None], core[None]))
-    eps = sorted(set(np.percentile(w[np.triu_indices(n, 1)][np.isfinite(w[np.triu_indices(n, 1)])], [100 * (i + 1) / levels for i in range(levels)])))
-
-    def parts(rows, e):
-        left, out = set(rows), []
-        while left:
-            todo, comp = [left.pop()], set()
-            while todo:
-                x = todo.pop()
-                comp.add(x)
-                near = {y for y in left if w[x, y] <= e}
-                left -= near
-                todo += near
-            out.append(comp)
-        return [p for p in out if len(p) >= least]
-
-    def grow(comp, i):
-        """Stability of the cluster from this level on, what its descendants give, and whom they take."""
-        own = len(comp) * (1 / eps[i] - (1 / eps[i + 1] if i + 1 < len(eps) else 1 / eps[i]))
-        kids = [(k, *grow(k, i - 1)) for k in parts(comp, eps[i - 1])] if i else []
-        if len(kids) == 1:
-            return own + kids[0][1], kids[0][2], kids[0][3]
-        best = [(max(a, b), [k] if a >= b else taken) for k, a, b, taken in kids]
-        return own, sum(x for x, _ in best), [t for _, x in best for t in x]
-
-    want = set()
-    for comp in parts(range(n), eps[-1]):
-        a, b, taken = grow(comp, len(eps) - 1)
-        want |= {frozenset(x) for x in ([comp] if a >= b else taken)}
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
-    got = {}
-    for r in hierarchical_density(df, "k", low, least, samples, levels).collect():
-        got.setdefault(r["cluster"], set()).add(r["k"])
-    noise = got.pop(None, set())
-    assert {frozenset(x) for x in got.values()} == want and len(want) >= 2 and sum(map(len, want)) + len(noise) == n
-    assert all(min(x) == k for k, x in got.items()) and hierarchical_density(df.limit(0), "k").count() == 0
-
-
 def test_k_vote(spark):
     assert tuple(vectors.k_vote(spark.createDataFrame([(5,), (3,), (3,)], "k int")).first()) == (3, 2)
     assert tuple(vectors.k_vote(spark.createDataFrame([(5,), (3,), (4,)], "k int")).first()) == (3, 1)
@@ -424,6 +373,9 @@ def test_vault_once(spark, tmp_path):
     assert run() == 1
     (vault / "Zwei.md").write_text("nur Text", encoding="utf-8")
     assert run() == 1 and run() == 0
+    os.makedirs(tmp_path / "vault" / "moved")
+    os.rename(vault / "Zwei.md", tmp_path / "vault" / "moved" / "Zwei.md")
+    assert run() == 0  # known by its base name
     got = {r["source"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["T"]["date"] == "2024-11-07" and got["T"]["author"] == "Ann" and got["T"]["text"] == "Text eins" and got["Zwei"]["text"] == "nur Text"
     assert articles.read_vault(spark, str(tmp_path / "vault")).count() == 2
