@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.operators import blocks as B
-from annalist.operators.components import connected_components
 from annalist.plans.numbering import numbered
 from annalist.plans.staging import discard, stage
 
@@ -45,6 +47,24 @@ def _pointed(picks: DataFrame) -> DataFrame:
             return now.select("c", "root")
 
 
+def _prim(t: pa.Table) -> pa.Table:
+    """The spanning tree of one block's mutual reachabilities."""
+    k, v, core = B.keys(t["k"]), B.matrix(t["v"]), np.asarray(t["core"], float)
+    n = len(k)
+    best, link, out = np.full(n, np.inf), np.zeros(n, int), []
+    free, i = np.ones(n, bool), 0
+    for _ in range(n - 1):
+        free[i] = False
+        w = np.maximum(np.sqrt(((v - v[i]) ** 2).sum(-1)), np.maximum(core, core[i]))
+        nearer = free & (w < best)
+        best[nearer], link[nearer] = w[nearer], i
+        i = int(np.where(free, best, np.inf).argmin())
+        out.append((link[i], i, best[i]))
+    x, y, w = zip(*out, strict=True) if out else ((), (), ())
+    ends = [sorted((k[a], k[b])) for a, b in zip(x, y, strict=True)]
+    return pa.table({"a": pa.array([e[0] for e in ends], t["k"].type), "b": pa.array([e[1] for e in ends], t["k"].type), "w": pa.array(w, pa.float64())})
+
+
 def mutual_reach(rows: DataFrame, key: str, samples: int = 3, listed: int = LISTED) -> Reach:
     """The minimum spanning tree of mutual reachabilities, exact, of vectors ``v`` with distinct keys.
 
@@ -53,7 +73,8 @@ def mutual_reach(rows: DataFrame, key: str, samples: int = 3, listed: int = LIST
     component takes its smallest edge to another one, ties by the ends' keys, and those that are joined become one. A
     component's smallest edge among the ``listed`` nearest rows is its smallest of all if none of its rows could have a closer
     one that is not listed; where that is not so for half of the components, the rows in doubt, but for those of the largest component, are
-    compared with all others. So each round at least halves the components but one, and the largest one is never searched.
+    compared with all others. So each round at least halves the components but one, and the largest one is never searched. Rows that
+    are one block are solved by its task.
     """
     c = F.col
     data, blocks = B.in_blocks(rows, key)
@@ -61,6 +82,10 @@ def mutual_reach(rows: DataFrame, key: str, samples: int = 3, listed: int = LIST
     core = F.coalesce(F.get(F.col("near.d"), F.least(F.lit(samples), F.size("near")) - 1), F.lit(0.0))
     last = F.when(F.size("near") == want, c("near")[want - 1]["d"]).otherwise(float("inf"))
     lists = stage(B.nearest_rows(data, blocks, want).withColumn("core", core).withColumn("bound", F.greatest("core", last)), "near")
+    if blocks == 1:
+        kind = data.schema["k"].dataType.simpleString()
+        found = data.join(lists.select("k", "core"), "k").groupBy("block").applyInArrow(_prim, f"a {kind}, b {kind}, w double")
+        return Reach(lists.select("k", "near", "core"), stage(found, "tree"))
     cores = lists.select(c("k").alias("hi"), c("core").alias("_core"))
     pairs = lists.select(c("k").alias("a"), "core", F.explode("near").alias("x")).select("a", c("x.k").alias("hi"), F.greatest("core", "x.d").alias("w"))
     pairs = pairs.join(cores, "hi").select(F.least("a", "hi").alias("lo"), F.greatest("a", "hi").alias("hi"), F.greatest("w", "_core").alias("w"))
@@ -260,31 +285,65 @@ def hierarchical_density(rows: DataFrame, key: str, least: int = 8, samples: int
     return rows.select(key).join(found.select(F.col("k").alias("_k"), "cluster"), F.col(key) == F.col("_k"), "left").select(key, "cluster")
 
 
+def _cut_range(pdf: pd.DataFrame, cuts: Sequence[int]) -> pd.DataFrame:
+    """Components after some of the range's edges, and after all of it (``cut`` null): ``cut``, ``comp``, ``to``."""
+    up: dict = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    rows, left = [], sorted(cuts)
+    for number, a, b in pdf.sort_values("id")[["id", "ca", "cb"]].itertuples(index=False):
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+        while left and left[0] == number:
+            rows += [(left[0], z, find(z)) for z in list(up)]
+            left.pop(0)
+    rows += [(None, z, find(z)) for z in list(up)]
+    return pd.DataFrame(rows, columns=["cut", "comp", "to"]).astype({"cut": "Int64"})
+
+
 def density_sweep(reach: Reach, distances: Sequence[float], least: int) -> DataFrame:
     """DBSCAN at every one of several distances from one tree: ``eps``, ``k``, ``cluster`` (its smallest core key; null for noise).
 
     ``reach`` is made with ``samples`` = ``least`` - 1, so a row is a core at a distance that is at least its core distance, and
-    cores are joined just by the tree's edges up to it. Distances are handled in rising order, each one starting from the
-    components of that before. A row that is no core joins its nearest core, if that is in reach; being no core, it has all
-    rows in reach among its nearest ones.
+    cores are joined just by the tree's edges up to it. Edges are merged once, from the smallest up, ``RANGE_EDGES`` in a task, which
+    tells the components at the distances that it passes. A row that is no core joins its nearest core, if that is in reach; being no core, it
+    has all rows in reach among its nearest ones.
     """
-    c = F.col
+    c, distances = F.col, sorted(set(map(float, distances)))
     kind = reach.rows.schema["k"].dataType.simpleString()
-    now, before, parts = stage(reach.rows.select("k", "core", "near", c("k").alias("comp")), "sweep"), -1.0, []
-    for eps in sorted(set(distances)):
-        new = reach.tree.filter((c("w") <= eps) & (c("w") > before))
-        ends = new.join(now.select(c("k").alias("a"), c("comp").alias("x")), "a").join(now.select(c("k").alias("b"), c("comp").alias("y")), "b")
-        up = stage(connected_components(ends.select("x", "y").distinct(), "x", "y"), "merges").select(c("node").alias("_n"), c("component").alias("_to"))
-        now = stage(now.join(up, c("comp") == c("_n"), "left").select("k", "core", "near", F.coalesce("_to", "comp").alias("comp")), "sweep")
-        cores = now.filter((c("core") <= eps) & (F.size("near") >= least - 1)).select("k", c("comp").alias("cluster"))
-        rest = now.join(cores, "k", "left_anti").select("k", F.explode("near").alias("x")).filter(c("x.d") <= eps)
+    edges = stage(numbered(reach.tree, ["w", "a", "b"]), "ordered")
+    sums = edges.agg(F.count("*").alias("n"), *[F.count_if(c("w") <= e).alias(f"e{i}") for i, e in enumerate(distances)]).first()
+    passed = dict(zip(distances, sums[1:], strict=True))
+    rows, comps = reach.rows, stage(reach.rows.select("k", c("k").alias("comp")), "comps")
+    at = {e: comps for e, m in passed.items() if not m}
+    for start in range(0, sums["n"], RANGE_EDGES):
+        cuts = {m: e for e, m in passed.items() if start < m <= start + RANGE_EDGES}
+        part = edges.filter((c("id") > start) & (c("id") <= start + RANGE_EDGES))
+        for side in ("a", "b"):
+            part = part.join(comps.select(c("k").alias(side), c("comp").alias(f"c{side}")), side)
+        places = sorted(cuts)
+        out = part.withColumn("_r", F.floor((c("id") - 1) / RANGE_EDGES)).groupBy("_r").applyInPandas(lambda p: _cut_range(p, places), f"cut long, comp {kind}, to {kind}")  # noqa: B023
+        out = stage(out, "cuts")
+        moved = lambda which: out.filter(which).select(c("comp").alias("_c"), c("to").alias("_to"))  # noqa: B023, E731
+        after = lambda which: comps.join(moved(which), c("comp") == c("_c"), "left").select("k", F.coalesce("_to", "comp").alias("comp"))  # noqa: B023, E731
+        at |= {e: after(c("cut") == m) for e, m in passed.items() if m in cuts}
+        comps = stage(after(c("cut").isNull()), "comps")
+    parts = []
+    for eps in distances:
+        now = rows.join(at[eps], "k")
+        cores = now.filter((c("core") <= eps) & (F.size("near") >= least - 1)).select("k", "comp")
+        names = cores.groupBy("comp").agg(F.min("k").alias("cluster"))
+        cores = stage(cores.join(names, "comp").select("k", "cluster"), "dbscan")
+        rest = rows.join(cores, "k", "left_anti").select("k", F.explode("near").alias("x")).filter(c("x.d") <= eps)
         border = rest.join(cores.select(c("k").alias("_k"), "cluster"), c("x.k") == c("_k")).groupBy("k").agg(F.min(F.struct("x.d", "x.k", "cluster")).alias("m")).select("k", "m.cluster")
-        parts.append(now.select("k").join(cores.unionByName(border), "k", "left").select(F.lit(float(eps)).alias("eps"), "k", c("cluster").cast(kind).alias("cluster")))
-        before = eps
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        parts.append(rows.select("k").join(cores.unionByName(border), "k", "left").select(F.lit(eps).alias("eps"), "k", "cluster"))
+    return stage(reduce(DataFrame.unionByName, parts), "sweep")
 
 
 def best_distance(sweep: DataFrame, ceiling: float = 0.3) -> DataFrame:
