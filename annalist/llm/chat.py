@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from annalist.plans.numbering import numbered
 from annalist.plans.staging import stage
 
-#: Turns that form one text; only a conversation with more of them continues in further parts.
-PART_TURNS = 4096
 # Marks of the chat format.
 MARKS = ("<|im_start|>", "<|im_end|>")
 #: Roles that set the scene and don't take part.
@@ -17,7 +15,7 @@ NARRATORS = ("system",)
 NOBODY = "unknown"
 
 
-def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
+def perspectives(conversations: DataFrame, part_turns: int | None = None, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
     """Render each conversation once for every participant, with that speaker as assistant and the others as named users.
 
     Input columns ``conv_id``, ``turn``, ``role`` (the speaker), ``text``. A turn becomes
@@ -31,8 +29,9 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, narrato
     roles get a blank after their first character, line breaks in roles become blanks, so neither can be taken for the
     format's own. Narrators alone give no row; an empty table gives an empty result; other columns are ignored.
 
-    A dialogue is one text, but for one of more than ``part_turns`` turns: so that no row grows without bound it continues
-    in further parts of ``part_turns`` turns each, all rendered for all its participants. The turns of such conversations
+    A dialogue is one text, whatever its length, so a row is as large as its dialogue. A caller may cut: one of more than
+    ``part_turns`` turns then continues in further parts of that many turns each, all rendered for all its participants and with the
+    narrators' turns of earlier parts repeated in front, which set the scene. The turns of such conversations
     are numbered by ranges of their order, so none of them is gathered in one task.
     """
     c = F.col
@@ -45,14 +44,18 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, narrato
     role = plain(F.regexp_replace(F.coalesce(c("role"), F.lit(NOBODY)), r"[\r\n]+", " "))
     rows = conversations.select("conv_id", F.struct(c("turn").isNull().alias("none"), c("turn").alias("turn"), role.alias("role"), plain(F.coalesce(c("text"), F.lit(""))).alias("text")).alias("t"))
     speakers = rows.filter(~c("t.role").isin(*narrators)).select("conv_id", c("t.role").alias("speaker")).distinct()
-    long = stage(rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(c("n") > part_turns).select(c("conv_id").alias("_long")), "longconvs")
+    sized = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
     rows = rows.withColumn("part", F.lit(0).cast("long"))
-    if not long.isEmpty():
+    long = stage(sized.filter(c("n") > part_turns).select(c("conv_id").alias("_long")), "longconvs") if part_turns else None
+    if long is not None and not long.isEmpty():
         same = c("conv_id").eqNullSafe(c("_long"))
         placed = stage(numbered(rows.join(long, same, "left_semi").withColumn("_tie", F.monotonically_increasing_id()), ["conv_id", "t", "_tie"], "_at"), "longturns")
         firsts = placed.groupBy(c("conv_id").alias("_long")).agg(F.min("_at").alias("_first"))
         parts = placed.join(firsts, same).select("conv_id", "t", F.floor((c("_at") - c("_first")) / part_turns).cast("long").alias("part"))
-        rows = rows.join(long, same, "left_anti").unionByName(parts)
+        parts = stage(parts, "parts")
+        last = parts.groupBy(c("conv_id").alias("_long")).agg(F.max("part").alias("_last"))
+        scene = parts.filter(c("t.role").isin(*narrators)).join(last, same).filter("part < _last").select("conv_id", "t", F.explode(F.sequence(c("part") + 1, "_last")).alias("part"))
+        rows = rows.join(long, same, "left_anti").unionByName(parts).unionByName(scene)
     turns = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     a, b = turns.alias("a"), speakers.alias("b")
     both = a.join(b, c("a.conv_id").eqNullSafe(c("b.conv_id"))).select("a.conv_id", "part", "speaker", "turns")

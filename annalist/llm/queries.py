@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
     "op3_chat_perspectives": r"""
         WITH m AS (SELECT conv_id, turn, replace(replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS role,
                           replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
-        t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // 4096 AS part FROM m),
+        t AS (SELECT *, CAST(0 AS BIGINT) AS part FROM m),
         s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
         x AS (SELECT t.conv_id, t.part, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS own,
                      '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS h,

@@ -52,14 +52,19 @@ def _segments(block: str, most: int) -> list[str]:
     return out or [""]
 
 
-def page_records(page_id: int | None, url: str | None, page: str, original: int | None, revisit: bool, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
+def _record_id(page_id: int | None, digest: str, url: str | None) -> str:
+    """The same for rows that are equal in all; different urls of a page are different records."""
+    return str(uuid.uuid5(_NS, json.dumps([page_id, digest, url])))
+
+
+def page_records(page_id: int | None, url: str | None, page: str, original: int | None, revisit: bool, segment_bytes: int = SEGMENT_BYTES, original_url: str | None = None) -> list[str]:
     """Records of one page: a response in chunked framing, cut into segments if long, or a revisit without payload."""
     payload = page.encode()
     digest = sha1_base32(payload)
-    rid = str(uuid.uuid5(_NS, f"{page_id}/{digest}"))
+    rid = _record_id(page_id, digest, url)
     own = {"WARC_Target_URI": json.dumps(url) if url is not None else None, "X_Page": json.dumps(page_id), "X_Payload_Length": str(len(payload)), "WARC_Payload_Digest": f"sha1:{digest}"}
     if revisit:
-        refers = f"<urn:uuid:{uuid.uuid5(_NS, f'{original}/{digest}')}>"
+        refers = f"<urn:uuid:{_record_id(original, digest, original_url)}>"
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         return [_record("revisit", rid, "", **own, WARC_Profile=profile, WARC_Refers_To=refers, X_Refers_To_Page=json.dumps(original))]
     chunks = [page[i : i + CHUNK_CHARS] for i in range(0, len(page), CHUNK_CHARS)]
@@ -88,15 +93,16 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, segment_by
     """
     c = F.col
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_key", F.sha2("html", 256))
-    firsts = rows.groupBy("_key").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    firsts = stage(firsts.filter("_n > 1").select(c("_key").alias("_again"), "_first", "_n"), "payloads")
+    known = F.when(c("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = rows.groupBy("_key").agg(F.min(known).alias("_min"), F.count("*").alias("_n"))
+    firsts = stage(firsts.filter("_n > 1").select(c("_key").alias("_again"), c("_min.page_id").alias("_first"), c("_min.url").alias("_first_url"), "_n"), "payloads")
     n, total = firsts.agg(F.count("*"), F.sum("_n")).first()
     asked, maybe = maybe_in(rows, F.xxhash64("_key"), firsts.select(F.xxhash64("_again").alias("h")), n)
-    names, same = ["page_id", "url", "html", "_first"], c("_key") == c("_again")
+    names, same = ["page_id", "url", "html", "_first", "_first_url"], c("_key") == c("_again")
     lone = asked.filter(~maybe)
     many = asked.filter(maybe)
     sole = many.join(firsts, same, "left_anti")  # the filter lets some pass that are alone
-    own = [d.select("page_id", "url", "html", c("page_id").alias("_first")) for d in (lone, sole)]
+    own = [d.select("page_id", "url", "html", c("page_id").alias("_first"), c("url").alias("_first_url")) for d in (lone, sole)]
     rows = own[0].unionByName(own[1]).unionByName(join_groups(many, firsts, same, c("_n"), total or 0).select(*names))
     rows = rows.withColumn("_revisit", ~c("page_id").eqNullSafe(c("_first")) & (F.octet_length("html") >= min_payload))
 
@@ -105,10 +111,10 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, segment_by
             for at in range(0, batch.num_rows, 64):
                 out: list[str] = []
                 for r in batch.slice(at, 64).to_pylist():
-                    out += page_records(r["page_id"], r["url"], r["html"], r["_first"], r["_revisit"], segment_bytes)
+                    out += page_records(r["page_id"], r["url"], r["html"], r["_first"], r["_revisit"], segment_bytes, r["_first_url"])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    records = rows.select("page_id", "url", "html", "_first", "_revisit").mapInArrow(run, "value string")
+    records = rows.select("page_id", "url", "html", "_first", "_first_url", "_revisit").mapInArrow(run, "value string")
     records.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 

@@ -180,6 +180,15 @@ def test_chat_continues_long_dialogues(spark):
         assert "".join(got[conv, p, who] for p in range(3) if (conv, p, who) in got) == text
 
 
+def test_chat_is_whole_and_cut_parts_repeat_the_scene(spark):
+    df = spark.range(5000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.lit("é" * 20).alias("text"))
+    whole = {r["speaker"]: r for r in perspectives(df).collect()}
+    assert set(whole) == {"a", "b"} and all(r["part"] == 0 and r["n_turns"] == 5000 for r in whole.values())
+    parts = {(r["part"], r["speaker"]): r["text"] for r in perspectives(df, part_turns=2000).collect()}
+    assert len(parts) == 6 and all(t.startswith("<|im_start|>system\n") and t.count("<|im_start|>system\n") == 1 for t in parts.values())
+    assert sum(t.count("<|im_end|>") for (p, s), t in parts.items() if s == "a") == 5002
+
+
 def test_simhash(spark, docs, odd):
     by = rows_of(simhash.simhash_components(docs))
     fps = {i: brute.fingerprint(t, 4) for i, t in enumerate(TEXTS)}
@@ -510,6 +519,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <form><p>Your name</p></form><p>Last one is &quot;here&quot; and it has the words of the language in it so that it is text.</p></article><aside>Related</aside><footer>&copy; x</footer></body></html>"""
 
 
+def test_warc_same_page_under_two_urls(spark, tmp_path):
+    """Long pages that are equal but for their url are records of their own; rows equal in all are repeated."""
+    long = "é" * 30_000
+    pages = spark.createDataFrame([(1, "u", long), (1, "v", long), (1, "v", long), (2, "w", long), (None, "x", long)], "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = sorted((str(r["page_id"]), r["url"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert got == [("1", "u", "response", None), ("1", "v", "response", None), ("1", "v", "response", None), ("2", "w", "revisit", 1), ("None", "x", "revisit", 1)]
+
+
 def test_html(spark):
     want = 'Title & more\n\nFirst paragraph of the text, and it is long enough to be judged by itself as a block of the article.\n\nShort.\n\nLast one is "here" and it has the words of the language in it so that it is text.'
     assert main_text(PAGE) == want and main_text(None) == main_text("") == ""
