@@ -54,7 +54,9 @@ def match_entities(rows: DataFrame, entities: DataFrame, text: str = "text") ->
         hits = [F.when(F.rlike(F.col(text), F.lit(r["_p"])), F.lit(r["normalform"])) for r in sorted(few, key=lambda r: r["ord"])]
         return rows.withColumn("actors", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
     names = stage(named.select("ord", "normalform", F.explode("_names").alias("name")).withColumn("_bytes", F.length("name") * NODE_BYTES), "names")
-    found = [c(F.col(text)) for c in (_finder(rows, part) for part in _name_parts(names))]
+    if (names.agg(F.sum("_bytes")).first()[0] or 0) <= AUTOMATON_BYTES:
+        return rows.withColumn("actors", _finder(rows, names, "array<string>")(F.col(text)))
+    found = [c(F.col(text)) for c in (_finder(rows, part, "array<struct<ord:long,normalform:string>>") for part in _name_parts(names))]
     every = F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
     return rows.withColumn("actors", F.transform(every, lambda x: x["normalform"]))
 
@@ -130,15 +132,18 @@ class NameAutomaton:
         return sorted(got)
 
 
-def _finder(rows: DataFrame, names: DataFrame) -> Callable[[Column], Column]:
-    """A function that finds the entities of ``names`` in a text: ``ord``, ``normalform``."""
-    automaton = NameAutomaton((r["ord"], r["normalform"], r["name"]) for r in names.toLocalIterator())
-    sent = rows.sparkSession.sparkContext.broadcast(automaton)
+def _finder(rows: DataFrame, names: DataFrame, kind: str) -> Callable[[Column], Column]:
+    """A function that finds the entities of ``names`` in a text: their normal forms in order, or with ``ord``."""
+    held = names.select("ord", "normalform", "name").toPandas()  # as many as one automaton holds
+    sent = rows.sparkSession.sparkContext.broadcast(NameAutomaton(held.itertuples(index=False, name=None)))
+    plain = kind == "array<string>"
 
-    @F.pandas_udf("array<struct<ord:long,normalform:string>>")
+    @F.pandas_udf(kind)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = sent.value
         for texts in batches:
-            yield pd.Series([[{"ord": o, "normalform": f} for o, f in sent.value.find(t)] for t in texts], index=texts.index, dtype=object)
+            found = map(automaton.find, texts)
+            yield pd.Series([[f for _, f in x] if plain else [{"ord": o, "normalform": f} for o, f in x] for x in found], index=texts.index, dtype=object)
 
     return find
 
