@@ -19,6 +19,8 @@ from annalist.plans.staging import discard, stage
 PATTERNS = 256
 #: Memory of an automaton's sign at most, as measured, and of the automaton that is sent to all tasks.
 NODE_BYTES, AUTOMATON_BYTES = 80, 1 << 27
+#: Digits of an order in front of a name, so that strings sort as numbers do.
+ORDER_DIGITS = 20
 # Priorities of sources in the merge, the smallest being the strongest; others come last.
 SOURCE_PRIORITY = {
     "seed": 0,
@@ -55,10 +57,10 @@ def match_entities(rows: DataFrame, entities: DataFrame, text: str = "text") ->
         return rows.withColumn("actors", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
     names = stage(named.select("ord", "normalform", F.explode("_names").alias("name")).withColumn("_bytes", F.length("name") * NODE_BYTES), "names")
     if (names.agg(F.sum("_bytes")).first()[0] or 0) <= AUTOMATON_BYTES:
-        return rows.withColumn("actors", _finder(rows, names, "array<string>")(F.col(text)))
-    found = [c(F.col(text)) for c in (_finder(rows, part, "array<struct<ord:long,normalform:string>>") for part in _name_parts(names))]
-    every = F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
-    return rows.withColumn("actors", F.transform(every, lambda x: x["normalform"]))
+        return rows.withColumn("actors", _finder(rows, names, False)(F.col(text)))
+    found = [c(F.col(text)) for c in (_finder(rows, part, True) for part in _name_parts(names))]
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*found))))  # strings are told apart by hash, structs would be by pairs
+    return rows.withColumn("actors", F.transform(every, lambda x: F.substr(x, F.lit(ORDER_DIGITS + 1))))
 
 
 def _name_parts(names: DataFrame) -> Iterator[DataFrame]:
@@ -132,18 +134,17 @@ class NameAutomaton:
         return sorted(got)
 
 
-def _finder(rows: DataFrame, names: DataFrame, kind: str) -> Callable[[Column], Column]:
-    """A function that finds the entities of ``names`` in a text: their normal forms in order, or with ``ord``."""
+def _finder(rows: DataFrame, names: DataFrame, placed: bool) -> Callable[[Column], Column]:
+    """A function that finds the entities of ``names`` in a text: their normal forms in order, ``placed`` with the order as digits in front."""
     held = names.select("ord", "normalform", "name").toPandas()  # as many as one automaton holds
     sent = rows.sparkSession.sparkContext.broadcast(NameAutomaton(held.itertuples(index=False, name=None)))
-    plain = kind == "array<string>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("array<string>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = sent.value
         for texts in batches:
             found = map(automaton.find, texts)
-            yield pd.Series([[f for _, f in x] if plain else [{"ord": o, "normalform": f} for o, f in x] for x in found], index=texts.index, dtype=object)
+            yield pd.Series([[f"{o + (1 << 63):0{ORDER_DIGITS}d}{f}" if placed else f for o, f in x] for x in found], index=texts.index, dtype=object)
 
     return find
 
