@@ -17,8 +17,8 @@ from annalist.plans.staging import discard, stage
 
 #: Entities up to this many are patterns of one expression; a longer list is an automaton.
 PATTERNS = 256
-#: Memory of an automaton's sign at most, as measured, and of the automaton that is sent to all tasks.
-NODE_BYTES, AUTOMATON_BYTES = 80, 1 << 27
+#: Estimated memory of a sign of a name and of a name besides, and the most that an automaton is to take, on the driver and in a task.
+NODE_BYTES, NAME_BYTES, AUTOMATON_BYTES = 80, 400, 1 << 26
 #: Digits of an order in front of a name, so that strings sort as numbers do.
 ORDER_DIGITS = 20
 # Priorities of sources in the merge, the smallest being the strongest; others come last.
@@ -55,7 +55,7 @@ def match_entities(rows: DataFrame, entities: DataFrame, text: str = "text") ->
     if len(few) <= PATTERNS:
         hits = [F.when(F.rlike(F.col(text), F.lit(r["_p"])), F.lit(r["normalform"])) for r in sorted(few, key=lambda r: r["ord"])]
         return rows.withColumn("actors", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
-    names = stage(named.select("ord", "normalform", F.explode("_names").alias("name")).withColumn("_bytes", F.length("name") * NODE_BYTES), "names")
+    names = stage(named.select("ord", "normalform", F.explode("_names").alias("name")).withColumn("_bytes", F.length("name") * NODE_BYTES + NAME_BYTES), "names")
     if (names.agg(F.sum("_bytes")).first()[0] or 0) <= AUTOMATON_BYTES:
         return rows.withColumn("actors", _finder(rows, names, False)(F.col(text)))
     found = [c(F.col(text)) for c in (_finder(rows, part, True) for part in _name_parts(names))]

@@ -55,6 +55,7 @@ def test_many_names_are_found_as_by_patterns(spark, monkeypatch):
     assert exchanges(found) == exchanges(rows)
     assert {x["id"]: x["actors"] for x in found.collect()} == want
     monkeypatch.setattr(entities, "PATTERNS", 3)
+    monkeypatch.setattr(entities, "NAME_BYTES", 0)
     monkeypatch.setattr(entities, "AUTOMATON_BYTES", 400)  # several automata, some by the names' next signs
     assert len(list(entities._name_parts(known.select("ord", "normalform", F.explode("aliases").alias("name")).filter("name IS NOT NULL").withColumn("_bytes", F.length("name") * 80)))) > 3
     assert {x["id"]: x["actors"] for x in entities.match_entities(rows, known).collect()} == want
