@@ -316,24 +316,35 @@ def v_assign_dual_loop(spark, d):
     return got
 
 
-#: Refinement: two labels, until it converges, as published (means in between), longer, and with momentum.
-VARIANTS = {
-    "fixed": {"steps": 2, "every": 1}, "convergence": {"steps": 10, "every": 1, "change": 0.02, "stability": 0.97}, "paper": {"steps": 20, "every": 5, "change": 0.02, "stability": 0.97, "between": True},
-    "long": {"steps": 120, "every": 20, "change": 0.02, "stability": 0.97, "between": True}, "momentum": {"steps": 2, "every": 1, "alpha": 0.5},
-}
-
-
-@C.add()
-def v_refine_variants(spark, d):
+def _refined(spark, d, variants):
+    """Clusters by variants of the refinement."""
     v = vectors(spark, d).withColumn("text", F.concat(F.lit("word"), F.translate(F.col("label").cast("string"), "0123456789", "abcdefghij"), F.lit(" more")))
     out = None
-    for name, how in VARIANTS.items():
+    for name, how in variants.items():
         got, _ = P.refine(v, _unit_labels(spark, d), "vec_id", "text", P.HashingEmbedder(), **how)
         got = got.withColumn("variant", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+@C.add()
+def v_refine_variants(spark, d):
+    """Two labels, until it converges, and with momentum."""
+    return _refined(spark, d, {"fixed": {"steps": 2, "every": 1}, "convergence": {"steps": 10, "every": 1, "change": 0.02, "stability": 0.97}, "momentum": {"steps": 2, "every": 1, "alpha": 0.5}})
+
+
+@C.add()
+def v_refine_paper(spark, d):
+    """As published: cluster means between new labels, every fifth of 20 steps."""
+    return _refined(spark, d, {"paper": {"steps": 20, "every": 5, "change": 0.02, "stability": 0.97, "between": True}})
+
+
+@C.add()
+def v_refine_long(spark, d):
+    """120 steps, a new label every 20."""
+    return _refined(spark, d, {"long": {"steps": 120, "every": 20, "change": 0.02, "stability": 0.97, "between": True}})
+
+
 @C.add()
 def v_pca(spark, d):
     """Means of the labels on ten principal components."""
