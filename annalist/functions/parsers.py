@@ -126,10 +126,20 @@ def group_blocks(rows: DataFrame, col: str, n: int) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != col], F.explode(blocks).alias("b")).select(*[c for c in rows.columns if c != col], "b.n", "b.title", "b.body")
 
 
-def _chunks(text: str, most: int) -> list[str]:
+def _word_cut(text: str, most: int) -> int:
+    """Where to cut without parting a word: at the last blank that fits, else beside a sign of no word, else behind the word that is too long."""
+    word = lambda i: text[i].isalnum() or text[i] == "_"
+    fits = range(most, 0, -1)
+    cut = next((i for i in fits if text[i].isspace()), 0) or next((i for i in fits if not (word(i - 1) and word(i))), 0)
+    m = None if cut else re.compile(r"\W").search(text, most)
+    return cut or (m.start() if m else len(text))
+
+
+def _chunks(text: str, most: int, whole: bool = False) -> list[str]:
+    """Pieces cut behind the last full stop that fits, else hard, or with ``whole`` words at a bound of words."""
     out, at = [], text
     while len(at) > most:
-        cut = at.rfind(". ", 0, most) + 1 or most
+        cut = at.rfind(". ", 0, most) + 1 or (_word_cut(at, most) if whole else most)
         out.append(at[:cut].strip())
         at = at[cut:].strip()
     return [c for c in [*out, at] if c]
