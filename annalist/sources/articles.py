@@ -28,6 +28,20 @@ def read_vault(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFra
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def pack_vault(files: DataFrame, path: str) -> None:
+    """Add articles (``path``, ``text``) to a packed vault below ``path``: Parquet files that hold many articles each.
+
+    A file of its own for each article costs its opening and listing many times over, and as many files as articles are more than a
+    shared folder takes.
+    """
+    files.select("path", "text").write.mode("append").parquet(path)
+
+
+def read_packed_vault(spark: SparkSession, path: str) -> DataFrame:
+    """All articles of a packed vault: ``path``, ``text``."""
+    return spark.read.schema("path string, text string").parquet(path, recursiveFileLookup=True)
+
+
 def frontmatter(text: Column) -> Column:
     """Header lines between two ``---``, without them; null if there are none."""
     return T.empty_as_null(F.regexp_extract(text, r"(?s)^---(.*?)\n---", 1))

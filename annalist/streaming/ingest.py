@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from annalist.sources.articles import article_segments
 
 
-def ingest_vault(spark: SparkSession, vault: str, out: str, checkpoint: str, doc_type: str = "presseartikel", pattern: str = "*.md") -> int:
+def ingest_vault(spark: SparkSession, vault: str, out: str, checkpoint: str, doc_type: str = "presseartikel", pattern: str = "*.md", packed: bool = False) -> int:
     """Read Markdown files that earlier calls have not read, append their segments to ``out``, return how many came.
 
-    A file is known by its base name, so one that was moved is not read again.
+    A file is known by its base name, so one that was moved is not read again. ``packed``: the files are those of
+    :func:`annalist.sources.articles.pack_vault`, each of which is read once, with all its articles.
 
     What is done is in the checkpoint; a call processes all that is there and ends. Exactly once: the file sink's log and the
     checkpoint agree on each batch.
     """
-    files = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("fileNameOnly", "true").option("pathGlobFilter", pattern).load(vault)
-    rows = article_segments(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), doc_type)
+    stream = spark.readStream.option("recursiveFileLookup", "true").option("fileNameOnly", "true")
+    if packed:
+        files = stream.format("parquet").schema("path string, text string").option("pathGlobFilter", "*.parquet").load(vault)
+    else:
+        files = stream.format("text").schema("value string").option("wholetext", "true").option("pathGlobFilter", pattern).load(vault)
+        files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = article_segments(files, doc_type)
     query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return sum(p["numInputRows"] for p in query.recentProgress)
