@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.plans.numbering import numbered
-from annalist.plans.staging import new_path, stage
+from annalist.plans.staging import discard, new_path, stage
 
 #: Signs of a gram; rows of a block, whose places fit into 16 bits; blocks of a folder of rows.
 GRAM, BLOCK_ROWS, SHARD_BLOCKS = 3, 1024, 64
@@ -42,6 +43,15 @@ def _grams(low: Column) -> Column:
     return F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.array_distinct(many))
 
 
+def _block_postings(t: pa.Table) -> pa.Table:
+    """Grams of a block's texts (``low``) with the places of the rows that hold them."""
+    held: dict[str, list[int]] = {}
+    for at, low in sorted(zip(t["_at"].to_pylist(), t["low"].to_pylist(), strict=True)):
+        for g in {low} if len(low) < GRAM else {low[i : i + GRAM] for i in range(len(low) - GRAM + 1)}:
+            held.setdefault(g, []).append(at)
+    return pa.table({"gram": pa.array(list(held), pa.string()), "_block": pa.array([t["_block"][0].as_py()] * len(held), pa.int32()), "places": pa.array(list(held.values()), pa.list_(pa.int16()))})
+
+
 @dataclass
 class TextIndex:
     """Rows in blocks, in folders by ``_shard``, and for each gram and block the places of the rows in the block that hold the gram.
@@ -106,9 +116,11 @@ def build_index(entries: DataFrame, order: Sequence[str], text: str = "text") ->
     path = new_path(spark, "index")
     rows.repartition("_shard", F.pmod("_block", F.lit(4))).write.partitionBy("_shard").parquet(path)
     held = spark.read.schema(rows.schema).parquet(path)
-    grams = held.select("_block", "_at", F.explode(_grams(_low(F.col(text)))).alias("gram"))
-    postings = grams.groupBy("gram", "_block").agg(F.array_sort(F.collect_list("_at")).alias("places"))
-    return TextIndex(held, stage(postings.repartitionByRange("gram", "_block").sortWithinPartitions("gram", "_block"), "postings"), text)
+    low = held.select("_block", "_at", _low(F.col(text)).alias("low"))
+    made = stage(low.groupBy("_block").applyInArrow(_block_postings, "gram string, _block int, places array<smallint>"), "made")
+    postings = stage(made.repartitionByRange("gram", "_block").sortWithinPartitions("gram", "_block"), "postings")
+    discard(made)
+    return TextIndex(held, postings, text)
 
 
 def top_indexed(index: TextIndex, words: Sequence[str], n: int = 20, order: str = "id") -> DataFrame:
