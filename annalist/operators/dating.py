@@ -25,7 +25,7 @@ def heading_year(text: Column) -> Column:
 def detect_anchors(text: Column) -> Column:
     """All anchors: years left after life dates and the like are cut, then decades, then named events."""
     kind = "struct<type:string,value:int,span:string>"
-    exact = F.transform(T.years(T.strip_non_anchors(text)), lambda y: F.struct(F.lit("exact").alias("type"), y.alias("value"), y.cast("string").alias("span")).cast(kind))
+    exact = F.transform(T.exact_years(text), lambda y: F.struct(F.lit("exact").alias("type"), y.alias("value"), y.cast("string").alias("span")).cast(kind))
     decade = F.transform(T.decade_spans(text), lambda s: F.struct(F.lit("decade").alias("type"), F.lit(None).cast("int").alias("value"), s.alias("span")).cast(kind))
     event = F.transform(T.event_anchors(text), lambda e: F.struct(F.lit("event").alias("type"), e["year"].alias("value"), e["label"].alias("span")).cast(kind))
     return F.concat(exact, decade, event)
@@ -50,8 +50,10 @@ def date_notes(segments: DataFrame) -> DataFrame:
     A heading without a year ends the reach of the one before; headings are dropped. Adds ``anchors``, ``time_from``,
     ``time_to``, ``precision`` (``exact`` for an inherited heading).
     """
-    head = F.last(F.when(F.col("type") == "heading", F.struct(heading_year(F.col("text")).alias("y"))), ignorenulls=True).over(_so_far())
-    rows = segments.withColumn("_head", head["y"]).filter("type <> 'heading'").withColumn("anchors", detect_anchors(F.col("text")))
+    heading = F.col("type") == "heading"
+    found = segments.withColumn("anchors", F.when(~heading, detect_anchors(F.col("text"))))  # before rows are shuffled, which texts then need not be
+    head = F.last(F.when(heading, F.struct(heading_year(F.col("text")).alias("y"))), ignorenulls=True).over(_so_far())
+    rows = found.withColumn("_head", head["y"]).filter(~heading)
     of = lambda kind: F.transform(F.filter("anchors", lambda a: a["type"] == kind), lambda a: a["value"])
     exact, event, decade = of("exact"), of("event"), F.exists("anchors", lambda a: a["type"] == "decade")
     has_exact, has_event, inherits = F.size(exact) > 0, F.size(event) > 0, F.col("_head").isNotNull()
