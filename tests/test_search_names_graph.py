@@ -157,6 +157,28 @@ def test_silhouettes(spark, monkeypatch):
     assert (pick(0.1, 0.3, 0.31, 0.9), pick(0.5, 0.4), pick(0.1, 0.2, 0.3), pick(0.1)) == (3, 2, 4, 2)
 
 
+def test_silhouettes_of_several_ways_send_rows_once(spark, monkeypatch):
+    assert blocks.stream_blocks(10_256, 139) == blocks.stream_blocks(615_384, 139) == blocks.STREAM_BLOCKS  # a row is sent as often at any size
+    assert blocks.stream_blocks(0, 64) == blocks.stream_blocks(100, 139) == 1 and blocks.stream_blocks(1 << 20, 4096) == 256  # memory stays bounded
+    g = np.random.default_rng(9)
+    v = np.concatenate([g.normal(size=(40, 4)), g.normal(size=(20, 4)) + 2, np.ones((5, 4))])
+    ways = {"c": [i % 3 for i in range(65)], "d": ["x" if i < 40 else "y" if i < 64 else "z" for i in range(65)], "e": [None if i % 4 == 0 else i % 2 for i in range(65)], "f": [7] * 65}
+    df = spark.createDataFrame([(i, x.tolist(), *lab) for i, (x, *lab) in enumerate(zip(v, *ways.values(), strict=True))] + [(None, [9.0] * 4, 0, "x", 1, 7)], "k long, v array<double>, c int, d string, e int, f int").repartition(3)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    some = [i for i, x in enumerate(ways["e"]) if x is not None]
+    want = (silhouette_by_hand(d, ways["c"]), silhouette_by_hand(d, ways["d"]), silhouette_by_hand(d[np.ix_(some, some)], [ways["e"][i] for i in some]))
+    for tile, cells in ((512, 1 << 24), (4, 100)):  # one block, and several
+        monkeypatch.setattr(blocks, "TILE_ROWS", tile)
+        monkeypatch.setattr(blocks, "MOST_CELLS", cells)
+        got = vectors.silhouettes(df, list(ways), "k").first()
+        assert tuple(got)[:3] == pytest.approx(want) and got["f"] is None and got.__fields__ == list(ways)
+    labelled, names = vectors.kmeans_each(df.filter("k IS NOT NULL"), "k", (2, 4))
+    each = {r["k"]: (r["k2"], r["k4"]) for r in labelled.collect()} if names == ["k2", "k4"] else {}
+    assert len(each) == 65
+    for j, k in enumerate((2, 4)):
+        assert {r["k"]: r["cluster"] for r in vectors.kmeans(df.filter("k IS NOT NULL"), "k", k).collect()} == {key: c[j] for key, c in each.items()}
+
+
 def test_word_boundaries():
     a = entities.NameAutomaton([(0, "SPD", "SPD"), (1, "BER", "BER"), (2, "Ü", "ü"), (3, "SPD", "spd")])
     assert a.find("Die spd-Fraktion, Berlin") == [(0, "SPD"), (3, "SPD")] and a.find("BER_1 xÜ Ü.") == [(2, "Ü")] and a.find(None) == a.find("") == entities.NameAutomaton([]).find("x") == []
