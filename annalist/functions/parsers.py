@@ -1,6 +1,6 @@
 """Parsers of model answers and text cutters.
 
-Line formats are array expressions. Only where a scan depends on what it has cut before (chunks, nested JSON, overlapping
+Line formats are array expressions. Only where a scan depends on what it has cut before (nested JSON, overlapping
 marks) a small Arrow-batched function does it, one text at a time.
 """
 
@@ -126,6 +126,12 @@ def group_blocks(rows: DataFrame, col: str, n: int) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != col], F.explode(blocks).alias("b")).select(*[c for c in rows.columns if c != col], "b.n", "b.title", "b.body")
 
 
+#: What strings are stripped of.
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+#: Signs of two UTF-16 units.
+WIDE = r"[\x{10000}-\x{10ffff}]"
+
+
 def _word_cut(text: str, most: int) -> int:
     """Where to cut without parting a word: at the last blank that fits, else beside a sign of no word, else behind the word that is too long."""
     word = lambda i: text[i].isalnum() or text[i] == "_"
@@ -145,14 +151,24 @@ def _chunks(text: str, most: int, whole: bool = False) -> list[str]:
     return [c for c in [*out, at] if c]
 
 
-def chunk_sentences(col: str, most: int) -> Column:
-    """Pieces of at most ``most`` characters, cut behind the last full stop that fits, else hard."""
+def chunk_sentences(col: str, most: int, blanks: str = BLANKS, strip_short: bool = False) -> Column:
+    """Pieces of at most ``most`` characters, cut behind the last full stop that fits, else hard; without ``blanks`` at their ends.
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _chunks(t or "", most))
-
-    return cut(col)
+    The same as :func:`_chunks`, as one pattern: each match begins where the one before has ended, behind blanks. As in the original a
+    text that fits is one piece as it is, unless ``strip_short``. Java steps back recursively over signs of unequal width, so where signs
+    of two units occur the matches are found with a letter for each of them, and the text is cut to their lengths.
+    """
+    text, bare = F.coalesce(F.col(col), F.lit("")), lambda x: F.btrim(x, F.lit(blanks))
+    blank = "".join(f"\\x{{{ord(c):x}}}" for c in blanks)
+    cut = (rf".{{0,{most - 2}}}\.(?= )|" if most > 1 else "") + rf".{{{most}}}"
+    rest = rf".{{0,{most - 1}}}[^{blank}](?=[{blank}]*+\z)"
+    found = lambda t: F.regexp_extract_all(t, F.lit(rf"(?s)\A(?:{cut})|(?!\A)\G[{blank}]*+(?:{rest}|{cut})"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("out"), text.alias("left"))
+    taken = lambda s, m: F.struct(F.concat(s["out"], F.array(F.substring(s["left"], F.lit(1), F.length(m)))).alias("out"), F.substring(s["left"], F.length(m) + 1, F.length(s["left"])).alias("left"))
+    wide = F.aggregate(found(F.regexp_replace(text, WIDE, "x")), start, taken, lambda s: s["out"])
+    pieces = F.transform(F.when(text.rlike(WIDE), wide).otherwise(found(text)), bare)
+    whole = F.array(bare(text) if strip_short else text)
+    return F.filter(F.when(F.length(text) <= most, whole).otherwise(pieces), lambda x: x != "")
 
 
 def highlight(aliases: Mapping[str, tuple[str, str]], keywords: Sequence[str], focus: str | None = None) -> Callable[[str], Column]:
