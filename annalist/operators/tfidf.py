@@ -30,6 +30,12 @@ def weights(rows: DataFrame, key: str, words: Column, min_df: int = 2, max_featu
     return raw.join(lens, key).select(key, "term", (F.col("w") / F.col("_len")).alias("w"))
 
 
+def top_terms(scored: DataFrame, by: str, top: int = 8) -> DataFrame:
+    """The ``top`` terms per cluster by ``score``; ties by term: with ``rank``."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "term"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
 def cluster_keywords(rows: DataFrame, key: str, by: str, words: Column, top: int = 8, stop: Sequence[str] = (), how: str = "mean", **limits: float) -> DataFrame:
     """The ``top`` terms per cluster by mean (over all its rows) or largest weight; ties by term: ``term``, ``score``, ``rank``."""
     w = weights(rows, key, words, **limits).filter(~F.col("term").isin(*stop)) if stop else weights(rows, key, words, **limits)
@@ -39,5 +45,4 @@ def cluster_keywords(rows: DataFrame, key: str, by: str, words: Column, top: int
     else:
         size = rows.groupBy(by).agg(F.count("*").alias("_n"))
         scored = joined.groupBy(by, "term").agg(F.sum("w").alias("_w")).join(size, by).select(by, "term", (F.col("_w") / F.col("_n")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "term"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+    return top_terms(scored, by, top)
